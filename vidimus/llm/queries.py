@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import disclosure
+from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 
 
@@ -17,8 +20,53 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, disclosure.KINDS), F.sha2(disclosure.listed(F.col("base")), 256).alias("base_sha256"), disclosure.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
 }
 
-ORACLE: dict[str, str] = {}
+MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS draw
+  FROM documents),
+s AS (
+  SELECT *, 2 * source_size AS most,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+o AS (
+  SELECT *, sum(most) OVER w - most AS stopped, (SELECT sum(weight) FROM s) - (sum(weight) OVER w - weight) AS left_weight,
+         (SELECT sum(source_size) FROM s) AS total
+  FROM s WINDOW w AS (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (
+  SELECT coalesce(max((1.5::DOUBLE * total - stopped::DOUBLE) / left_weight::DOUBLE)
+                  FILTER (WHERE (1.5::DOUBLE * total - stopped::DOUBLE) / left_weight::DOUBLE * weight <= most), 0::DOUBLE) AS level
+  FROM o),
+t AS (
+  SELECT source, source_size, least(level * weight, most::DOUBLE) AS target,
+         CASE WHEN source_size > 0 THEN floor(least(level * weight, most::DOUBLE) / source_size)::BIGINT ELSE 0 END AS times
+  FROM s, l),
+h AS (SELECT source, draw, sum(size) AS size FROM d GROUP BY source, draw),
+c AS (
+  SELECT h.source, draw, size, sum(size) OVER (PARTITION BY h.source ORDER BY draw) - size AS before, target - times * source_size AS rest
+  FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT source, draw + CASE WHEN before + size - rest < rest - before THEN 1 ELSE 0 END AS below
+  FROM c WHERE before <= rest AND before + size > rest)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       (d.size * (t.times + CASE WHEN d.draw < coalesce(e.below, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": MIXING_SQL}
