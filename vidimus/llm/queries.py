@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import disclosure
+from .decontaminate import overlaps
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
+from .toxicity import crc, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +32,21 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, disclosure.KINDS), F.sha2(disclosure.listed(F.col("base")), 256).alias("base_sha256"), disclosure.listed(F.col("spans")).alias("spans"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: crc(c) % 5 != 0)
+    return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
+    "op5_decontamination": op5_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 MIXING_SQL = r"""
