@@ -11,7 +11,7 @@ candidates, bit sketches discard most of the rest, and whole sets decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, components, mixed, portions, small, word_hashes, written
 
 WORDS = 5  # of a shingle
+SAMPLE, WIDESPREAD = 8_000, 100_000  # documents, shingles
+#: Members of a key whose pairs are listed one by one; those of larger keys are compared in blocks.
+FEW, BLOCK = 32, 2_048
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
@@ -42,16 +45,22 @@ def families(s: int) -> Iterator[tuple[int, int, int]]:
         yield 2 * edge + 1, edge * 2 // 5 + 2, most_different(s, edge - 1) + 1
 
 
-def signature(sets: np.ndarray) -> np.ndarray:
-    """The keys of a sorted set: two sets with similarity 0.8 or more have one in common."""
+def signature(sets: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The keys of a sorted set: two sets with similarity 0.8 or more have one in common.
+
+    frequent (sorted) only moves parts made of widespread shingles to the end of the order, so that a passage which many
+    texts share makes no keys where other parts suffice.
+    """
     out = []
+    at = np.searchsorted(frequent, sets) if len(frequent) else None
+    rare = np.ones(len(sets), np.int64) if at is None else (frequent[np.minimum(at, len(frequent) - 1)] != sets).astype(np.int64)
     for family, parts, kept in families(len(sets)):
         part = (sets >> U(32)) * U(parts) >> U(32)  # grows with the hash: equal parts are neighbours
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         count = np.diff(np.append(first, len(sets))).astype(U)
         keys = mixed(np.bitwise_xor.reduceat(sets, first) * MULTIPLIER + part[first] * U(0xD6E8FEB86659FD93) + count + U(family << 32))
         if len(keys) > kept:
-            keys = keys[np.lexsort((keys, -count.astype(np.int64)))[:kept]]
+            keys = keys[np.lexsort((keys, -count.astype(np.int64), -np.add.reduceat(rare, first)))[:kept]]
         elif len(keys) < kept:  # empty parts come last in the order
             empty = np.setdiff1d(np.arange(parts, dtype=U), part[first])
             blank = np.sort(mixed(empty * U(0xA0761D6478BD642F) + U(family)))
@@ -61,8 +70,8 @@ def signature(sets: np.ndarray) -> np.ndarray:
 
 
 def sketch(sets: np.ndarray) -> bytes:
-    """A parity sketch of at least 4 bits a shingle, a power of two of them: it folds to any smaller one."""
-    bits = max(256, 1 << (4 * len(sets) - 1).bit_length())
+    """A parity sketch of at least 8 bits a shingle, a power of two of them: it folds to any smaller one."""
+    bits = max(256, 1 << (8 * len(sets) - 1).bit_length())
     return np.packbits((np.bincount((sets & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -95,24 +104,45 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         at += n
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a document; keys and sketch only at a set's first appearance in the task, and not at all for empty sets."""
-    seen: set[int] = set()
+def _described(frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a document; keys and sketch only at a set's first appearance in the task, and not at all for empty sets."""
+        seen: set[int] = set()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for i, j in portions(map(len, texts)):
+                sizes, classes, keys, sketches = [], [], [], []
+                for s in shingle_sets(texts[i:j]):
+                    c = class_of(s)
+                    new = len(s) > 0 and c not in seen
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(c)
+                    sizes.append(len(s))
+                    classes.append(c)
+                    keys.append(signature(s, frequent).view(np.int64) if new else None)
+                    sketches.append(sketch(s) if new else None)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "class", "keys", "sketch"])
+
+    return run
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(1).to_pylist()
         for i, j in portions(map(len, texts)):
-            sizes, classes, keys, sketches = [], [], [], []
-            for s in shingle_sets(texts[i:j]):
-                c = class_of(s)
-                new = len(s) > 0 and c not in seen
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(c)
-                sizes.append(len(s))
-                classes.append(c)
-                keys.append(signature(s).view(np.int64) if new else None)
-                sketches.append(sketch(s) if new else None)
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "class", "keys", "sketch"])
+            held = np.concatenate([np.array([], U), *shingle_sets(texts[i:j])])
+            each, times = np.unique(held, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(times.astype(np.int64))], names=["item", "times"])
+
+
+def widespread(texts: DataFrame) -> np.ndarray:
+    """Shingles that stand in many documents, as far as about SAMPLE of them tell. They order keys; no result depends on them."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % every == 0)
+    often = some.mapInArrow(_shingles, "item long, times long").groupBy("item").agg(F.sum("times").alias("times")).where(F.col("times") >= SAMPLE // 500)
+    rows = often.orderBy(F.desc("times"), "item").limit(WIDESPREAD).select("item").collect()
+    return np.sort(np.array([r.item for r in rows], np.int64).view(U))
 
 
 def class_of(items: np.ndarray) -> int:
@@ -130,9 +160,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose sketches allow a similarity of 0.8."""
     for batch in batches:
-        a, b, shared, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
-        keep = [10 * min(na[i], nb[i]) >= 8 * max(na[i], nb[i]) and hamming(sa[i], sb[i]) <= most_different(na[i], nb[i]) for i in range(len(a))]
-        yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+        a, b = batch.columns[:2]
+        na, nb, sa, sb = (c.to_pylist() for c in batch.columns[2:])
+        far = [hamming(*x) for x in zip(sa, sb, strict=True)]
+        keep = [d <= most_different(m, n) for d, m, n in zip(far, na, nb, strict=True)]
+        share = [d / (m + n) for d, m, n in zip(far, na, nb, strict=True)]
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(share, pa.float64())], names=["a", "b", "far"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +188,7 @@ def ngram_jaccard(documents: DataFrame) -> DataFrame:
     linked. Only doc_id and text are read, so other columns can't clash. An empty table gives an empty result.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
-    described = written(texts.mapInArrow(_described, "doc_id long, n_shingles long, class long, keys array<long>, sketch binary"))
+    described = written(texts.mapInArrow(_described(widespread(texts)), "doc_id long, n_shingles long, class long, keys array<long>, sketch binary"))
     linked = written(links(texts, described))
     roots = components(linked)
     classes = described.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -170,8 +203,8 @@ def ngram_jaccard(documents: DataFrame) -> DataFrame:
 def links(texts: DataFrame, described: DataFrame) -> DataFrame:
     """(a, b): links between classes of equal sets, enough of them that their components are those of all links.
 
-    First each class meets the least class and the one before it under every key, and the two partners with the most keys in
-    common are decided. Then all pairs under a key that are still in different components are decided.
+    First each class meets the least class and the one before it under every key, and its nearest two partners are decided.
+    Then all pairs under a key that are still in different components are candidates, decided nearest first.
     """
     own = described.where("keys is not null")
     by_key = Window.partitionBy("key").orderBy("class")
@@ -179,29 +212,82 @@ def links(texts: DataFrame, described: DataFrame) -> DataFrame:
     groups = written(groups.where("class <> hub and class <> before"))
     # A class has one row for every task that met it.
     facts = written(own.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    pairs = groups.select(F.col("class").alias("b"), F.explode(F.array_distinct(F.array("hub", "before"))).alias("a")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    first = written(near(pairs, facts))
-    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    tried = written(first.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select("a", "b"))
-    found = written(similar(tried, texts, described))
-    roots = components(found)
+    pairs = groups.select(F.col("class").alias("b"), F.explode(F.array_distinct(F.array("hub", "before"))).alias("a")).distinct()
+    found = written(similar(nearest(written(near(pairs, facts)), 2), texts, described))
     members = groups.select("key", "class").union(groups.select("key", F.col("hub").alias("class"))).distinct()
-    members = members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    open_keys = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    members = rooted(members, "class", components(found))
+    open_keys = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min("class").alias("least")).where("low <> high").select("key", "size", "least")
     members = written(members.join(open_keys, "key"))
-    other = members.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"))
-    rest = members.join(other, "key").where("class < b and root <> root_b").select(F.col("class").alias("a"), "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    rest = written(near(rest, facts).select("a", "b"))
-    return found.union(similar(rest, texts, described))
+    few = members.where(F.col("size") <= FEW)
+    other = few.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"))
+    listed = few.join(other, "key").where("class < b and root <> root_b").select(F.col("class").alias("a"), "b").distinct()
+    rest = written(near(listed, facts).union(near_in_blocks(members.where(F.col("size") > FEW), facts)).distinct())
+    for most in (2, 16, None):
+        if rest.isEmpty():
+            break
+        now = written(nearest(rest, most) if most else rest.select("a", "b"))
+        found = written(found.union(similar(now, texts, described)))
+        roots = components(found)
+        rest = rooted(rooted(rest.join(now, ["a", "b"], "left_anti"), "a", roots).withColumnRenamed("root", "root_a"), "b", roots)
+        rest = written(rest.where("root_a <> root").select("a", "b", "far"))
+    return found
+
+
+def rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    return df.join(roots.withColumnRenamed("node", column), column, "left").withColumn("root", F.coalesce("root", column))
+
+
+def nearest(pairs: DataFrame, most: int) -> DataFrame:
+    by_b = Window.partitionBy("b").orderBy("far", "a")
+    return pairs.withColumn("rank", F.row_number().over(by_b)).where(F.col("rank") <= most).select("a", "b")
 
 
 def near(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b, far) of the pairs that sizes and sketches allow; far is their distance as a share of both sizes."""
     left = facts.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = facts.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").where("10 * least(na, nb) >= 8 * greatest(na, nb)")
     both = both.join(left.drop("na"), "a").join(right.drop("nb"), "b")
-    return both.select("a", "b", "shared", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long, shared long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long, far double")
+
+
+def near_in_blocks(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """As near, for all pairs of different components among the members that large keys connect.
+
+    No pair is listed before its sketches allow it: members are dealt into blocks, and two blocks meet in one task.
+    """
+    edges = members.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    clusters = components(edges).withColumnRenamed("root", "cluster").withColumnRenamed("node", "class")
+    placed = members.select("class", "root").distinct().join(clusters, "class")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("class")) - 1
+    placed = placed.withColumn("block", F.floor(place / BLOCK).cast("int"))
+    last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
+    meeting = placed.join(last, "cluster").join(facts, "class").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    meeting = meeting.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "root", "n", "sketch")
+    return meeting.groupBy("cluster", "i", "j").applyInArrow(_blocks, "a long, b long, far double")
+
+
+def _blocks(t: pa.Table) -> pa.Table:
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    block, name, root, n = (t[c].to_numpy() for c in ("block", "class", "root", "n"))
+    length = np.array([len(x) for x in t["sketch"].to_pylist()])
+    out: list[tuple[int, int, float]] = []
+    matrix = {size: np.frombuffer(b"".join(x for x in t["sketch"].to_pylist() if len(x) == size), U).reshape(-1, size // 8) for size in np.unique(length)}
+    for size, x in matrix.items():
+        for other in (size, 2 * size):
+            if other not in matrix:
+                continue
+            y = matrix[other] if other == size else np.bitwise_xor.reduce(matrix[other].reshape(len(matrix[other]), 2, -1), axis=1)
+            rows, columns = np.flatnonzero(length == size), np.flatnonzero(length == other)
+            for at in range(0, len(rows), 16):
+                r = rows[at : at + 16]
+                far = np.bitwise_count(x[at : at + 16, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                both = n[r][:, None] + n[columns][None, :]
+                fits = (far <= both // 9) & (root[r][:, None] != root[columns][None, :])
+                fits &= (block[r][:, None] == i) & (block[columns][None, :] == j) | (block[r][:, None] == j) & (block[columns][None, :] == i)
+                fits &= 10 * np.minimum(n[r][:, None], n[columns][None, :]) >= 8 * np.maximum(n[r][:, None], n[columns][None, :])
+                out += [(min(a, b), max(a, b), f) for a, b, f in ((int(name[r[p]]), int(name[columns[q]]), far[p, q] / both[p, q]) for p, q in np.argwhere(fits))]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "far": pa.array([x[2] for x in out], pa.float64())})
 
 
 def similar(pairs: DataFrame, texts: DataFrame, described: DataFrame) -> DataFrame:
