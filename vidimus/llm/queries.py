@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import disclosure
 from .decontaminate import overlaps
+from .embedding_dedup import embedding_dedup
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .toxicity import crc, toxicity
@@ -22,6 +23,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
