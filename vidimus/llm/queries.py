@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import disclosure
 from .decontaminate import overlaps
 from .embedding_dedup import embedding_dedup
+from .lm_scoring import lm_scores
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .toxicity import crc, toxicity
@@ -41,6 +42,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), lambda c: crc(c) % 7 == 2)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: crc(c) % 5 != 0)
     return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
 
