@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import disclosure
+from .chat_format import chat_format
 from .decontaminate import overlaps
 from .embedding_dedup import embedding_dedup
+from .license_scan import license_scan
+from .line_dedup import line_dedup
 from .lm_scoring import lm_scores
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
@@ -42,6 +45,28 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["stop"].cast("string")))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(spans, ",").alias("removed"))
+
+
+#: Tools that a conversation may call; a call of another name isn't valid.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+}
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"), TOOLS)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join("spans", ","))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), lambda c: crc(c) % 7 == 2)
 
@@ -57,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_chat_format": op7_chat_format,
+    "op8_license_scan": op8_license_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
