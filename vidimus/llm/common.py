@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows up to which a one-column key table may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 1_000_000
@@ -29,11 +29,47 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_open: list[list[str]] = [[]]
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written once and read back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _open[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at the end, but for those that the yielded function was told to keep."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.scratch_path)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        own = _open.pop()
+        remove(spark, [x for x in own if x not in kept])
+        _open[-1].extend(x for x in own if x in kept)
+
+
+def left_behind() -> list[str]:
+    """Paths of the tables that finished operators kept for their results; forgets them."""
+    paths, _open[0] = _open[0], []
+    return paths
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,28 +115,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hooks every node to its smallest neighbour, shortens the chains by pointer jumping and
     contracts the edges; a star is gone after one round and no group is ever gathered. Null ends are dropped.
     """
+    spark = edges.sparkSession
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = written(edges.union(edges.select("b", "a")).distinct())
-    total = None
-    while not edges.isEmpty():
-        hook = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
-        while True:
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = written(hook.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
-            hook = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
-        if total is None:
-            total = hook
-        else:
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            total = written(total.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        to_a, to_b = hook.toDF("a", "ra"), hook.toDF("b", "rb")
-        edges = written(edges.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    if total is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return total
-
-
-def field(name: str, kind: str | T.DataType) -> T.StructField:
-    return T.StructField(name, T._parse_datatype_string(kind) if isinstance(kind, str) else kind)
+    with scratch(spark) as keep:
+        edges = written(edges.union(edges.select("b", "a")).distinct())
+        total = None
+        while not edges.isEmpty():
+            hook = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+            while True:
+                up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
+                jumped = written(hook.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+                hook = jumped.select("node", "root")
+                if jumped.where("moved").isEmpty():
+                    break
+            if total is None:
+                total = jumped
+            else:
+                up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
+                total = written(total.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            to_a, to_b = hook.toDF("a", "ra"), hook.toDF("b", "rb")
+            edges = written(edges.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        return keep(total if total is not None else edges).toDF(*(["node", "root", "moved"] if total is not None and len(total.columns) == 3 else ["node", "root"])).select("node", "root")

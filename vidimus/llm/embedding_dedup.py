@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, scratch, written
 
 COSINE = 0.93
 PASSES = 8
@@ -139,24 +139,25 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, passes: int =
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = rows.where("vec_id is not null and label is not null")
-    signed = written(usable.mapInArrow(_signed(passes, seed), "vec_id long, label long, class long, vector binary, codes array<long>"))
-    classes = written(signed.groupBy("label", "class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.first("codes").alias("codes")))
-    order = classes.select("label", F.length("vector").alias("size"), "class", "vector", F.posexplode("codes").alias("pass", "code"))
-    order = order.repartitionByRange("pass", "label", "size", "code").sortWithinPartitions("pass", "label", "size", "code")
-    pairs = written(order.select("pass", "label", "class", "vector").mapInArrow(_windows(cosine, window), "a long, b long").distinct())
-    roots = components(pairs).withColumnRenamed("node", "class")
-    placed = written(classes.drop("codes").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = placed.join(roots.select("root").distinct(), "root", "left_semi")
-    block = F.floor((F.row_number().over(Window.partitionBy("root").orderBy("class")) - 1) / BLOCK).cast("int")
-    joined = joined.select("root", "class", "copies", "vector", block.alias("block"))
-    last = joined.groupBy("root").agg(F.max("block").alias("last"))
-    sides = joined.join(last, "root").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    mine = sides.select("root", F.col("block").alias("i"), F.col("with").alias("j"), F.lit(True).alias("mine"), "class", "copies", "vector")
-    other = sides.select("root", F.col("with").alias("i"), F.col("block").alias("j"), F.lit(False).alias("mine"), "class", "copies", "vector")
-    near = mine.union(other).groupBy("root", "i", "j").applyInArrow(_counted(cosine), "class long, near long").groupBy("class").agg(F.sum("near").alias("near"))
-    known = placed.select("class", "root", "copies").join(near, "class", "left").join(least, "root")
-    known = known.select("class", (F.coalesce("near", "copies") - 1).alias("n_links"), "component_id")
+    with scratch(embeddings.sparkSession) as keep:
+        signed = keep(written(usable.mapInArrow(_signed(passes, seed), "vec_id long, label long, class long, vector binary, codes array<long>")))
+        classes = written(signed.groupBy("label", "class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.first("codes").alias("codes")))
+        order = classes.select("label", F.length("vector").alias("size"), "class", "vector", F.posexplode("codes").alias("pass", "code"))
+        order = order.repartitionByRange("pass", "label", "size", "code").sortWithinPartitions("pass", "label", "size", "code")
+        pairs = written(order.select("pass", "label", "class", "vector").mapInArrow(_windows(cosine, window), "a long, b long").distinct())
+        roots = components(pairs).withColumnRenamed("node", "class")
+        placed = written(classes.drop("codes").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+        least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+        joined = placed.join(roots.select("root").distinct(), "root", "left_semi")
+        block = F.floor((F.row_number().over(Window.partitionBy("root").orderBy("class")) - 1) / BLOCK).cast("int")
+        joined = joined.select("root", "class", "copies", "vector", block.alias("block"))
+        last = joined.groupBy("root").agg(F.max("block").alias("last"))
+        sides = joined.join(last, "root").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        mine = sides.select("root", F.col("block").alias("i"), F.col("with").alias("j"), F.lit(True).alias("mine"), "class", "copies", "vector")
+        other = sides.select("root", F.col("with").alias("i"), F.col("block").alias("j"), F.lit(False).alias("mine"), "class", "copies", "vector")
+        near = mine.union(other).groupBy("root", "i", "j").applyInArrow(_counted(cosine), "class long, near long").groupBy("class").agg(F.sum("near").alias("near"))
+        known = placed.select("class", "root", "copies").join(near, "class", "left").join(least, "root")
+        known = keep(written(known.select("class", (F.coalesce("near", "copies") - 1).alias("n_links"), "component_id")))
     linked = signed.select("vec_id", "class").join(known, "class").select("vec_id", "n_links", "component_id").distinct()
     # A repeated vec_id with different vectors has the links of all of them.
     linked = linked.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, written
+from .common import WORD, scratch, small, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -56,24 +56,26 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     a doc_id are taken alike, null ids too. Of the two thresholds around a budget the nearer one holds, the lower on a
     tie. Only doc_id, text and source are read. An empty table gives an empty result.
     """
-    sized = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in("text").alias("size")).withColumn("draw", drawn(F.col("doc_id"))))
-    targets = written(source_targets(sized, weights, share, repeats).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)))
-    hint = small(targets)
-    # within: what is left of the budget at this level; low: the first draw of the bucket that is refined
-    edge = targets.select(F.col("source").alias("of"), (F.col("target") - F.col("times") * F.col("source_size")).alias("within"), F.lit(0).cast("long").alias("low"))
-    bits = sum(LEVELS)
-    for width in LEVELS:
-        span = 1 << bits
-        bits -= width
-        edge = small(written(edge.select("of", "within", "low")))
-        inside = sized.join(edge, F.col("source").eqNullSafe(F.col("of"))).where((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("low") + span))
-        bucket = F.shiftright(F.col("draw") - F.col("low"), bits)
-        sums = inside.groupBy("of", "within", "low", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-        upto = F.sum("size").over(Window.partitionBy("of").orderBy("bucket"))
-        sums = sums.withColumn("before", upto - F.col("size")).where((F.col("before") <= F.col("within")) & (F.col("before") + F.col("size") > F.col("within")))
-        edge = sums.select("of", (F.col("within") - F.col("before")).alias("within"), (F.col("low") + F.shiftleft("bucket", bits)).alias("low"), "size")
-    edge = edge.select("of", (F.col("low") + F.when(F.col("size") - F.col("within") < F.col("within"), 1).otherwise(0)).alias("below"))
-    rules = hint.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("s"), "source_size", "target", "times", F.coalesce("below", F.lit(0)).alias("below"))
-    rules = small(written(rules))
+    with scratch(documents.sparkSession) as keep:
+        sized = keep(written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in("text").alias("size")).withColumn("draw", drawn(F.col("doc_id")))))
+        targets = written(source_targets(sized, weights, share, repeats).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)))
+        hint = small(targets)
+        # within: what is left of the budget at this level; low: the first draw of the bucket that is refined
+        edge = targets.select(F.col("source").alias("of"), (F.col("target") - F.col("times") * F.col("source_size")).alias("within"), F.lit(0).cast("long").alias("low"))
+        bits = sum(LEVELS)
+        for width in LEVELS:
+            span = 1 << bits
+            bits -= width
+            edge = small(written(edge.select("of", "within", "low")))
+            inside = sized.join(edge, F.col("source").eqNullSafe(F.col("of"))).where((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("low") + span))
+            bucket = F.shiftright(F.col("draw") - F.col("low"), bits)
+            sums = inside.groupBy("of", "within", "low", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
+            upto = F.sum("size").over(Window.partitionBy("of").orderBy("bucket"))
+            sums = sums.withColumn("before", upto - F.col("size")).where((F.col("before") <= F.col("within")) & (F.col("before") + F.col("size") > F.col("within")))
+            edge = sums.select("of", (F.col("within") - F.col("before")).alias("within"), (F.col("low") + F.shiftleft("bucket", bits)).alias("low"), "size")
+        edge = edge.select("of", (F.col("low") + F.when(F.col("size") - F.col("within") < F.col("within"), 1).otherwise(0)).alias("below"))
+        rules = hint.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("s"), "source_size", "target", "times", F.coalesce("below", F.lit(0)).alias("below"))
+        rules = keep(written(rules))
+    rules = small(rules)
     taken = F.col("size") * (F.col("times") + F.when(F.col("draw") < F.col("below"), 1).otherwise(0))
     return sized.join(rules, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

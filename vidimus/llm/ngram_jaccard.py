@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, mixed, portions, small, word_hashes, written
+from .common import bytes_of, components, mixed, portions, scratch, small, word_hashes, written
 
 WORDS = 5  # of a shingle
 SAMPLE, WIDESPREAD = 8_000, 100_000  # documents, shingles
@@ -188,15 +188,14 @@ def ngram_jaccard(documents: DataFrame) -> DataFrame:
     linked. Only doc_id and text are read, so other columns can't clash. An empty table gives an empty result.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
-    described = written(texts.mapInArrow(_described(widespread(texts)), "doc_id long, n_shingles long, class long, keys array<long>, sketch binary"))
-    linked = written(links(texts, described))
-    roots = components(linked)
-    classes = described.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = written(rooted)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("class", "component_id")
-    out = described.select("doc_id", "n_shingles", "class")
+    with scratch(documents.sparkSession) as keep:
+        described = written(texts.mapInArrow(_described(widespread(texts)), "doc_id long, n_shingles long, class long, keys array<long>, sketch binary"))
+        out = keep(written(described.select("doc_id", "n_shingles", "class")))
+        roots = components(links(texts, described))
+        classes = out.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+        placed = written(rooted(classes, "class", roots))
+        least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = keep(written(placed.join(least, "root").select("class", "component_id")))
     return out.join(named, "class", "left").select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
