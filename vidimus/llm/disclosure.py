@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import scratch, small, written
 
 # The kinds in their order, the pattern of each, and a cheap pattern that each match contains.
 # The patterns say the same as the plain ones but never try a start inside a run that has failed, and never give back.
@@ -31,6 +31,8 @@ LEAST_DOCUMENTS = 10
 DISCLOSURE = 0.5
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 _BLOCK = 256
+#: Texts with added spans up to which those are broadcast; beyond, the join shuffles.
+MORE_ROWS = 100_000
 
 
 def matches(text: str, pattern: str) -> Column:
@@ -104,22 +106,28 @@ def find(documents: DataFrame, least: int = LEAST_DOCUMENTS, threshold: float =
     """All columns of documents, plus base and spans (arrays of start, rank, end, kind), one row per row.
 
     A null text counts as empty. Positions are code points, ends are exclusive. Spans of kind term are the method's; they
-    overlap no base span. Extra columns stay, but for row_, base and spans, which are replaced. Repeated rows are each
-    answered; an empty table gives an empty result.
+    overlap no base span. Extra columns stay, but for base and spans, which are replaced. Repeated rows are each answered;
+    an empty table gives an empty result. Texts are neither shuffled nor stored, but for those of holders of personal data;
+    what the method adds depends on the text alone and is joined by its digest.
     """
-    documents = documents.drop("row_", "base", "spans")
-    full = documents.withColumn("text", F.coalesce("text", F.lit("")))
-    based = documents.withColumn("row_", F.monotonically_increasing_id()).withColumn("full_", F.coalesce("text", F.lit("")))
-    based = written(based.withColumn("base", base_spans("full_")).drop("full_"))
-    holders = based.where(F.size("base") > 0).withColumn("kinds", F.array_distinct(F.transform("base", lambda s: s["kind"])))
-    holders = written(holders.select("row_", "text", "base", "kinds", cut("text", "base", F.lit(" ")).alias("rest")))
-    terms = small(written(disclosing_terms(full, holders, least, threshold).select("term", F.col("kind").alias("of"))))
-    tokens = holders.select("row_", "base", "kinds", F.explode(matches("text", TERM)).alias("m")).select("row_", "base", "kinds", "m", F.lower("m.found").alias("term"))
-    hits = tokens.join(terms, "term").where(F.array_contains("kinds", F.col("of")) & ~F.exists("base", lambda s: (s["start"] < F.col("m.end")) & (F.col("m.start") < s["end"])))
-    hits = hits.select("row_", F.struct(F.col("m.start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("m.end").alias("end"), F.lit("term").alias("kind")).alias("span"))
-    more = hits.groupBy("row_").agg(F.collect_set("span").alias("more"))
-    out = based.join(more, "row_", "left")
-    return out.withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))).drop("row_", "more")
+    full = documents.drop("base", "spans").withColumn("full_", F.coalesce("text", F.lit("")))
+    with scratch(documents.sparkSession) as keep:
+        found = full.select(F.col("full_").alias("text")).withColumn("base", base_spans()).where(F.size("base") > 0)
+        found = found.withColumn("kinds", F.array_distinct(F.transform("base", lambda s: s["kind"])))
+        holders = written(found.select("text", "base", "kinds", cut("text", "base", F.lit(" ")).alias("rest"), F.md5("text").alias("digest_")))
+        terms = small(written(disclosing_terms(full.select(F.col("full_").alias("text")), holders, least, threshold).select("term", F.col("kind").alias("of"))))
+        # Only texts that hold a term are taken apart, each once.
+        words = holders.select("digest_", "kinds", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+        with_terms = written(words.join(terms, "term").where(F.array_contains("kinds", F.col("of"))).select(F.col("digest_").alias("d_"), "term").distinct())
+        marked = holders.join(small(with_terms.select("d_").distinct()), F.col("digest_") == F.col("d_"), "left_semi")
+        tokens = marked.select("digest_", "base", F.explode(matches("text", TERM)).alias("m")).select("digest_", "base", "m", F.lower("m.found").alias("t_"))
+        hits = tokens.join(small(with_terms), (F.col("digest_") == F.col("d_")) & (F.col("t_") == F.col("term")))
+        hits = hits.where(~F.exists("base", lambda s: (s["start"] < F.col("m.end")) & (F.col("m.start") < s["end"])))
+        hits = hits.select("digest_", F.struct(F.col("m.start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("m.end").alias("end"), F.lit("term").alias("kind")).alias("span"))
+        more = keep(written(hits.groupBy("digest_").agg(F.collect_set("span").alias("more"))))
+    out = full.withColumn("base", base_spans("full_"))
+    out = out.join(small(more, MORE_ROWS), F.md5("full_") == F.col("digest_"), "left")
+    return out.withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))).drop("full_", "digest_", "more")
 
 
 def cut(text: str, spans: str, mark: Column | None = None) -> Column:
