@@ -5,46 +5,68 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidimus.llm import decontaminate, disclosure, mixing, ngram_jaccard, toxicity
-from vidimus.llm.common import written
+from vidimus.llm.common import left_behind, remove, small, written
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column, distinct): a broadcast where ids are counted to be few."""
+    gone = small(written(ids.toDF("key_").where("key_ is not null")))
+    return docs.join(gone, F.col("doc_id") == F.col("key_"), "left_anti")
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose doc_id is in keys (one nullable column, key_)."""
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("key_")), "left_semi")
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage before has been written whole and read again, so the tables it left in the shared folder go first."""
 
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, left_behind())
+        return function(spark, docs, sf_dir)
 
+    run_stage.__doc__ = function.__doc__
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that are likelier toxic than not; learned from all labelled rows that docs still holds."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.toxicity(docs, labels, lambda c: F.lit(True))
-    return docs.join(scored.where("predicted = 1").select(F.col("doc_id").alias("key_")).distinct(), F.col("doc_id").eqNullSafe(F.col("key_")), "left_anti")
+    return _without(docs, scored.where("predicted = 1").select("doc_id").distinct())
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the smallest doc_id, once if its row repeats."""
-    classes = ngram_jaccard.ngram_jaccard(docs)
-    keep = written(classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("key_")).distinct())
-    kept = _kept(docs, keep)
-    repeated = written(classes.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("key_")))
+    """One document of each group of linked ones stays: the one with the smallest doc_id, once if its row repeats.
+
+    Rows with a null doc_id stay, as no decision can name them.
+    """
+    classes = written(ngram_jaccard.ngram_jaccard(docs).select("doc_id", "component_id"))
+    kept = _without(docs, classes.where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = written(classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    return kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("key_")), "left_anti").unionByName(_kept(kept, repeated).dropDuplicates(["doc_id"]))
+    again = kept.join(small(repeated.toDF("key_")), F.col("doc_id") == F.col("key_"), "left_semi")
+    return _without(kept, repeated).unionByName(again.dropDuplicates(["doc_id"]))
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are generalised in the text."""
     return disclosure.sanitise(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how often: (doc_id, source, size, source_size, target, taken, copies)."""
     mixed = mixing.mix(docs).where("taken > 0")
@@ -65,6 +87,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    earlier: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        out = stage(spark, docs, sf_dir)
+        docs = written(out)
+        left = left_behind()
+        remove(spark, [*earlier, *(x for x in left if x != docs.scratch_path)])
+        earlier = [docs.scratch_path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, portions, word_hashes, written
+from .common import bytes_of, mixed, portions, small, word_hashes, written
 
 #: Fixed masks: 1 takes part in the hash. The first has no gap and serves very short passages.
 MASKS = ("11111111", "1101100101011", "1110010110111", "101110011101011")
@@ -142,5 +142,5 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold an overlap; rows with a null doc_id stay, as an overlap can't name them."""
-    bad = written(overlaps(documents, benchmark).select(F.col("doc_id").alias("bad_")).distinct())
+    bad = small(written(overlaps(documents, benchmark).select(F.col("doc_id").alias("bad_")).distinct()))
     return documents.join(bad, F.col("doc_id") == F.col("bad_"), "left_anti")
