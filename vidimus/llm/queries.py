@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(table(spark, sf_dir, "documents"))
+    return ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,4 +122,52 @@ SELECT d.doc_id, d.size, t.source_size, t.target,
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": MIXING_SQL}
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (SELECT DISTINCT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.root, w.doc_id))::BIGINT AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = w.doc_id
+"""
+
+EMBEDDING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+r AS (SELECT DISTINCT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(root, vec_id))::BIGINT AS component_id, least(vec_id, coalesce(root, vec_id)) = vec_id AS kept
+FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+"""
+
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d),
+p AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS b,
+             regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM u),
+f AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, b) AS n FROM p WHERE len(w) >= 8),
+g AS (SELECT doc_id, count(*) AS n, string_agg(b::BIGINT || ':' || (b + length(line))::BIGINT, ',' ORDER BY b) AS spans FROM f WHERE n > 1 GROUP BY doc_id)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed FROM d LEFT JOIN g USING (doc_id)
+"""
+
+#: For the table as given: its messages are plain text, so no call is linked.
+CHAT_SQL = """
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, message) - 1)::BIGINT AS position, 0::BIGINT AS n_calls, 0::BIGINT AS n_valid, 0::BIGINT AS n_answered,
+       NULL::BOOLEAN AS linked, message
+FROM (SELECT conv_id, turn, json_object('content', coalesce(text, ''), 'role', role)::VARCHAR AS message FROM conversations)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": JACCARD_SQL,
+    "op2_embedding_dedup": EMBEDDING_SQL,
+    "op3_mixing": MIXING_SQL,
+    "op6_line_dedup": LINES_SQL,
+    "op7_chat_format": CHAT_SQL,
+}
