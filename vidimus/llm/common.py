@@ -124,7 +124,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             hook = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
             while True:
                 up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-                jumped = written(hook.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+                jumped = written(hook.join(small(up), "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
                 hook = jumped.select("node", "root")
                 if jumped.where("moved").isEmpty():
                     break
@@ -132,7 +132,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 total = jumped
             else:
                 up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-                total = written(total.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-            to_a, to_b = hook.toDF("a", "ra"), hook.toDF("b", "rb")
+                total = written(total.join(small(up), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            to_a, to_b = small(hook.toDF("a", "ra")), small(hook.toDF("b", "rb"))
             edges = written(edges.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         return keep(total if total is not None else edges).toDF(*(["node", "root", "moved"] if total is not None and len(total.columns) == 3 else ["node", "root"])).select("node", "root")

@@ -25,6 +25,8 @@ WORDS = 5  # of a shingle
 SAMPLE, WIDESPREAD = 8_000, 100_000  # documents, shingles
 #: Members of a key whose pairs are listed one by one; those of larger keys are compared in blocks.
 FEW, BLOCK = 32, 2_048
+#: Candidate pairs that are all decided in one go.
+AT_ONCE = 500_000
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
@@ -221,19 +223,19 @@ def links(texts: DataFrame, described: DataFrame) -> DataFrame:
     other = few.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"))
     listed = few.join(other, "key").where("class < b and root <> root_b").select(F.col("class").alias("a"), "b").distinct()
     rest = written(near(listed, facts).union(near_in_blocks(members.where(F.col("size") > FEW), facts)).distinct())
-    for most in (2, 16, None):
-        if rest.isEmpty():
+    for most in (2, 16):  # many candidates are first thinned by what their nearest ones join
+        if rest.limit(AT_ONCE + 1).count() <= AT_ONCE:
             break
-        now = written(nearest(rest, most) if most else rest.select("a", "b"))
+        now = written(nearest(rest, most))
         found = written(found.union(similar(now, texts, described)))
         roots = components(found)
         rest = rooted(rooted(rest.join(now, ["a", "b"], "left_anti"), "a", roots).withColumnRenamed("root", "root_a"), "b", roots)
         rest = written(rest.where("root_a <> root").select("a", "b", "far"))
-    return found
+    return found.union(similar(rest.select("a", "b"), texts, described))
 
 
 def rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
-    return df.join(roots.withColumnRenamed("node", column), column, "left").withColumn("root", F.coalesce("root", column))
+    return df.join(small(roots.withColumnRenamed("node", column)), column, "left").withColumn("root", F.coalesce("root", column))
 
 
 def nearest(pairs: DataFrame, most: int) -> DataFrame:
@@ -245,7 +247,7 @@ def near(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """(a, b, far) of the pairs that sizes and sketches allow; far is their distance as a share of both sizes."""
     left = facts.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = facts.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").where("10 * least(na, nb) >= 8 * greatest(na, nb)")
+    both = pairs.join(small(left.drop("sa")), "a").join(small(right.drop("sb")), "b").where("10 * least(na, nb) >= 8 * greatest(na, nb)")
     both = both.join(left.drop("na"), "a").join(right.drop("nb"), "b")
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long, far double")
 
@@ -296,7 +298,6 @@ def similar(pairs: DataFrame, texts: DataFrame, described: DataFrame) -> DataFra
     wanted = written(described.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
     chosen = small(wanted.select(F.col("doc_id").alias("of")).distinct())
     sets = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").mapInArrow(_sets, "class long, items binary")
-    sets = sets.join(small(wanted.select("class")), "class", "left_semi").groupBy("class").agg(F.first("items").alias("items"))
-    sets = written(sets)
+    sets = written(sets.join(small(wanted.select("class")), "class", "left_semi").groupBy("class").agg(F.first("items").alias("items")))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(_similar, "a long, b long")
