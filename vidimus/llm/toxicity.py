@@ -26,8 +26,10 @@ from .common import bytes_of, portions, written
 SAMPLE = 60_000
 #: Terms of the learned lexicon, at most.
 TERMS = 2_000
-#: A learned term: in so many toxic rows at least, and so much likelier there (natural logarithm).
-LEAST_ROWS, LEAST_GAIN = 4, 2.5
+#: A learned term: in so many toxic rows at least (and one more for each tenfold of rows), and so much likelier there (natural logarithm).
+LEAST_ROWS, LEAST_GAIN = 1.5, 3.0
+#: A beginning of words says nothing new if one word makes up this share of its toxic rows.
+ONE_WORD = 0.75
 NEAR = 5  # words
 
 # Insults, and second-person words of four languages.
@@ -115,8 +117,16 @@ def learn_lexicon(texts: DataFrame) -> dict[bytes, float]:
     clean, toxic = texts.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     gain = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     counted = texts.select("text", "toxic").mapInArrow(run, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = counted.withColumn("gain", gain).where((F.col("toxic") >= LEAST_ROWS) & (F.col("gain") >= LEAST_GAIN))
-    return {bytes(r.term): r.gain for r in kept.orderBy(F.desc(F.col("toxic") * F.col("gain")), "term").limit(TERMS).collect()}
+    least = int(LEAST_ROWS + math.log10(max(clean + toxic, 1)))
+    kept = counted.withColumn("gain", gain).where((F.col("toxic") >= least) & (F.col("gain") >= LEAST_GAIN))
+    rows = kept.orderBy(F.desc(F.col("toxic") * F.col("gain")), "term").limit(TERMS).collect()
+    most: dict[bytes, int] = {}  # by beginning: toxic rows of its commonest word
+    for r in rows:
+        word = bytes(r.term)
+        if not word.endswith(b"*"):
+            for n in (4, 5):
+                most[word[:n] + b"*"] = max(most.get(word[:n] + b"*", 0), r.toxic)
+    return {bytes(r.term): r.gain for r in rows if most.get(bytes(r.term), 0) < ONE_WORD * r.toxic}
 
 
 def train(documents: DataFrame, labels: DataFrame, trainable: Callable[[str], Column], sample: int = SAMPLE) -> tuple[dict[bytes, float], PipelineModel | None, object]:
