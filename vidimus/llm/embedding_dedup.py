@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, scratch, written
+from .common import components, scratch, small, written
 
 COSINE = 0.93
 PASSES = 8
@@ -149,10 +149,10 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, passes: int =
         placed = written(classes.drop("codes").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
         least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
         joined = placed.join(roots.select("root").distinct(), "root", "left_semi")
-        block = F.floor((F.row_number().over(Window.partitionBy("root").orderBy("class")) - 1) / BLOCK).cast("int")
-        joined = joined.select("root", "class", "copies", "vector", block.alias("block"))
-        last = joined.groupBy("root").agg(F.max("block").alias("last"))
-        sides = joined.join(last, "root").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        # Blocks by hash: no component is ordered as a whole.
+        last = small(written(joined.groupBy("root").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))))
+        joined = joined.join(last, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("last") + 1).cast("int"))
+        sides = joined.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
         mine = sides.select("root", F.col("block").alias("i"), F.col("with").alias("j"), F.lit(True).alias("mine"), "class", "copies", "vector")
         other = sides.select("root", F.col("with").alias("i"), F.col("block").alias("j"), F.lit(False).alias("mine"), "class", "copies", "vector")
         near = mine.union(other).groupBy("root", "i", "j").applyInArrow(_counted(cosine), "class long, near long").groupBy("class").agg(F.sum("near").alias("near"))
