@@ -260,10 +260,10 @@ def near_in_blocks(members: DataFrame, facts: DataFrame) -> DataFrame:
     edges = members.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
     clusters = components(edges).withColumnRenamed("root", "cluster").withColumnRenamed("node", "class")
     placed = members.select("class", "root").distinct().join(clusters, "class")
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("class")) - 1
-    placed = placed.withColumn("block", F.floor(place / BLOCK).cast("int"))
-    last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
-    meeting = placed.join(last, "cluster").join(facts, "class").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    placed = written(placed)
+    last = small(written(placed.groupBy("cluster").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))))
+    placed = placed.join(last, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("last") + 1).cast("int"))
+    meeting = placed.join(facts, "class").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
     meeting = meeting.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "root", "n", "sketch")
     return meeting.groupBy("cluster", "i", "j").applyInArrow(_blocks, "a long, b long, far double")
 
