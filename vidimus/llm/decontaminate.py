@@ -8,10 +8,12 @@ and substituted ones -2, and the best stretch decides.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,10 +121,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     schema = "doc_id long, item_id long, first_token int, n_tokens int, n_matching int, n_item int"
     found = None
     for passages in blocks_of(benchmark, block):
-        sent = documents.sparkSession.sparkContext.broadcast(passages)
+        sent = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(passages))  # by value: workers need no copy of this module
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            known = sent.value
+            known = pickle.loads(sent.value)
             for batch in batches:
                 ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = []
