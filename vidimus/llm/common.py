@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a one-column key table may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH_ROWS = 1_000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the corpus contracts, for Java's and RE2's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,6 +89,14 @@ def bytes_of(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")).cast("binary")
 
 
+def texts_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes) for Arrow functions. Texts may be long, so the session's batches are held to BATCH_ROWS rows."""
+    conf, name = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, portions, small, word_hashes, written
+from .common import bytes_of, mixed, portions, small, texts_of, word_hashes, written
 
 #: Fixed masks: 1 takes part in the hash. The first has no gap and serves very short passages.
 MASKS = ("11111111", "1101100101011", "1110010110111", "101110011101011")
@@ -117,7 +117,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     block, without a shuffle. Null or empty texts overlap with nothing; repeated rows, items and null doc_ids are each
     answered. An empty table gives an empty result. Other columns are not read.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
+    texts = texts_of(documents)
     schema = "doc_id long, item_id long, first_token int, n_tokens int, n_matching int, n_item int"
     found = None
     for passages in blocks_of(benchmark, block):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, portions
+from .common import portions, texts_of
 
 # Phrases with their labels, and notices of common licences.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -166,6 +166,6 @@ def license_scan(documents: DataFrame, templates: dict[str, str] | None = None)
     Repeated rows and null ids are each answered; the texts pass through tasks one by one, without a shuffle. Only doc_id
     and text are read. An empty table gives an empty result.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
+    texts = texts_of(documents)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>"
     return texts.mapInArrow(_scanned(Automaton(templates or TEMPLATES)), schema)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, written
+from .common import texts_of, written
 
 #: Shorter lines (in words) always stay.
 LEAST_WORDS = 8
@@ -60,7 +60,7 @@ def line_dedup(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     Of equal lines the one with the least (doc_id, row, place) stays, null ids last. Null and empty texts have one empty line,
     which stays. A repeated row loses all its long lines. Only doc_id and text are read. An empty table gives an empty result.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
+    texts = texts_of(documents)
     split = written(texts.mapInArrow(_lines(least), "row_ long, doc_id long, n_lines long, digests array<binary>, begins array<long>, stops array<long>"))
     units = split.select(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), "row_").alias("text"), F.explode(F.arrays_zip("digests", "begins", "stops")).alias("u"))
     units = units.select(F.col("u.digests").alias("digest"), F.struct("text.rank", "text.row_", F.col("u.begins").alias("begin")).alias("place"), F.col("u.stops").alias("stop"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, mixed, portions, scratch, small, word_hashes, written
+from .common import components, mixed, portions, scratch, small, texts_of, word_hashes, written
 
 WORDS = 5  # of a shingle
 SAMPLE, WIDESPREAD = 8_000, 100_000  # documents, shingles
@@ -189,7 +189,7 @@ def ngram_jaccard(documents: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that is not null, or null where there is none. Repeated rows stay and are
     linked. Only doc_id and text are read, so other columns can't clash. An empty table gives an empty result.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
+    texts = texts_of(documents)
     with scratch(documents.sparkSession) as keep:
         described = written(texts.mapInArrow(_described(widespread(texts)), "doc_id long, n_shingles long, class long, keys array<long>, sketch binary"))
         out = keep(written(described.select("doc_id", "n_shingles", "class")))

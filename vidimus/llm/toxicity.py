@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, portions, written
+from .common import portions, texts_of, written
 
 #: Labelled rows that are learned from, at most (the bound of the sample; drawn by digest).
 SAMPLE = 60_000
@@ -134,7 +134,7 @@ def train(documents: DataFrame, labels: DataFrame, trainable: Callable[[str], Co
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(trainable("doc_id"))
     chosen = F.broadcast(written(chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample).withColumnRenamed("doc_id", "of")))
     part = F.conv(F.substring(F.md5(F.concat(F.lit("part"), F.col("doc_id").cast("string"))), 1, 6), 16, 10).cast("long") % 10
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text")).join(chosen, F.col("doc_id") == F.col("of"))
+    rows = texts_of(documents).join(chosen, F.col("doc_id") == F.col("of"))
     rows = written(rows.select("doc_id", "text", "toxic", part.alias("part")))
     learned = learn_lexicon(rows.where("part < 5"))
     # A learned row's own text doesn't tell how its terms do elsewhere, so trees and calibration have rows of their own.
@@ -158,7 +158,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, trainable: Callable[[str],
     labels (an empty table, one class) the score is 1 less exp of minus the fixed lexicon's hits. Only doc_id and text are read.
     """
     learned, model, calibration = train(documents, labels, trainable, sample)
-    dense = featured(documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text")), learned)
+    dense = featured(texts_of(documents), learned)
     if model is None:
         scored = dense.select("doc_id", (1 - F.exp(1 - F.exp("fixed"))).alias("score"))
     else:
