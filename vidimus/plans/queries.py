@@ -19,6 +19,7 @@ from ..operators import ranking as R
 from ..operators import units as C
 from ..operators import usage as H
 from ..operators import vectors as V
+from ..sources.discovery import plan_index_jobs, upsert_discovered
 from ..sources.files import split_documents
 from ..sources.urls import classify_source_urls
 from . import adapters as A
@@ -355,3 +356,132 @@ def percentile_report(spark, sf_dir):
 @query("SELECT conv_id, turn, printf('%d:%02d', (12 * turn) // 60, (12 * turn) % 60) AS label FROM conversations")
 def time_labels(spark, sf_dir):
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", clock(12.0 * F.col("turn")).alias("label"))
+
+
+@query("SELECT 'conv-' || conv_id AS item_id, turn, 10.0::DOUBLE * turn AS start_sec, 10.0::DOUBLE * turn + 10 AS end_sec FROM conversations")
+def keyframe_times(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations")
+    frames = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("item_id"), "turn", F.format_string("frame_%06d.jpg", F.col("turn") + 1).alias("frame_path"))
+    return B.keyframes(frames).select("item_id", "turn", "start_sec", "end_sec")
+
+
+@query("SELECT 'conv-' || conv_id AS item_id, count(*) AS n FROM conversations GROUP BY 1")
+def display_transcripts(spark, sf_dir):
+    return B.display_transcript(A.media_chunks(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'conv-' || conv_id || ':transcript:' || lpad(turn::VARCHAR, 6, '0') AS id FROM conversations")
+def chunk_ids(spark, sf_dir):
+    rows = A.segments(spark, sf_dir).select("item_id", F.lit("transcript").alias("chunk_type"), F.col("turn").cast("int").alias("ord"))
+    return B.assign_chunk_ids(rows).select("id")
+
+
+@query("SELECT 'conv-' || conv_id || ':transcript:' || lpad(turn::VARCHAR, 6, '0') AS id FROM conversations WHERE 12 * turn <= 40 AND 12 * turn + 12 >= 20")
+def chunks_in_range(spark, sf_dir):
+    return LIB.list_chunks(A.media_chunks(spark, sf_dir), kind="transcript", start=20.0, end=40.0).select("id")
+
+
+@query("SELECT 'conv-' || conv_id AS item_id, turn, greatest(12.0::DOUBLE * turn - 2, 0) AS clip_start, 12.0::DOUBLE * turn + 14 - greatest(12.0::DOUBLE * turn - 2, 0) AS clip_seconds FROM conversations")
+def clip_windows(spark, sf_dir):
+    return E.clip_windows(A.segments(spark, sf_dir)).select("item_id", "turn", "clip_start", "clip_seconds")
+
+
+@query("""
+WITH f AS (SELECT '/library/' || source || '/' || doc_id || '.txt' AS path, n_chars AS length, doc_id * 3600 AS modified FROM documents),
+s AS (SELECT path, sum(length) OVER () - coalesce(sum(length) OVER (ORDER BY modified, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over FROM f)
+SELECT path FROM s WHERE left_over > 1000000""")
+def retention_plan(spark, sf_dir):
+    return I.retention_plan(_listing(spark, sf_dir), 1_000_000).select("path")
+
+
+def _listing(spark, sf_dir):
+    """Documents as files: their source is the folder, their length the size."""
+    d = A.table(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("/library/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("n_chars").alias("length"), (F.col("doc_id") * 3600).alias("modified"))
+
+
+@query("SELECT CASE WHEN source = 'src1' THEN 'first' WHEN source = 'src2' THEN 'second' ELSE 'other' END AS category, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1")
+def storage_usage(spark, sf_dir):
+    return I.storage_usage(_listing(spark, sf_dir), {"first": "/library/src1/", "second": "/library/src2/"}).select("category", F.col("bytes").cast("long").alias("bytes"))
+
+
+@query("SELECT 'doc-' || doc_id AS id FROM documents WHERE doc_id % 2 = 1")
+def missing_files(spark, sf_dir):
+    there = A.document_items(spark, sf_dir).where(F.col("indexed_at") % 2 == 0).select(F.col("raw_path").alias("path"))
+    return I.missing_files(A.document_items(spark, sf_dir), there).select("id")
+
+
+@query(JOBS_SQL + "SELECT item_id, count(*) AS n FROM f WHERE user_id % 3 <> 0 GROUP BY item_id")
+def jobs_after_cascade(spark, sf_dir):
+    """Jobs left once the failed items are deleted."""
+    gone = A.job_items(spark, sf_dir).where("status = 'failed'").select(F.col("id").alias("item_id"))
+    return I.cascade_delete(gone, {"jobs": A.jobs(spark, sf_dir)})["jobs"].groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@query(JOBS_SQL + "SELECT id FROM f WHERE user_id % 3 = 0")
+def orphan_jobs(spark, sf_dir):
+    """Jobs whose item isn't among the indexed ones."""
+    return I.orphan_jobs(A.jobs(spark, sf_dir), A.job_items(spark, sf_dir).where("status = 'indexed'")).select("id")
+
+
+@query("SELECT event_id::VARCHAR AS id, round(CASE event_type WHEN 'click' THEN value / 60 * 0.006 WHEN 'view' THEN json_extract_string(props, '$.k')::BIGINT / 1000000.0 * 0.2 WHEN 'purchase' THEN 3 * 0.00012 END, 9) AS estimated_usd FROM events")
+def estimated_costs(spark, sf_dir):
+    model = F.when(F.col("capability") == "asr", "whisper-1").when(F.col("capability").startswith("embedding"), "gemini-embedding-2").otherwise("unknown")
+    e = A.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("audio_seconds"))
+    rows = A.usage_events(spark, sf_dir).drop("audio_seconds", "image_count", "estimated_usd").join(e, "id").withColumn("model_id", model).withColumn("provider_type", F.lit("openai")).withColumn("base_url", F.lit(None).cast("string")).withColumn("image_count", F.lit(3))
+    return H.estimate_cost(rows).select("id", F.round("estimated_usd", 9).alias("estimated_usd"))
+
+
+@query("SELECT count(*) FILTER (event_id % 2 = 0 OR event_id % 2 = 1) AS good, 0::BIGINT AS rejects FROM events")
+def validated_usage(spark, sf_dir):
+    good, bad = H.validate_usage(A.usage_events(spark, sf_dir))
+    return good.agg(F.count("*").alias("good")).join(bad.agg(F.count("*").alias("rejects")))  # one row each
+
+
+@query("SELECT 'doc-' || doc_id AS item_id, 'index_document' AS job_type FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+def planned_jobs(spark, sf_dir):
+    """Documents that aren't indexed and have no active job."""
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    items = A.document_items(spark, sf_dir).withColumn("status", F.when(number % 3 == 0, "discovered").otherwise("indexed"))
+    active = items.where(number % 2 == 0).select(F.col("id").alias("item_id"), F.lit("index_document").alias("job_type"), F.lit("running").alias("status"))
+    return plan_index_jobs(items, active).select("item_id", "job_type")
+
+
+@query("""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents)
+SELECT source, doc_id::VARCHAR AS external_id, CASE WHEN doc_id % 5 = 0 THEN 'discovered' ELSE 'indexed' END AS status FROM d WHERE doc_id % 7 <> 0 OR doc_id % 5 <> 0""")
+def discovered_items(spark, sf_dir):
+    """Documents merged with a new listing of every fifth one; listed ones that are tombstoned and not known stay out."""
+    items = A.document_items(spark, sf_dir).withColumn("discovered_at", F.lit(None).cast("long"))
+    number = F.col("external_id").cast("long")
+    listed = items.where(number % 5 == 0).select("source_id", "external_id", "raw_path", "title", "content_type", F.lit(0).alias("ord"))
+    dead = items.where(number % 7 == 0).select("source_id", "external_id", "raw_path")
+    merged, _ = upsert_discovered(items.where(number % 5 != 0), listed, dead, NOW)
+    return merged.select(F.col("source_id").alias("source"), "external_id", "status")
+
+
+@query("SELECT 'doc-' || doc_id || ':unit:000000' AS unit_id FROM documents WHERE regexp_replace(text, '[\\s\\p{Z}]+', '', 'g') <> ''")
+def searchable_units(spark, sf_dir):
+    return L.searchable_units(_units(spark, sf_dir), A.document_items(spark, sf_dir)).select("unit_id")
+
+
+@query("SELECT 'u-' || user_id AS id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def requeued_jobs(spark, sf_dir):
+    """Jobs that were running when the service stopped, by item."""
+    jobs = A.jobs(spark, sf_dir)
+    queued, _ = I.requeue_interrupted(jobs, A.job_items(spark, sf_dir))
+    was = jobs.where("status = 'running'").select("id")
+    return queued.where("status = 'queued'").join(was, "id", "left_semi").groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH r AS (SELECT d.source AS query_type, d.doc_id, l.quality, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS rank FROM labels l JOIN documents d USING (doc_id)),
+g AS (SELECT query_type, count(*) AS relevant FROM r WHERE quality > 0 GROUP BY 1),
+h AS (SELECT query_type, count(*) AS hits, min(rank) AS first FROM r WHERE quality > 0 AND rank <= 10 GROUP BY 1)
+SELECT query_type, 1::BIGINT AS queries, round(coalesce(hits, 0) / relevant, 6) AS recall, round(coalesce(hits, 0) / 10.0, 6) AS "precision", round(coalesce(1.0 / first, 0), 6) AS mrr FROM g LEFT JOIN h USING (query_type)""")
+def relevance_report(spark, sf_dir):
+    """Each source as a query, its labelled documents ranked by length, graded by quality."""
+    both = A.table(spark, sf_dir, "labels").join(A.table(spark, sf_dir, "documents"), "doc_id")
+    ranked = both.select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), F.lit(None).cast("double").alias("start_sec"))
+    truth = both.select(F.col("source").alias("query_id"), F.col("source").alias("query_type"), F.col("doc_id").alias("id"), F.col("quality").alias("grade"), F.lit(None).cast("double").alias("start_sec"), F.lit(None).cast("double").alias("end_sec"))
+    return J.relevance_eval(ranked, truth).select("query_type", "queries", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr")])
