@@ -166,11 +166,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, lists: int | None = None, probes: int = 4, sample: int = 50_000, seed: int = 1) -> DataFrame:
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample: int = 50_000, seed: int = 1) -> DataFrame:
     """(query_id, point_key, similarity, rank) by an inverted file: centroids are fitted on a bounded sample, every vector is
-    in the list of its nearest centroid, and a query meets the vectors of its nearest lists by an equi-join. Cosine."""
+    in the list of its nearest centroid, and a query meets the vectors of its nearest lists by an equi-join. Cosine.
+
+    By default a query probes half of the lists, which keeps a recall of 0.9 at 10 on vectors without clear clusters;
+    measure the recall (J1) and lower it where the data have clusters.
+    """
     total = vectors.count()
     lists = lists or max(1, int(total**0.5))
+    probes = probes or -(-lists // 2)
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
     some = vectors.where(F.pmod(F.xxhash64("point_key"), F.lit(max(1, total // sample))) == 0).select(array_to_vector(unit(F.col("vector"))).alias("features"))
     centres = np.array(KMeans(k=lists, seed=seed, maxIter=8).fit(some).clusterCenters())

@@ -259,7 +259,7 @@ def vector_topk(spark, sf_dir):
 def ann_recall(spark, sf_dir):
     """Recall at 10 of the inverted file against the exact search, for every query vector."""
     queries, vectors = A.vector_queries(spark, sf_dir), A.unit_vectors(spark, sf_dir)
-    return J.recall_at_k(V.ann_topk(queries, vectors, 10, probes=8), V.vector_topk(queries, vectors, 10), 10)
+    return J.recall_at_k(V.ann_topk(queries, vectors, 10), V.vector_topk(queries, vectors, 10), 10)
 
 
 @query()
