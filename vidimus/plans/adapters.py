@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SEARCH_INDEX_VERSION
+from ..sources.files import split_documents
 
 CAPABILITY = {"click": "asr", "view": "embedding_text", "purchase": "embedding_image", "signup": "video_understanding", "error": "search_query"}
 JOB_STATUS = {"click": "running", "view": "completed", "purchase": "queued", "signup": "cancelled", "error": "failed"}
@@ -63,12 +64,21 @@ def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, whatever its length; operators with limits a chunk take document_pieces."""
     d = table(spark, sf_dir, "documents")
     item = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
     none = F.lit(None).cast("double")
     return d.select(F.concat(item, F.lit(":document:000000")).alias("id"), item.alias("item_id"), F.lit("document").alias("chunk_type"), none.alias("start_sec"), none.alias("end_sec"), "text", F.lit(None).cast("string").alias("frame_path"), F.lit('{"page":1}').alias("metadata"))
 
 
+def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document as the reference splits it: no text is longer than a chunk may be, and all of it is there."""
+    d = table(spark, sf_dir, "documents")
+    pieces = split_documents(d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("item_id"), F.lit(1).alias("page"), "text"))
+    none = F.lit(None).cast("double")
+    return pieces.select(F.concat("item_id", F.lit(":document:"), F.lpad(F.col("ord").cast("string"), 6, "0")).alias("id"), "item_id", F.lit("document").alias("chunk_type"), none.alias("start_sec"), none.alias("end_sec"), "text", F.lit(None).cast("string").alias("frame_path"), F.to_json(F.struct("page", "section")).alias("metadata"))
+
+
 def _conv():
     return F.concat(F.lit("conv-"), F.col("conv_id").cast("string"))
 
@@ -99,9 +109,11 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(_conv().alias("id"), F.lit("talks").alias("source_id"), F.lit("video").alias("content_type"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), (12.0 * F.col("n")).alias("duration_sec"), text.alias("raw_path"), (F.lit(1_700_000_000) + F.col("conv_id")).alias("indexed_at"), F.lit("indexed").alias("status"), text.alias("metadata"), F.lit(SEARCH_INDEX_VERSION).alias("search_index_version"), F.lit("indexed").alias("search_index_status"))
 
 
-def text_queries(spark: SparkSession, sf_dir: str, words: int = 3) -> DataFrame:
+def text_queries(spark: SparkSession, sf_dir: str, words: int | None = 3) -> DataFrame:
+    """The first words of every benchmark text, or all of them."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"[ \n]+"), 1, words), " ").alias("q"), F.lit(10).alias("limit"), F.lit("smart").alias("preference"), F.lit(None).cast("array<float>").alias("query_vector"), F.lit("en").alias("locale"))
+    split = F.split("text", r"[ \n]+")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(split if words is None else F.slice(split, 1, words), " ").alias("q"), F.lit(10).alias("limit"), F.lit("smart").alias("preference"), F.lit(None).cast("array<float>").alias("query_vector"), F.lit("en").alias("locale"))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

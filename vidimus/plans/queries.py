@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..functions.text import clock, inferred_preference, strong_exact_intent
 from ..operators import chunks as B
 from ..operators import entities as G
@@ -265,8 +266,8 @@ def ann_recall(spark, sf_dir):
 @query()
 def lexical_search_hits(spark, sf_dir):
     """Ranked and collapsed hits with snippets, for every benchmark query."""
-    units = _units(spark, sf_dir)
-    return lexical_fallback_search(A.text_queries(spark, sf_dir), units, A.document_items(spark, sf_dir)).select("query_id", "unit_id", "item_id", "rank", F.round("match_score", 5).alias("match_score"), "snippet")
+    units = _piece_units(spark, sf_dir)
+    return lexical_fallback_search(A.text_queries(spark, sf_dir, None), units, A.document_items(spark, sf_dir)).select("query_id", "unit_id", "item_id", "rank", F.round("match_score", 5).alias("match_score"), "snippet")
 
 
 def _units(spark, sf_dir):
@@ -274,16 +275,22 @@ def _units(spark, sf_dir):
     return C.build_document_units(items, A.document_chunks(spark, sf_dir))
 
 
+def _piece_units(spark, sf_dir):
+    """Units of whole documents, one a piece; written once, as a search reads them several times."""
+    items = A.document_items(spark, sf_dir).select("id", F.col("title").alias("item_title"), F.col("source_id").alias("source_label"))
+    return stored(C.build_document_units(items, A.document_pieces(spark, sf_dir)))
+
+
 @query()
 def extractive_answers(spark, sf_dir):
-    queries = A.text_queries(spark, sf_dir)
-    hits = lexical_fallback_search(queries, _units(spark, sf_dir), A.document_items(spark, sf_dir))
+    queries = A.text_queries(spark, sf_dir, None)
+    hits = lexical_fallback_search(queries, _piece_units(spark, sf_dir), A.document_items(spark, sf_dir))
     return E.extractive_answer(queries, E.enrich_hits(hits, A.document_sources(spark, sf_dir)))
 
 
 @query()
 def hit_facets(spark, sf_dir):
-    hits = lexical_fallback_search(A.text_queries(spark, sf_dir), _units(spark, sf_dir), A.document_items(spark, sf_dir))
+    hits = lexical_fallback_search(A.text_queries(spark, sf_dir, None), _piece_units(spark, sf_dir), A.document_items(spark, sf_dir))
     kinds = R.hit_modality(hits, ["query_id", "unit_id"])
     return R.hit_facets(hits.join(kinds, ["query_id", "unit_id"]))
 
@@ -328,7 +335,7 @@ def playback_positions(spark, sf_dir):
 def entity_summary(spark, sf_dir):
     """Entities that documents name, over all their mentions."""
     none = spark.createDataFrame([], "item_id string, result string")
-    mentions = G.entity_mentions(A.document_items(spark, sf_dir), none, A.document_chunks(spark, sf_dir))
+    mentions = G.entity_mentions(A.document_items(spark, sf_dir), none, A.document_pieces(spark, sf_dir))
     return G.entity_summary(G.dedupe_mentions(mentions), None)
 
 
