@@ -1,9 +1,10 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by spaced seeds and short clean runs.
 
 A mask of ones and zeros chooses positions of a token window; two windows whose chosen tokens agree share a hash even if
 tokens at the other positions were substituted. Hashes of all masks over the benchmark are looked up for every position of
 every training text. A hit fixes how passage and text lie against each other; along that diagonal matching tokens count 1
-and substituted ones -2, and the best stretch decides.
+and substituted ones -2, and the best stretch decides. A diagonal also counts if four fifths of the item's tokens match, so
+that short items tolerate substitutions; runs without a gap are looked up so short that no such diagonal can be missed.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, mixed, portions, small, texts_of, word_hashes, written
 
-#: Fixed masks: 1 takes part in the hash. The first has no gap and serves very short passages.
-MASKS = ("11111111", "1101100101011", "1110010110111", "101110011101011")
-#: A stretch of this score is an overlap; passages shorter than that must match whole.
+#: Fixed masks: 1 takes part in the hash. Runs without a gap join them, as long as clean_run() says.
+MASKS = ("1101100101011", "1110010110111", "101110011101011")
+#: A stretch of this score is an overlap; items shorter than SHORTEST must match whole, others to four fifths at least.
 LEAST = 13
 SHORTEST = 8
 MISS = -2
+#: Seed hits, and tokens of diagonals, that are held at once.
+CHUNK = 500_000
 #: Benchmark tokens that one pass holds in memory; a larger benchmark takes several passes.
 BLOCK = 2_000_000
 
@@ -47,6 +50,17 @@ def spaced(h: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out)
 
 
+def least_matching(size: int) -> int:
+    """Matching tokens on one diagonal that make an overlap with an item of that size, wherever they stand."""
+    return size if size < SHORTEST else -(-4 * size // 5)
+
+
+def clean_run(size: int) -> int:
+    """Some run of so many matching tokens is left when an item has as many substitutions as it tolerates, however they are spread."""
+    misses = size - least_matching(size)
+    return -(-(size - misses) // (misses + 1))
+
+
 class Passages:
     """Part of the benchmark: its token hashes end to end, and the sorted seed hashes with their positions."""
 
@@ -57,49 +71,79 @@ class Passages:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         self.hashes = np.concatenate(each) if each else np.array([], U)
         self.owner = np.repeat(np.arange(len(each)), self.sizes)
+        self.needed = np.array([least_matching(n) for n in self.sizes.tolist()], np.int64)
+        runs = np.array([clean_run(n) for n in self.sizes.tolist()], np.int64)
+        wanted = [("1" * int(n), runs == n) for n in np.unique(runs)] + [(m, self.sizes >= max(SHORTEST, len(m))) for m in MASKS]
         self.seeds = []
-        for mask in MASKS:
-            at = [np.arange(len(h) - len(mask) + 1) + s for h, s in zip(each, self.starts, strict=True) if len(h) >= len(mask)]
+        for mask, of in wanted:
+            at = [np.arange(n - len(mask) + 1) + s for n, s in zip(self.sizes[of], self.starts[of], strict=True) if n >= len(mask)]
             where = np.concatenate(at) if at else np.array([], np.int64)
             seeds = spaced(self.hashes, mask)[where] if len(where) else np.array([], U)
             order = np.argsort(seeds, kind="stable")
             self.seeds.append((mask, seeds[order], where[order]))
 
-    def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item, first token, tokens, matching tokens, tokens of the item) for each diagonal that holds an overlap."""
-        diagonals = set()
+    def _diagonals(self, h: np.ndarray, begins: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Distinct rows (text, item, place of the item's first token in the text) that share a seed."""
+        found = [np.empty((0, 3), np.int64)]
         for mask, seeds, where in self.seeds:
             own = spaced(h, mask)
             if not len(own) or not len(seeds):
                 continue
-            at = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
-            for p in np.flatnonzero(seeds[at] == own):
-                for k in range(at[p], len(seeds)):
-                    if seeds[k] != own[p]:
-                        break
-                    item = self.owner[where[k]]
-                    diagonals.add((int(item), int(p - (where[k] - self.starts[item]))))
+            low = np.searchsorted(seeds, own)
+            hits = np.flatnonzero((seeds[np.minimum(low, len(seeds) - 1)] == own) & (text[: len(own)] == text[len(mask) - 1 :]))
+            low = low[hits]
+            counts = np.searchsorted(seeds, own[hits], "right") - low
+            for i, j in portions(counts.tolist(), CHUNK):
+                n = counts[i:j]
+                at = np.repeat(hits[i:j], n)
+                place = where[np.repeat(low[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                item = self.owner[place]
+                found.append(np.unique(np.stack([text[at], item, at - begins[text[at]] - (place - self.starts[item])], 1), axis=0))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def overlaps(self, h: np.ndarray, lengths: list[int]) -> list[tuple[int, int, int, int, int, int]]:
+        """For texts end to end, (text, item, first token, tokens, matching tokens, tokens of the item) for each diagonal that holds an overlap."""
+        sizes_of = np.array(lengths, np.int64)
+        begins = np.cumsum(sizes_of) - sizes_of
+        rows = self._diagonals(h, begins, np.repeat(np.arange(len(lengths)), sizes_of))
         out = []
-        for item, d in sorted(diagonals):
-            size, start = int(self.sizes[item]), int(self.starts[item])
-            low, high = max(0, -d), min(size, len(h) - d)
-            same = h[d + low : d + high] == self.hashes[start + low : start + high]
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, MISS))])
-            gains = sums - np.minimum.accumulate(sums)
-            end = int(gains.argmax())
-            begin = int(np.flatnonzero(sums[: end + 1] == sums[: end + 1].min())[-1])
-            if gains[end] >= min(LEAST, size):
-                out.append((int(self.ids[item]), d + low + begin, end - begin, int(same[begin:end].sum()), size))
+        for i, j in portions(self.sizes[rows[:, 1]].tolist(), CHUNK):
+            part = rows[i:j]
+            if not len(part):
+                continue
+            n = self.sizes[part[:, 1]]
+            first = np.cumsum(n) - n
+            offset = np.arange(n.sum()) - np.repeat(first, n)
+            at = np.repeat(part[:, 2], n) + offset
+            within = (at >= 0) & (at < np.repeat(sizes_of[part[:, 0]], n))
+            theirs = h[np.where(within, at + np.repeat(begins[part[:, 0]], n), 0)]
+            equal = within & (theirs == self.hashes[np.repeat(self.starts[part[:, 1]], n) + offset])
+            counts = np.add.reduceat(equal, first, dtype=np.int64)
+            for k in np.flatnonzero(counts >= np.minimum(np.minimum(LEAST, n), self.needed[part[:, 1]])):
+                text, item, d = part[k].tolist()
+                size = int(n[k])
+                low, high = max(0, -d), min(size, int(sizes_of[text]) - d)
+                same = equal[first[k] + low : first[k] + high]
+                sums = np.concatenate([[0], np.cumsum(np.where(same, 1, MISS))])
+                gains = sums - np.minimum.accumulate(sums)
+                end = int(gains.argmax())
+                begin = int(np.flatnonzero(sums[: end + 1] == sums[: end + 1].min())[-1])
+                if gains[end] < min(LEAST, size):
+                    if counts[k] < self.needed[item]:
+                        continue
+                    matching = np.flatnonzero(same)
+                    begin, end = int(matching[0]), int(matching[-1]) + 1
+                out.append((text, int(self.ids[item]), d + low + begin, end - begin, int(same[begin:end].sum()), size))
         return out
 
 
 def blocks_of(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Passages]:
-    """The benchmark in parts of a bounded number of tokens; items with fewer than SHORTEST tokens name no passage."""
+    """The benchmark in parts of a bounded number of tokens; items without a token name no passage."""
     items: list[tuple[int, bytes]] = []
     held = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), bytes_of("text").alias("text")).where("item_id is not null").toLocalIterator():
         n = len(tokens(bytes(row.text)))
-        if n < SHORTEST:
+        if not n:
             continue
         if held and held + n > block:
             yield Passages(items)
@@ -131,10 +175,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
                 for i, j in portions(map(len, values)):
                     split = [tokens(t) for t in values[i:j]]
                     hashes = word_hashes([w for words in split for w in words])
-                    at = 0
-                    for k, words in enumerate(split):
-                        rows += [(ids[i + k], *x) for x in known.overlaps(hashes[at : at + len(words)])]
-                        at += len(words)
+                    rows += [(ids[i + k], *x) for k, *x in known.overlaps(hashes, list(map(len, split)))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.int32()) for k in range(6)], names=["doc_id", "item_id", "first_token", "n_tokens", "n_matching", "n_item"])
 
         part = texts.mapInArrow(run, schema)
