@@ -1,14 +1,13 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates, exact: the vectors of a label are compared block against block.
 
-Each pass orders the vectors of a label lexicographically by a concatenation of random hyperplane signs, drawn anew, and
-compares every vector with a bounded window of those before it; a window that still finds partners at its far end is
-widened. Verified pairs of all passes are united to components. Links are then counted inside the components, block by
-block, so that every partner within a component counts and no pair is listed.
+Equal vectors of a label are one class. The classes of a label are dealt to blocks by hash, and every two of its blocks meet
+once in a task, which counts the links of both sides and names pairs that join what it has found to be connected, so that
+no pair is listed. These pairs are united to components. The arithmetic grows with the square of a label's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,7 @@ from pyspark.sql import functions as F
 from .common import components, scratch, small, written
 
 COSINE = 0.93
-PASSES = 8
-WINDOW = 48
-BITS = 60
-#: Vectors of one side of a comparison inside a component.
+#: Vectors of one side of a comparison inside a label.
 BLOCK = 1_024
 
 
@@ -41,96 +37,58 @@ def _units(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
     return np.array([v is not None for v in out], bool), out
 
 
-def _signed(passes: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(label, class, vector, codes): one row a usable vector; equal vectors of a label share a class."""
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            good, units = _units(batch.column(2))
-            labels = batch.column(1).to_pylist()
-            ids, kinds, vectors, codes = [], [], [], []
-            for row, (vec_id, unit) in enumerate(zip(batch.column(0).to_pylist(), units, strict=True)):
-                if unit is None or labels[row] is None:
-                    continue
-                size = len(unit)
-                if size not in planes:
-                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, passes * BITS))
-                bits = (unit @ planes[size] > 0).reshape(passes, BITS)
-                codes.append((bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).tolist())
-                raw = unit.tobytes()
-                ids.append(vec_id)
-                kinds.append(xxhash.xxh3_64_intdigest(raw, seed=labels[row] & 0xFFFFFFFF) - (1 << 63))
-                vectors.append(raw)
-            rows = np.flatnonzero(good & np.array([v is not None for v in labels], bool))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1).take(pa.array(rows)), pa.array(kinds, pa.int64()), pa.array(vectors, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["vec_id", "label", "class", "vector", "codes"])
-
-    return run
-
-
-def _windows(cosine: float, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of neighbours in the order of the rows; only those that join two sets of the task so far."""
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        held: list[tuple[object, int, np.ndarray]] = []
-        most = 8 * window
-        for batch in batches:
-            rows = zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            held += [(key, kind, np.frombuffer(v, np.float64)) for key, kind, v in rows]
-            fresh = len(held) - batch.num_rows
-            out = []
-            runs = [0, *(k for k in range(1, len(held)) if held[k][0] != held[k - 1][0] or len(held[k][2]) != len(held[k - 1][2])), len(held)]
-            for begin, end in zip(runs, runs[1:], strict=False):
-                if end <= fresh:
-                    continue
-                x = np.stack([v for _, _, v in held[begin:end]])
-                for at in range(max(begin, fresh), end, 256):
-                    stop = min(at + 256, end)
-                    reach = window
-                    while True:
-                        low = max(begin, at - reach)
-                        close = x[at - begin : stop - begin] @ x[low - begin : stop - begin].T >= cosine
-                        close &= np.arange(low, stop)[None, :] < np.arange(at, stop)[:, None]
-                        if low == begin or reach >= most or not close[:, : max(1, window // 4)].any():
-                            break
-                        reach *= 2  # partners up to the far end: look further
-                    for p, q in np.argwhere(close):
-                        a, b = held[low + q][1], held[at + p][1]
-                        if (ra := root(a)) != (rb := root(b)):
-                            up[max(ra, rb)] = min(ra, rb)
-                            out.append((a, b))
-            held = held[-most:]
-            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def _counted(cosine: float) -> Callable[[pa.Table], pa.Table]:
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, label, class, vector): one row a usable vector; equal vectors of a label share a class."""
+    for batch in batches:
+        good, units = _units(batch.column(2))
+        labels = batch.column(1).to_pylist()
+        ids, kinds, vectors = [], [], []
+        for row, (vec_id, unit) in enumerate(zip(batch.column(0).to_pylist(), units, strict=True)):
+            if unit is None or labels[row] is None:
+                continue
+            raw = unit.tobytes()
+            ids.append(vec_id)
+            kinds.append(xxhash.xxh3_64_intdigest(raw, seed=labels[row] & 0xFFFFFFFF) - (1 << 63))
+            vectors.append(raw)
+        rows = np.flatnonzero(good & np.array([v is not None for v in labels], bool))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1).take(pa.array(rows)), pa.array(kinds, pa.int64()), pa.array(vectors, pa.binary())], names=["vec_id", "label", "class", "vector"])
+
+
+def _met(cosine: float):  # noqa: ANN202
     def run(t: pa.Table) -> pa.Table:
-        """For the block's own vectors: rows within the cosine among the other block's, itself included."""
-        mine = t["mine"].to_numpy(zero_copy_only=False)
-        names, copies, vectors = t["class"].to_numpy(), t["copies"].to_numpy(), t["vector"].to_pylist()
-        kinds, counts = [], []
-        for size in {len(v) for v in vectors}:
-            own = [k for k in range(len(vectors)) if mine[k] and len(vectors[k]) == size]
-            other = [k for k in range(len(vectors)) if not mine[k] and len(vectors[k]) == size]
-            if own and other:
-                x, y = (np.frombuffer(b"".join(vectors[k] for k in part), np.float64).reshape(len(part), -1) for part in (own, other))
-                close = (x @ y.T >= cosine) | (names[own][:, None] == names[other][None, :])
-                kinds += names[own].tolist()
-                counts += (close @ copies[other]).tolist()
-        return pa.table({"class": pa.array(kinds, pa.int64()), "near": pa.array(counts, pa.int64())})
+        """One block against another or itself: (class, near, None) with the rows within the cosine among the other block's, and (class, None, other) that join."""
+        blocks = t["block"].to_numpy()
+        t = t.take(pa.array(np.argsort(blocks, kind="stable")))
+        blocks = np.sort(blocks)
+        names, copies = t["class"].to_numpy(), t["copies"].to_numpy()
+        x = np.frombuffer(b"".join(t["vector"].to_pylist()), np.float64).reshape(len(names), -1)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        split = int(np.searchsorted(blocks, j)) if i < j else 0  # rows from there are compared with those before, or all with all
+        own, other = (np.arange(split), np.arange(split, len(names))) if i < j else (np.arange(len(names)),) * 2
+        near, group, joins = np.zeros(len(names), np.int64), np.arange(len(names)), []
+        for at in range(0, len(own), 256):
+            rows = own[at : at + 256]
+            close = (x[rows] @ x[other].T >= cosine) | (names[rows][:, None] == names[other][None, :])
+            near[rows] += close @ copies[other]
+            if i < j:
+                near[other] += copies[rows] @ close
+            for k in np.flatnonzero(close.any(1)):
+                row = rows[k]
+                met = other[close[k]]
+                groups, first = np.unique(group[met], return_index=True)
+                apart = groups != group[row]
+                if apart.any():
+                    joins += [(names[row], names[c]) for c in met[first[apart]]]
+                    every = np.append(groups, group[row])
+                    group[np.isin(group, every)] = every.min()
+        kinds = np.concatenate([names, np.array([a for a, _ in joins], np.int64)])
+        counts = pa.array([*near.tolist(), *[None] * len(joins)], pa.int64())
+        return pa.table({"class": pa.array(kinds, pa.int64()), "near": counts, "other": pa.array([*[None] * len(names), *(int(b) for _, b in joins)], pa.int64())})
 
     return run
 
 
-def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 11) -> DataFrame:
+def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of embeddings.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
@@ -140,22 +98,19 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, passes: int =
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = rows.where("vec_id is not null and label is not null")
     with scratch(embeddings.sparkSession) as keep:
-        signed = keep(written(usable.mapInArrow(_signed(passes, seed), "vec_id long, label long, class long, vector binary, codes array<long>")))
-        classes = written(signed.groupBy("label", "class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.first("codes").alias("codes")))
-        order = classes.select("label", F.length("vector").alias("size"), "class", "vector", F.posexplode("codes").alias("pass", "code"))
-        order = order.repartitionByRange("pass", "label", "size", "code").sortWithinPartitions("pass", "label", "size", "code")
-        pairs = written(order.select("pass", "label", "class", "vector").mapInArrow(_windows(cosine, window), "a long, b long").distinct())
-        roots = components(pairs).withColumnRenamed("node", "class")
-        placed = written(classes.drop("codes").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+        signed = keep(written(usable.mapInArrow(_classed, "vec_id long, label long, class long, vector binary")))
+        classes = signed.groupBy("label", "class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
+        classes = written(classes.withColumn("size", F.length("vector")))
+        # Blocks by hash: no label is ordered or gathered as a whole.
+        last = small(written(classes.groupBy("label", "size").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))))
+        dealt = classes.join(last, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("last") + 1).cast("int"))
+        sides = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        sides = sides.select("label", "size", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "copies", "vector")
+        met = written(sides.groupBy("label", "size", "i", "j").applyInArrow(_met(cosine), "class long, near long, other long"))
+        near = met.where("other is null").groupBy("class").agg(F.sum("near").alias("near"))
+        roots = components(written(met.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct())).withColumnRenamed("node", "class")
+        placed = written(classes.drop("vector").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
         least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-        joined = placed.join(roots.select("root").distinct(), "root", "left_semi")
-        # Blocks by hash: no component is ordered as a whole.
-        last = small(written(joined.groupBy("root").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))))
-        joined = joined.join(last, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("last") + 1).cast("int"))
-        sides = joined.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        mine = sides.select("root", F.col("block").alias("i"), F.col("with").alias("j"), F.lit(True).alias("mine"), "class", "copies", "vector")
-        other = sides.select("root", F.col("with").alias("i"), F.col("block").alias("j"), F.lit(False).alias("mine"), "class", "copies", "vector")
-        near = mine.union(other).groupBy("root", "i", "j").applyInArrow(_counted(cosine), "class long, near long").groupBy("class").agg(F.sum("near").alias("near"))
         known = placed.select("class", "root", "copies").join(near, "class", "left").join(least, "root")
         known = keep(written(known.select("class", (F.coalesce("near", "copies") - 1).alias("n_links"), "component_id")))
     linked = signed.select("vec_id", "class").join(known, "class").select("vec_id", "n_links", "component_id").distinct()
