@@ -203,25 +203,6 @@ def test_decontamination(spark):
     assert Counter(r.doc_id for r in left) == Counter(i for i, _, _ in rows if i is None or i < 100 or 200 <= i < 300)
 
 
-def test_line_dedup(spark):
-    rng = random.Random(9)
-    lines = [prose(12, rng) for _ in range(20)]
-    rows = awkward() + [(100 + i, "\n".join(rng.choices([*lines, "short line", "é " * 9, ""], k=6)), "s") for i in range(40)]
-    seen, want = set(), {}
-    for k, (i, t, _) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
-        at, gone = 0, []
-        for line in (t or "").split("\n"):
-            words = tuple(line.encode().lower().split())
-            if len(words) >= line_dedup.LEAST_WORDS:
-                if words in seen:
-                    gone.append((at, at + len(line)))
-                seen.add(words)
-            at += len(line) + 1
-        want[k] = (i, at - 1 and len((t or "").split("\n")) or 1, tuple(gone))
-    got = line_dedup.line_dedup(docs(spark, rows)).collect()
-    assert Counter((r.doc_id, r.n_lines, tuple(map(tuple, r.removed))) for r in got) == Counter(want.values())
-
-
 def test_chat_format(spark):
     call = lambda i, q: json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": q}]})
     result = lambda i, c: json.dumps({"tool_call_id": i, "content": c})

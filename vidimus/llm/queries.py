@@ -48,7 +48,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["stop"].cast("string")))
-    return found.select("doc_id", "n_lines", "n_removed", F.array_join(spans, ",").alias("removed"))
+    return found.select("doc_id", "n_units", "n_repeated", "longest_run", "n_passages", "n_removed", F.array_join(spans, ",").alias("removed"))
 
 
 #: Tools that a conversation may call; a call of another name isn't valid.
@@ -148,13 +148,22 @@ FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
 """
 
 LINES_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d),
-p AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS b,
-             regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM u),
-f AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, b) AS n FROM p WHERE len(w) >= 8),
-g AS (SELECT doc_id, count(*) AS n, string_agg(b::BIGINT || ':' || (b + length(line))::BIGINT, ',' ORDER BY b) AS spans FROM f WHERE n > 1 GROUP BY doc_id)
-SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed FROM d LEFT JOIN g USING (doc_id)
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s)(?:[^\n.!?]|[.!?]+[^\x20\x09-\x0D.!?])*(?:[.!?]+[\x20\x09-\x0D]|\n|[.!?]*$)') AS us FROM documents),
+u AS (SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS k FROM d),
+p AS (SELECT doc_id, k, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e, length(unit) AS size,
+             regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM u),
+f AS (SELECT doc_id, e - size AS b, e, len(w) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place,
+             row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) AS occurrence, count(*) OVER (PARTITION BY array_to_string(w, ' ')) AS n
+      FROM p WHERE len(w) > 0),
+r AS (SELECT doc_id, sum(words) AS words FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM f WHERE n > 1) GROUP BY doc_id, run),
+l AS (SELECT doc_id, sum(words) AS words, count(*) AS units, min(b)::BIGINT AS b, max(e)::BIGINT AS e
+      FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM f WHERE occurrence > 1) GROUP BY doc_id, run HAVING sum(words) >= 8),
+fs AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE n > 1) AS n_repeated FROM f GROUP BY doc_id),
+rs AS (SELECT doc_id, max(words) AS longest, count(*) FILTER (WHERE words >= 36) AS passages FROM r GROUP BY doc_id),
+ls AS (SELECT doc_id, sum(units) AS n_removed, string_agg(b || ':' || e, ',' ORDER BY b) AS spans FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_repeated, 0)::BIGINT AS n_repeated, coalesce(longest, 0)::BIGINT AS longest_run,
+       coalesce(passages, 0)::BIGINT AS n_passages, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed
+FROM d LEFT JOIN fs USING (doc_id) LEFT JOIN rs USING (doc_id) LEFT JOIN ls USING (doc_id)
 """
 
 #: For the table as given: its messages are plain text, so no call is linked.
