@@ -257,15 +257,6 @@ def test_lm_scores(spark):
     assert prose_bits and np.mean(prose_bits) < 3.9  # ten letters and a space at random have log2(11) bits at least in the inner positions
 
 
-def test_context_tree_is_a_distribution():
-    text = [b"abracadabra " * 50]
-    codes, _ = lm_scoring._codes(text)
-    each, times = np.unique(codes, return_counts=True)
-    table = lm_scoring.context_tree(each.astype(np.int64), times.astype(float)).reshape(-1, 256)
-    assert np.allclose(np.exp(table[[0, 97 << 8 | 98, 98 << 8 | 114, 1234]].astype(float)).sum(axis=1), 1, atol=1e-3)
-    assert np.allclose(lm_scoring.log_gamma(np.array([0.5, 1.0, 3.5, 40.0])), [math.lgamma(x) for x in (0.5, 1.0, 3.5, 40.0)], atol=1e-8)
-
-
 def test_toxicity_held_out(spark):
     rng = random.Random(12)
     rows, labels = awkward(), []

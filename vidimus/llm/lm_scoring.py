@@ -1,10 +1,11 @@
 """Language-model scores by context-tree weighting, beside an add-one word model.
 
 The context-tree model predicts a text byte by byte, each byte as eight binary decisions. Every decision has a
-Krichevsky-Trofimov estimate in the context of 0, 1 and 2 preceding bytes, and the estimates of all depths are mixed by
-their weights in the context tree of the training corpus. Its counts are gathered from all training texts; the tree has a
-fixed size (2**24 counts at most), so it may be broadcast. Words are counted over all training texts too. The words with at
-least a 2**-20th of all tokens, at most 2**20 of them, are broadcast; all others are joined by hash.
+Krichevsky-Trofimov estimate in the context of the 0, 1, ... DEPTH bytes before it, and the estimates of all depths are
+mixed by their weights in the context tree of the training corpus. The tree is a table: byte grams are counted over all
+texts, dealt by the three bytes before and mixed from the deepest contexts upwards, by partitions from DEPTH to 3 and by
+grouped sums from there to 0; on the way back every gram gets its probability. Grams and words that make up a 2**-20th of
+the whole (so at most 2**20 of either) are broadcast to the texts, all others are joined by hash.
 """
 
 from __future__ import annotations
@@ -17,62 +18,64 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, texts_of, word_hashes, written
+from .common import portions, scratch, texts_of, word_hashes, written
 
 END = 255  # a byte that UTF-8 never has: the end of a text
+#: Bytes of the longest context. A gram is 8 * (DEPTH + 1) bits, the nearest byte before it first and itself last.
+DEPTH = 5
+#: Bytes before a decision by which the tree is dealt to partitions: so many depths lie above all partitions.
+DEALT = 3
 HEAD = 1 << 20
-LN10 = float(np.log(10))
+LN2, LN10 = float(np.log(2)), float(np.log(10))
+#: Bytes of texts whose grams are held at once.
+PORTION = 4_000_000
+#: Keys that a task merges before it sends them, and grams of the tree that it mixes at once (and the rest of one group).
+HELD, AT_ONCE = 3_000_000, 200_000
+
+Rows = Iterator[pa.RecordBatch]
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the texts and each end: (byte two before, byte before, byte) as one number; and where texts start."""
-    raw = np.frombuffer(b"".join(b"\0\0" + t.lower() + b"\xff" for t in texts), np.uint8).astype(np.int32)
-    codes = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-    sizes = np.array([len(t) + 3 for t in texts])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    inner = np.ones(len(codes), bool)  # the two positions that reach across texts aren't codes
-    for k in (1, 2):
-        inner[starts[1:] - k] = False
-    return codes[inner], starts - 2 * np.arange(len(starts))
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, times) of a task: kind 0 words by hash, kind 1 byte codes."""
-    grams = np.zeros(1 << 24, np.int32)
-    words: list[np.ndarray] = []
-    times: list[np.ndarray] = []
-    held = 0
-
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64) if kind == 0 else part.astype(np.int64)), pa.array(n[at : at + 50_000].astype(np.int64))], names=["kind", "key", "times"])
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, n = np.concatenate(words), np.concatenate(times)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(n, first)
+    """For every byte of the texts and each end: the gram as one number; and where texts start."""
+    raw = np.frombuffer(b"".join(b"\0" * DEPTH + t.lower() + b"\xff" for t in texts), np.uint8).astype(np.int64)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(DEPTH * np.arange(1, len(texts) + 1), sizes)
+    codes = raw[at]
+    for k in range(1, DEPTH + 1):
+        codes |= raw[at - k] << (8 * (DEPTH + 1 - k))
+    return codes, starts
+
+
+def _counts(batches: Rows) -> Rows:
+    """(kind, key, learned, times): kind 0 words by hash, kind 1 byte grams; learned counts training texts, times all."""
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], [], []]  # words and grams of held-out texts, then of training texts
+
+    def merged() -> Rows:
+        for k, parts in enumerate(held):
+            if not parts:
+                continue
+            keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], np.int64)
+            keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
+            for at in range(0, len(keys), 50_000):
+                some = n[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k % 2, np.int32)), pa.array(keys[at : at + 50_000]), pa.array(some * (k // 2)), pa.array(some)], names=["kind", "key", "learned", "times"])
+            parts.clear()
 
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for i, j in portions(map(len, texts), 8_000_000):
-            part = texts[i:j]
-            codes, _ = _codes(part)
-            each, n = np.unique(codes, return_counts=True)
-            grams[each] += n.astype(np.int32)
-            keys, n = np.unique(word_hashes([w for t in part for w in t.lower().split()]), return_counts=True)
-            words.append(keys)
-            times.append(n)
-            held += len(keys)
-            if held > 3_000_000:  # so much is held, then sent
-                yield from rows(0, *merged())
-                words, times, held = [], [], 0
-    if words:
-        yield from rows(0, *merged())
-    seen = np.flatnonzero(grams)
-    yield from rows(1, seen, grams[seen])
+        texts, learned = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, j in portions(map(len, texts), PORTION):
+            for known in (False, True):
+                part = [t for t, known_ in zip(texts[i:j], learned[i:j], strict=True) if known_ == known]
+                if part:
+                    for kind, keys in enumerate((word_hashes([w for t in part for w in t.lower().split()]).view(np.int64), _codes(part)[0])):
+                        held[2 * known + kind].append(np.unique(keys, return_counts=True))
+            if sum(len(k) for parts in held for k, _ in parts) > HELD:
+                yield from merged()
+    yield from merged()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -91,80 +94,161 @@ def krichevsky_trofimov(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 255 binary decisions (1 the first bit, 2 and 3 the second, ...), for counts of 256 bytes in the last axis."""
-    zeros, ones = (np.zeros((*counts.shape[:-1], 256)) for _ in range(2))
-    for bit in range(8):
-        halves = counts.reshape(*counts.shape[:-1], 1 << bit, 2, -1).sum(axis=-1)
-        zeros[..., 1 << bit : 2 << bit], ones[..., 1 << bit : 2 << bit] = halves[..., 0], halves[..., 1]
-    return zeros, ones
-
-
-def context_tree(codes: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """ln P(byte | two bytes before) by the weighted tree, as one table over codes (float32, 2**24 entries)."""
-    order = np.argsort(codes)
-    codes, times = codes[order], times[order]
-    before = (codes >> 8) & 255
-    by_last: dict[int, np.ndarray] = {}
-    for last in np.unique(before):
-        counts = np.zeros((256, 256))
-        chosen = before == last
-        np.add.at(counts, (codes[chosen] >> 16, codes[chosen] & 255), times[chosen])
-        by_last[int(last)] = counts
-    total = _decisions(sum((c.sum(axis=0) for c in by_last.values()), np.zeros(256)))
-    estimate_0 = krichevsky_trofimov(*total)
-    below_0 = np.zeros(256)
-    mixes: dict[int, np.ndarray] = {}
-    for last, counts in by_last.items():
-        deep = _decisions(counts)
-        seen = counts.any(axis=1)
-        estimate_1 = krichevsky_trofimov(*_decisions(counts.sum(axis=0)))
-        below_1 = krichevsky_trofimov(deep[0][seen], deep[1][seen]).sum(axis=0)
-        weighted = np.logaddexp(estimate_1, below_1) - np.log(2)
-        mixes[last] = np.exp(estimate_1 - np.log(2) - weighted)  # how far depth 1 is trusted against depth 2
-        below_0 += weighted
-    trust_0 = np.exp(estimate_0 - np.logaddexp(estimate_0, below_0))
-    one_0 = (total[1] + 0.5) / (total[0] + total[1] + 1)
-    path = np.array([[(1 << bit) | (byte >> (8 - bit)) for bit in range(8)] for byte in range(256)])
-    taken = np.array([[byte >> (7 - bit) & 1 for bit in range(8)] for byte in range(256)], bool)
-    table = np.empty((256, 256, 256), np.float32)  # two before, before, byte
-    for last in range(256):
-        counts = by_last.get(last, np.zeros((256, 256)))
-        (z2, o2), (z1, o1) = _decisions(counts), _decisions(counts.sum(axis=0))
-        trust_1 = mixes.get(last, np.full(256, 0.5))
-        one = trust_0 * one_0 + (1 - trust_0) * (trust_1 * (o1 + 0.5) / (z1 + o1 + 1) + (1 - trust_1) * (o2 + 0.5) / (z2 + o2 + 1))
-        one = one[:, path]
-        table[:, last, :] = np.log(np.where(taken, one, 1 - one)).sum(axis=-1)
-    return table.ravel()
-
-
-def _scored(table, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a text; words beyond the head are left to the join, as distinct hashes with their numbers."""
-        logs, (keys, counts) = table.value, head.value
-        gains = np.log10(counts + 1.0)
+class Nodes:
+    """Decisions of one depth: sorted numbers (context, bits so far), how often each went to 0 and to 1, and their weights."""
+
+    def __init__(self, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, trust: np.ndarray) -> None:
+        """weighted: the logarithm of the mixed estimate; trust: how far a decision trusts itself against the longer contexts."""
+        self.ids, self.zeros, self.ones, self.weighted, self.trust = ids, zeros, ones, weighted, trust
+
+    @classmethod
+    def leaves(cls, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> Nodes:
+        return cls(ids, zeros, ones, krichevsky_trofimov(zeros, ones), np.ones(len(ids)))
+
+    @classmethod
+    def inner(cls, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Nodes:
+        """below: the sum of the weighted logarithms of the contexts that are one byte longer."""
+        own = krichevsky_trofimov(zeros, ones)
+        weighted = np.logaddexp(own, below) - LN2
+        return cls(ids, zeros, ones, weighted, np.exp(own - LN2 - weighted))
+
+    def above(self) -> Nodes:
+        """The decisions with contexts one byte shorter."""
+        ids, group = np.unique(self.ids >> 16 << 8 | self.ids & 255, return_inverse=True)
+        return Nodes.inner(ids, *(np.bincount(group, x, len(ids)) for x in (self.zeros, self.ones, self.weighted)))
+
+    def mixed(self, wanted: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+        """P(1) for wanted decisions, given the longer contexts' (NaN where they never met the decision), NaN where this one never was met."""
+        if not len(self.ids):
+            return np.full(len(wanted), np.nan)
+        at = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
+        zeros, ones, trust = self.zeros[at], self.ones[at], self.trust[at]
+        own = (ones + 0.5) / (zeros + ones + 1)
+        out = np.where(np.isnan(deeper), own, trust * own + (1 - trust) * deeper)
+        return np.where(self.ids[at] == wanted, out, np.nan)
+
+
+def decisions(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each gram and each of its 8 bits, most significant first: the number of the decision at that depth, and the bit."""
+    byte = codes & 255
+    context = codes >> (8 * (DEPTH + 1 - depth)) << 8
+    bits = np.arange(8)
+    return context[:, None] | (1 << bits) | byte[:, None] >> (8 - bits), byte[:, None] >> (7 - bits) & 1
+
+
+def subtrees(codes: np.ndarray, learned: np.ndarray) -> list[Nodes]:
+    """From depth DEPTH to DEALT, for all grams of some groups of DEALT bytes before."""
+    seen = learned > 0
+    ids, bits = decisions(codes[seen], DEPTH)
+    each, group = np.unique(ids.ravel(), return_inverse=True)
+    times, bits = np.repeat(learned[seen], 8), bits.ravel()
+    levels = [Nodes.leaves(each, np.bincount(group, times * (1 - bits), len(each)), np.bincount(group, times * bits, len(each)))]
+    while len(levels) <= DEPTH - DEALT:
+        levels.append(levels[-1].above())
+    return levels
+
+
+def _groups(batches: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, times learned) of a partition sorted by gram, cut between groups of DEALT bytes before. A group has at most 256 ** (DEPTH + 1 - DEALT) grams."""
+    shift = 8 * (DEPTH + 1 - DEALT)
+    codes, learned = np.array([], np.int64), np.array([], np.int64)
+    for batch in batches:
+        codes, learned = np.concatenate([codes, batch.column(0).to_numpy()]), np.concatenate([learned, batch.column(1).to_numpy()])
+        if len(codes) >= AT_ONCE:
+            cut = int(np.searchsorted(codes, codes[-1] >> shift << shift))
+            if cut:
+                yield codes[:cut], learned[:cut]
+                codes, learned = codes[cut:], learned[cut:]
+    if len(codes):
+        yield codes, learned
+
+
+def _rows(nodes: Nodes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes.ids, nodes.zeros, nodes.ones, nodes.weighted, nodes.trust)], names=["id", "zeros", "ones", "weighted", "trust"])
+
+
+NODE = "id long, zeros double, ones double, weighted double, trust double"
+
+
+def _dealt(batches: Rows) -> Rows:
+    for codes, learned in _groups(batches):
+        yield _rows(subtrees(codes, learned)[-1])
+
+
+def _weighed(batches: Rows) -> Rows:
+    """Grouped sums over the children become decisions."""
+    for batch in batches:
+        yield _rows(Nodes.inner(*(batch.column(k).to_numpy() for k in range(4))))
+
+
+def upper_levels(dealt: DataFrame) -> list[Nodes]:
+    """Depths DEALT - 1 to 0, by grouped sums; numbers have at most 8 * DEALT bits, a few hundred thousand in practice."""
+    out, level = [], dealt
+    for _ in range(DEALT):
+        parent = F.shiftleft(F.shiftright("id", 16), 8).bitwiseOR(F.col("id").bitwiseAND(255))
+        level = written(level.groupBy(parent.alias("id")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")).mapInArrow(_weighed, NODE))
+        rows = level.orderBy("id").toPandas()
+        out.append(Nodes(rows["id"].to_numpy(np.int64), *(rows[c].to_numpy(np.float64) for c in ("zeros", "ones", "weighted", "trust"))))
+    return out
+
+
+def log_probability(codes: np.ndarray, levels: list[Nodes]) -> np.ndarray:
+    """ln P(byte | the bytes before) of each gram; levels from DEPTH to 0. A decision that was never met anywhere is even."""
+    one = np.full(8 * len(codes), np.nan)
+    for depth, nodes in zip(range(DEPTH, -1, -1), levels, strict=True):
+        one = nodes.mixed(decisions(codes, depth)[0].ravel(), one)
+    one = np.where(np.isnan(one), 0.5, one)
+    return np.log(np.where(decisions(codes, 0)[1].ravel() == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+
+
+def gram_logs(grams: DataFrame) -> DataFrame:
+    """(key, value): log10 of the probability of each gram, by the context tree of those learned. grams: key, learned, sorted in partitions by the bytes before."""
+    upper = upper_levels(written(grams.mapInArrow(_dealt, NODE)))
+    sent = grams.sparkSession.sparkContext.broadcast([(n.ids, n.zeros, n.ones, n.weighted, n.trust) for n in upper])
+
+    def run(batches: Rows) -> Rows:
+        above = [Nodes(*n) for n in sent.value]
+        for codes, learned in _groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(log_probability(codes, [*subtrees(codes, learned), *above]) / LN10)], names=["key", "value"])
+
+    return grams.mapInArrow(run, "key long, value double")
+
+
+def _left(texts: np.ndarray, keys: np.ndarray, n_texts: int) -> tuple[pa.Array, pa.Array]:
+    """By text, its distinct keys and their numbers."""
+    order = np.lexsort((keys, texts))
+    texts, keys = texts[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (texts[1:] != texts[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.array([], np.int64)
+    ends = pa.array(np.searchsorted(texts[first], np.arange(n_texts + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(keys[first])), pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(first, len(keys))).astype(np.int32)))
+
+
+def _scored(head) -> Callable[[Rows], Rows]:  # noqa: ANN001
+    def run(batches: Rows) -> Rows:
+        """One row a text; words and grams beyond the head are left to the join, as distinct keys with their numbers."""
         row = TaskContext.get().partitionId() << 40
+
+        def met(kind: int, keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+            """By text: how many keys the head knows, the sum of their values, and the keys that it doesn't know."""
+            known_keys, values = head.value[kind]
+            at = np.minimum(np.searchsorted(known_keys, keys), max(len(known_keys) - 1, 0))
+            known = known_keys[at] == keys if len(known_keys) else np.zeros(len(keys), bool)
+            sums = np.bincount(owner[known], values[at[known]] if len(known_keys) else None, n)
+            return np.bincount(owner[known], minlength=n), sums.astype(np.float64), *_left(owner[~known], keys[~known], n)
+
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for i, j in portions(map(len, texts)):
-                part = texts[i:j]
-                codes, starts = _codes(part)
-                model = np.add.reduceat(logs[codes].astype(np.float64), starts) / LN10
+            for i, j in portions(map(len, texts), PORTION):
+                part, n = texts[i:j], j - i
                 split = [t.lower().split() for t in part]
-                hashes = word_hashes([w for words in split for w in words])
-                at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-                known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-                ends = np.cumsum([len(w) for w in split])
-                known_sums = np.concatenate([[0], np.cumsum(known)])
-                gain_sums = np.concatenate([[0.0], np.cumsum(np.where(known, gains[at], 0.0) if len(keys) else np.zeros(len(hashes)))])
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                rest = [np.unique(hashes[b:e][~known[b:e]], return_counts=True) for b, e in zip(begins, ends, strict=True)]
+                words = met(0, word_hashes([w for ws in split for w in ws]).view(np.int64), np.repeat(np.arange(n), [len(ws) for ws in split]), n)
+                codes, starts = _codes(part)
+                grams = met(1, codes, np.repeat(np.arange(n), np.diff(np.append(starts, len(codes)))), n)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + j - i)), batch.column(0).slice(i, j - i), pa.array((ends - begins).astype(np.int64)), pa.array((known_sums[ends] - known_sums[begins]).astype(np.int64)),
-                    pa.array(gain_sums[ends] - gain_sums[begins]), pa.array(model), pa.array([len(t) for t in part], pa.int64()),
-                    pa.array([k.view(np.int64) for k, _ in rest], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in rest], pa.list_(pa.int32())),
-                ], names=["row_", "doc_id", "words", "head_known", "head_gain", "model", "bytes", "keys", "numbers"])
-                row += j - i
+                    pa.array(np.arange(row, row + n)), batch.column(0).slice(i, n), pa.array([len(ws) for ws in split], pa.int64()), pa.array([len(t) for t in part], pa.int64()),
+                    pa.array(words[0].astype(np.int64)), pa.array(words[1]), pa.array(grams[1]), *words[2:], *grams[2:],
+                ], names=["row_", "doc_id", "words", "bytes", "head_known", "head_gain", "head_model", "keys", "numbers", "grams", "times"])
+                row += n
 
     return run
 
@@ -174,36 +258,45 @@ def lm_scores(documents: DataFrame, held_out: Callable[[str], Column]) -> DataFr
 
     Learned from the rows that held_out (a condition on doc_id) doesn't choose. Null and empty texts have one token, their end,
     which is known as soon as there is a training row. base_score is the add-one word model's log10 probability, score the
-    context tree's; bits_per_byte counts the end as a byte. Repeated rows and null ids are scored and counted like others.
-    Only doc_id and text are read. An empty table gives an empty result; without training rows all bits weigh one half.
+    context tree's; bits_per_byte counts the end as a byte. A decision that the training texts never met in a context is left
+    to the longest context in which they did. Repeated rows and null ids are scored and counted like others. Only doc_id and
+    text are read. An empty table gives an empty result; without training rows all bits weigh one half.
     """
     spark = documents.sparkSession
     texts = texts_of(documents)
-    training = texts.where(~held_out("doc_id"))
-    counted = written(training.select("text").mapInArrow(_counts, "kind int, key long, times long").groupBy("kind", "key").agg(F.sum("times").alias("times")))
-    words = counted.where("kind = 0")
-    ends = training.count()
-    sums = words.agg(F.sum("times"), F.count("*")).first()
-    tokens, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    grams = counted.where("kind = 1").select("key", "times").toPandas()  # at most 2**24, a few ten thousand in practice
-    least = tokens / HEAD
-    head = words.where(F.col("times") >= least).select("key", "times").toPandas()
-    keys = head["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    sent_head = spark.sparkContext.broadcast((keys[order], head["times"].to_numpy(np.float64)[order]))
-    sent_table = spark.sparkContext.broadcast(context_tree(grams["key"].to_numpy(np.int64), grams["times"].to_numpy(np.float64)))
-    schema = "row_ long, doc_id long, words long, head_known long, head_gain double, model double, bytes long, keys array<long>, numbers array<int>"
-    scored = written(texts.mapInArrow(_scored(sent_table, sent_head), schema))
-    tail = scored.select("row_", F.explode(F.arrays_zip("keys", "numbers")).alias("w")).select("row_", F.col("w.keys").alias("key"), F.col("w.numbers").alias("n"))
-    tail = tail.join(words.where(F.col("times") < least).select("key", "times"), "key")
-    tail = tail.groupBy("row_").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("times") + 1.0)).alias("gain"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    schema = "row_ long, doc_id long, words long, bytes long, head_known long, head_gain double, head_model double, keys array<long>, numbers array<int>, grams array<long>, times array<int>"
+    with scratch(spark) as keep:
+        counted = texts.select("text", (~held_out("doc_id")).alias("learned")).mapInArrow(_counts, "kind int, key long, learned long, times long")
+        counted = written(counted.groupBy("kind", "key").agg(F.sum("learned").alias("learned"), F.sum("times").alias("times")))
+        ends = texts.where(~held_out("doc_id")).count()
+        sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("learned").alias("learned"), F.sum("times").alias("times"), F.count_if(F.col("learned") > 0).alias("distinct")).collect()}
+        tokens, distinct = (sums[0].learned if 0 in sums else 0) + ends, (sums[0].distinct if 0 in sums else 0) + (ends > 0)
+        least = {k: (sums[k].times if k in sums else 0) / HEAD for k in (0, 1)}
+        group = F.shiftright("key", 8 * (DEPTH + 1 - DEALT))
+        grams = counted.where("kind = 1").select("key", "learned").repartition(parts, group).sortWithinPartitions("key")
+        words = counted.where("kind = 0 and learned > 0").select("kind", "key", "times", F.log10(F.col("learned") + 1.0).alias("value"))
+        logs = written(gram_logs(grams))
+        known = words.union(counted.where("kind = 1").join(logs, "key").select("kind", "key", "times", "value"))
+        known = keep(written(known))
+        often = F.col("times") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])
+        head = known.where(often).select("kind", "key", "value").toPandas()
+        chosen = []
+        for kind in (0, 1):
+            some = head[head["kind"] == kind].sort_values("key")
+            chosen.append((some["key"].to_numpy(np.int64), some["value"].to_numpy(np.float64)))
+        scored = keep(written(texts.mapInArrow(_scored(spark.sparkContext.broadcast(chosen)), schema)))
+    rest = [scored.select("row_", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(n).alias("n"))).alias("w")) for kind, keys, n in ((0, "keys", "numbers"), (1, "grams", "times"))]
+    rest = rest[0].union(rest[1]).select("row_", "kind", "w.key", "w.n").join(known.where(~often).select("kind", "key", "value"), ["kind", "key"])
+    word, gain = F.col("kind") == 0, F.col("n") * F.col("value")
+    rest = rest.groupBy("row_").agg(F.sum(F.when(word, F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(word, gain).otherwise(0.0)).alias("gain"), F.sum(F.when(word, 0.0).otherwise(gain)).alias("model"))
     each = float(np.log10(tokens + distinct + 1))
     end_gain = float(np.log10(ends + 1))
-    out = scored.drop("keys", "numbers").join(tail, "row_", "left")
-    n_tokens = F.col("words") + 1
+    out = scored.drop("keys", "numbers", "grams", "times").join(rest, "row_", "left")
+    n_tokens, score = F.col("words") + 1, F.col("head_model") + F.coalesce("model", F.lit(0.0))
     return out.select(
         "doc_id", held_out("doc_id").alias("held_out"), n_tokens.alias("n_tokens"),
         (F.col("head_known") + F.coalesce("known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head_gain") + F.coalesce("gain", F.lit(0.0)) + end_gain - n_tokens * each).alias("base_score"), F.col("model").alias("score"),
-        (-F.col("model") * F.lit(float(np.log2(10))) / (F.col("bytes") + 1)).alias("bits_per_byte"),
+        (F.col("head_gain") + F.coalesce("gain", F.lit(0.0)) + end_gain - n_tokens * each).alias("base_score"), score.alias("score"),
+        (-score * F.lit(float(np.log2(10))) / (F.col("bytes") + 1)).alias("bits_per_byte"),
     )
