@@ -89,12 +89,17 @@ def bytes_of(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")).cast("binary")
 
 
-def texts_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, text as bytes) for Arrow functions. Texts may be long, so the session's batches are held to BATCH_ROWS rows."""
-    conf, name = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+def texts_in_batches(df: DataFrame) -> DataFrame:
+    """The same rows. Texts may be long, so the session's Arrow batches are held to BATCH_ROWS rows from here on: plans read the setting when they run."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
+    return df
+
+
+def texts_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes) for Arrow functions."""
+    return texts_in_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

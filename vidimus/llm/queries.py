@@ -168,7 +168,7 @@ FROM d LEFT JOIN fs USING (doc_id) LEFT JOIN rs USING (doc_id) LEFT JOIN ls USIN
 
 #: For the table as given: its messages are plain text, so no call is linked.
 CHAT_SQL = """
-SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, message) - 1)::BIGINT AS position, 0::BIGINT AS n_calls, 0::BIGINT AS n_valid, 0::BIGINT AS n_answered,
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(message)) - 1)::BIGINT AS position, 0::BIGINT AS n_calls, 0::BIGINT AS n_valid, 0::BIGINT AS n_answered,
        NULL::BOOLEAN AS linked, message
 FROM (SELECT conv_id, turn, json_object('content', coalesce(text, ''), 'role', role)::VARCHAR AS message FROM conversations)
 """
