@@ -7,6 +7,7 @@ how much of it the text covers. Literal phrases are counted beside it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -113,7 +114,8 @@ class Automaton:
             best: list[tuple[int, int, int]] = []
             for k, (first, size, at) in enumerate(parts):
                 score, begin = size, first
-                for m in range(max(0, k - 64), k):
+                # A stretch is no longer than the template, so none that begins earlier reaches into the gap.
+                for m in range(bisect_left(parts, (first - GAP - self.sizes[t],)), k):
                     f, s, a = parts[m]
                     # overlaps of neighbouring stretches count once
                     over = max(0, f + s - first, a + s - at)
