@@ -16,10 +16,10 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, texts_in_batches, written
+from .common import positions, scratch, texts_in_batches, written
 
 #: JSON types by name, as a schema's "type" states them.
 TYPES: dict[str, type | tuple[type, ...]] = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
@@ -129,23 +129,6 @@ def placed(links: DataFrame) -> DataFrame:
     return now.where("up is null").select("row_", "after", "steps")
 
 
-def positions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(row_, position): the place of each row among those of its key (which may be null), from 0. order ends with row_, so it is total.
-
-    All rows are dealt to ranges of (key, order); within a range each key's rows are numbered, and a key that reaches over
-    ranges adds what the ranges before hold of it, one number a range.
-    """
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = written(rows.select(key, *order).repartitionByRange(n, key, *order).withColumn("part", F.spark_partition_id()))
-    counts = ranged.groupBy(key, "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    # A range has at most one key that began in an earlier one, so these are no more rows than ranges.
-    begun = counts.withColumn("before", before).where("before is not null").select(F.col(key).alias("key_"), F.col("part").alias("part_"), "before")
-    within = F.row_number().over(Window.partitionBy("part", key).orderBy(*order))
-    met = ranged.withColumn("within", within).join(F.broadcast(begun), (F.col("part") == F.col("part_")) & F.col(key).eqNullSafe(F.col("key_")), "left")
-    return met.select("row_", (F.col("within") - 1 + F.coalesce("before", F.lit(0))).cast("long").alias("position"))
-
-
 def chat_format(conversations: DataFrame, schemas: Mapping[str, Mapping[str, Any]] | None = None) -> DataFrame:
     """(conv_id, turn, position, n_calls, n_valid, n_answered, linked, message), one row per message.
 
@@ -169,7 +152,7 @@ def chat_format(conversations: DataFrame, schemas: Mapping[str, Mapping[str, Any
             keyed = keyed.select("row_", "conv_id", F.col("at").alias("after"), F.lit(0).alias("steps"), "at", "digest")
         else:
             keyed = keyed.join(placed(links.where("row_ <> up")), "row_", "left").select("row_", "conv_id", F.coalesce("after", "at").alias("after"), F.coalesce("steps", F.lit(0)).alias("steps"), "at", "digest")
-        place = keep(written(positions(keyed, "conv_id", ["after", "steps", "at", "digest", "row_"])))
+        place = keep(written(positions(keyed, ["conv_id"], ["after", "steps", "at", "digest", "row_"]).select("row_", "position")))
     answered = links.groupBy(F.col("up").alias("row_")).agg(F.count_distinct("id").alias("n_answered"))
     out = messages.join(place, "row_").join(answered, "row_", "left").join(links.select("row_", F.lit(True).alias("met")), "row_", "left")
     return out.select(

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a one-column key table may be broadcast (about 16 bytes a row).
@@ -152,3 +152,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             to_a, to_b = small(hook.toDF("a", "ra")), small(hook.toDF("b", "rb"))
             edges = written(edges.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         return keep(total if total is not None else edges).toDF(*(["node", "root", "moved"] if total is not None and len(total.columns) == 3 else ["node", "root"])).select("node", "root")
+
+
+def positions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(*keys, *order, position): the place of each row among those of its keys (which may be null), from 0. order must be total.
+
+    All rows are dealt to ranges of (keys, order), so no key is gathered. Within a range each key's rows are numbered, and a
+    key that reaches over ranges adds what the ranges before hold of it, one number a range.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = written(rows.select(*keys, *order).repartitionByRange(n, *keys, *order).withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # A range has at most one key that began in an earlier one, so these are no more rows than ranges.
+    begun = counts.withColumn("before", before).where("before is not null").select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("part").alias("part_"), "before")
+    within = F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order))
+    same = F.col("part") == F.col("part_")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    met = ranged.withColumn("within", within).join(F.broadcast(begun), same, "left")
+    return met.select(*keys, *order, (F.col("within") - 1 + F.coalesce("before", F.lit(0))).cast("long").alias("position"))
