@@ -38,3 +38,30 @@ def test_substitutions_in_short_items(spark):
         found = D.overlaps(docs(spark, rows), bench, block).collect()
         assert Counter((r.doc_id, r.item_id) for r in found) == Counter(want)
         assert all(20 <= r.first_token and r.first_token + r.n_tokens <= 20 + r.n_item and r.n_matching <= r.n_tokens for r in found)
+
+
+def test_recall_with_up_to_a_fifth_substituted(spark):
+    """Passages of 9 to 50 words; every tenth text holds none."""
+    rng = random.Random(22)
+    items = [(k, prose(9 + k % 42, rng).split()) for k in range(126)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(None, prose(20, rng))], "item_id long, text string")
+    rows, want = [], set()
+    for share in (0.05, 0.1, 0.2):
+        for k, words in items:
+            gone = set(rng.sample(range(len(words)), int(share * len(words))))
+            rows.append((len(rows), f"{prose(rng.randint(0, 60), rng)} {' '.join('other' if n in gone else w for n, w in enumerate(words))} {prose(rng.randint(0, 60), rng)}", "s"))
+            want.add((rows[-1][0], k))
+    rows += [(5_000 + k, prose(300, rng), "s") for k in range(300)]
+    for block in (D.BLOCK, 40):
+        found = {(r.doc_id, r.item_id) for r in D.overlaps(docs(spark, rows), bench, block).collect()}
+        assert found == want
+
+
+def test_null_and_repeated_items(spark):
+    rng = random.Random(23)
+    passage = prose(20, rng)
+    bench = spark.createDataFrame([(None, passage), (4, passage.upper()), (4, passage), (5, None), (6, " ,;")], "item_id long, text string")
+    rows = [(1, f"{prose(5, rng)} {passage}", "s"), (None, passage, "s"), (2, prose(50, rng), "s"), (3, None, "s")]
+    for block in (D.BLOCK, 4):
+        got = Counter((r.doc_id, r.item_id) for r in D.overlaps(docs(spark, rows), bench, block).collect())
+        assert got == Counter({(1, None): 1, (1, 4): 2, (None, None): 1, (None, 4): 2})
