@@ -239,7 +239,7 @@ def held(c):
 
 def test_lm_scores(spark):
     rows = awkward() + [(100 + i, prose(30), "s") for i in range(60)]
-    for head in (1 << 20, 4):
+    for head in (lm_scoring.HEAD, (4, 4)):
         lm_scoring.HEAD, kept = head, lm_scoring.HEAD
         got = lm_scoring.lm_scores(docs(spark, rows), held).collect()
         lm_scoring.HEAD = kept

@@ -4,8 +4,8 @@ The context-tree model predicts a text byte by byte, each byte as eight binary d
 Krichevsky-Trofimov estimate in the context of the 0, 1, ... DEPTH bytes before it, and the estimates of all depths are
 mixed by their weights in the context tree of the training corpus. The tree is a table: byte grams are counted over all
 texts, dealt by the three bytes before and mixed from the deepest contexts upwards, by partitions from DEPTH to 3 and by
-grouped sums from there to 0; on the way back every gram gets its probability. Grams and words that make up a 2**-20th of
-the whole (so at most 2**20 of either) are broadcast to the texts, all others are joined by hash.
+grouped sums from there to 0; on the way back every gram gets its probability. The most frequent words and grams, at most
+HEAD of either, are broadcast to the texts, all others are joined by hash.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ END = 255  # a byte that UTF-8 never has: the end of a text
 DEPTH = 5
 #: Bytes before a decision by which the tree is dealt to partitions: so many depths lie above all partitions.
 DEALT = 3
-HEAD = 1 << 20
+#: Words and grams that are broadcast, at most.
+HEAD = (1 << 17, 1 << 19)
 LN2, LN10 = float(np.log(2)), float(np.log(10))
 #: Bytes of texts whose grams are held at once.
 PORTION = 4_000_000
@@ -253,6 +254,20 @@ def _scored(head) -> Callable[[Rows], Rows]:  # noqa: ANN001
     return run
 
 
+def most_frequent(known: DataFrame, most: tuple[int, ...]) -> Column:
+    """A condition that at most so many rows of each kind satisfy: times within the upper steps of a logarithmic histogram."""
+    step = F.floor(F.log2("times") * 8)
+    held, least = {}, {}
+    for kind, at, n in sorted((tuple(r) for r in known.groupBy("kind", step.alias("step")).count().collect()), reverse=True):
+        held[kind] = held.get(kind, 0) + n
+        if held[kind] <= most[kind]:
+            least[kind] = at
+    out = F.lit(False)
+    for kind, at in least.items():
+        out |= (F.col("kind") == kind) & (step >= at)
+    return out
+
+
 def lm_scores(documents: DataFrame, held_out: Callable[[str], Column]) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per row of documents.
 
@@ -272,19 +287,17 @@ def lm_scores(documents: DataFrame, held_out: Callable[[str], Column]) -> DataFr
         ends = texts.where(~held_out("doc_id")).count()
         sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("learned").alias("learned"), F.sum("times").alias("times"), F.count_if(F.col("learned") > 0).alias("distinct")).collect()}
         tokens, distinct = (sums[0].learned if 0 in sums else 0) + ends, (sums[0].distinct if 0 in sums else 0) + (ends > 0)
-        least = {k: (sums[k].times if k in sums else 0) / HEAD for k in (0, 1)}
         group = F.shiftright("key", 8 * (DEPTH + 1 - DEALT))
         grams = counted.where("kind = 1").select("key", "learned").repartition(parts, group).sortWithinPartitions("key")
         words = counted.where("kind = 0 and learned > 0").select("kind", "key", "times", F.log10(F.col("learned") + 1.0).alias("value"))
         logs = written(gram_logs(grams))
         known = words.union(counted.where("kind = 1").join(logs, "key").select("kind", "key", "times", "value"))
         known = keep(written(known))
-        often = F.col("times") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])
-        head = known.where(often).select("kind", "key", "value").toPandas()
+        often = most_frequent(known, HEAD)
         chosen = []
         for kind in (0, 1):
-            some = head[head["kind"] == kind].sort_values("key")
-            chosen.append((some["key"].to_numpy(np.int64), some["value"].to_numpy(np.float64)))
+            some = known.where(often & (F.col("kind") == kind)).select("key", "value").toArrow().sort_by("key")
+            chosen.append((some["key"].to_numpy(), some["value"].to_numpy()))
         scored = keep(written(texts.mapInArrow(_scored(spark.sparkContext.broadcast(chosen)), schema)))
     rest = [scored.select("row_", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(n).alias("n"))).alias("w")) for kind, keys, n in ((0, "keys", "numbers"), (1, "grams", "times"))]
     rest = rest[0].union(rest[1]).select("row_", "kind", "w.key", "w.n").join(known.where(~often).select("kind", "key", "value"), ["kind", "key"])
