@@ -5,16 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written below spark.checkpoint.dir and read back: one computation for many readers, and a short plan."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share. Where it is unset, a local folder does on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:  # only where the cluster names no folder
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored_as(df: DataFrame, form: str) -> str:
+    """The path of the rows, written in that format."""
+    path = shared_path(df.sparkSession)
+    df.write.format(form).save(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written below spark.checkpoint.dir and read back: one computation for many readers, and a short plan."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored_as(df, "parquet"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import json_number, json_text, or_null
+from ..functions.text import json_number, json_text, limited, or_null, stripped
 
 
 def transcript_lines(segments: DataFrame) -> DataFrame:
@@ -71,14 +71,23 @@ def explode_understanding(understandings: DataFrame) -> DataFrame:
     return summary.union(chapters).union(events).where("text is not null")
 
 
+SEARCHED = "display_title string, searchable_text string, summary string, topics array<string>, chapters array<struct<title string, summary string>>, events array<struct<caption string, visual array<string>, audio array<string>, actions array<string>, entities array<string>>>"
+
+
 def understanding_search_text(result: Column | str) -> Column:
-    """The explicit searchable text if present, else summary, chapters, events and topics; the display title first."""
-    r = F.col(result) if isinstance(result, str) else result
-    strings = lambda path: F.from_json(F.get_json_object(r, path), "array<string>")
-    listed = F.concat_ws("\n", json_text(r, "summary"), F.concat_ws("\n", strings("$.chapters[*].title")), F.concat_ws("\n", strings("$.events[*].caption")), F.concat_ws("\n", strings("$.topics[*]")))
-    body = F.coalesce(json_text(r, "searchable_text"), or_null(listed))
-    title = json_text(r, "display_title")
-    return or_null(F.concat_ws("\n", F.when(~F.coalesce(body.contains(title), F.lit(False)), title), body))
+    """The explicit searchable text if present, else summary, chapters, events and topics, a line each; the display title first.
+
+    Of title, explicit text and summary equal ones stand once; the others are not compared.
+    """
+    r = F.from_json(F.col(result) if isinstance(result, str) else result, SEARCHED)
+    lines = lambda of, text: F.array_join(F.filter(F.transform(of, text), lambda t: t.isNotNull()), "\n")
+    title, explicit, summary = or_null(limited(stripped(r["display_title"]), 120)), or_null(r["searchable_text"]), or_null(r["summary"])
+    new = lambda t: F.when(title.isNull() | (t != title), t)
+    chapters = lines(r["chapters"], lambda c: F.when(or_null(c["title"]).isNotNull(), F.concat_ws(" ", or_null(c["title"]), or_null(c["summary"]))))
+    parts = lambda e: F.filter(F.concat(F.array(e["caption"]), *[F.coalesce(e[k], F.array().cast("array<string>")) for k in ("visual", "audio", "actions", "entities")]), lambda t: or_null(t).isNotNull())
+    events = lines(r["events"], lambda e: F.when(or_null(e["caption"]).isNotNull(), F.array_join(F.transform(parts(e), stripped), " ")))
+    listed = F.concat_ws("\n", title, new(summary), or_null(chapters), or_null(events), or_null(lines(r["topics"], or_null)))
+    return or_null(F.when(explicit.isNotNull(), F.concat_ws("\n", title, new(explicit))).otherwise(listed))
 
 
 def assign_chunk_ids(chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, sanitised_error
 from ..schemas import MODEL_INDEX_VERSION, SEARCH_INDEX_VERSION
+from ..sources.discovery import plan_index_jobs
 
 HIDDEN_TYPES = ("refresh_understanding", "refresh_index")
 DAY = 86_400
@@ -152,11 +153,19 @@ def cancel_queued(jobs: DataFrame, items: DataFrame, ids: DataFrame, now: int) -
     return out, reset
 
 
-def retry_failed(items: DataFrame, source: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items with the failed ones reset, ids whose chunks of understanding, units and vectors are to be cleared)."""
+def retry_failed(items: DataFrame, jobs: DataFrame, tables: dict[str, DataFrame], source: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(items with the failed ones reset, the jobs planned for them, tables without their rows).
+
+    tables are those whose rows a new run makes again (understandings, units, vectors), each with item_id; an item that has
+    an active job gets no second one.
+    """
     hit = (F.col("status") == "failed") if source is None else (F.col("status") == "failed") & (F.col("source_id") == source)
     hit = F.coalesce(hit, F.lit(False))
-    return items.withColumn("error", F.when(~hit, F.col("error"))).withColumn("status", F.when(hit, "discovered").otherwise(F.col("status"))), items.where(hit).select(F.col("id").alias("item_id"))
+    again = items.where(hit)
+    ids = again.select(F.col("id").alias("item_id"))
+    reset = items.withColumn("error", F.when(~hit, F.col("error"))).withColumn("status", F.when(hit, "discovered").otherwise(F.col("status")))
+    planned = plan_index_jobs(again.withColumn("status", F.lit("discovered")), jobs)
+    return reset, planned, {name: table.join(ids, "item_id", "left_anti").select(table.columns) for name, table in tables.items()}
 
 
 def repair_item_status(items: DataFrame, jobs: DataFrame, now: int) -> DataFrame:

@@ -76,3 +76,20 @@ def read_event_log(spark: SparkSession, path: str, now: int, streaming: bool = F
 def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     """Parquet; units and vectors are partitioned by index_version, large tables by a hash of their item."""
     df.write.mode(mode).partitionBy(*partitions).parquet(path)
+
+
+def publish_snapshot(spark: SparkSession, base: str, number: int, tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> None:
+    """Tables (name -> rows and partition columns) as one snapshot; a pointer row makes it the current one when all are written.
+
+    A run that fails half-way leaves the pointer on the last whole snapshot. One writer at a time is assumed.
+    """
+    path = f"{base}/snapshot={number}"
+    for name, (df, partitions) in tables.items():
+        write_table(df, f"{path}/{name}", partitions)
+    spark.range(1).select(F.lit(number).alias("number"), F.lit(path).alias("path")).write.mode("append").parquet(f"{base}/pointer")
+
+
+def current_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A table of the snapshot that the pointer names."""
+    last = spark.read.parquet(f"{base}/pointer").orderBy(F.desc("number")).first()  # a row a snapshot
+    return spark.read.parquet(f"{last.path}/{name}")
