@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp, collapsed, inferred_preference, limited, or_null, text_score
+from ..functions.text import clamp, clock, inferred_preference, limited, or_null, query_terms, text_score
 from .lexical import hinted, pool, top
-from .units import chunk_order, effective_times, interval_overlap_join, nearest_frame_asof
+from .units import effective_times, interval_overlap_join, nearest_frame_asof, overlaps
 
 # Fixed values of the scoring.
 LEXICAL_CEILING, EXACT_LOW, EXACT_HIGH, BEST_INEXACT = 0.76, 0.92, 0.98, 0.91
@@ -44,54 +46,104 @@ def hydrate(hits: DataFrame, units: DataFrame, items: DataFrame, searchable: Dat
     return out.withColumn("chunk_type", F.when(F.col("unit_kind") == "summary", "understanding").otherwise(F.col("unit_kind"))).withColumn("playback_chunk_id", F.coalesce("representative_chunk_id", "unit_id"))
 
 
+#: Fields of a unit in their order, and which of them a query of several terms prefers when they answer it equally well.
+FIELDS = {"transcript": 0, "ocr": 3, "visual": 2, "summary": 1}
+#: Fields in the order in which they stand in where none answers.
+FALLBACKS = {"audio": ("transcript", "summary", "visual", "ocr"), "image": ("visual", "ocr", "summary", "transcript"), "video": ("visual", "ocr", "summary", "transcript"), "document": ("summary", "transcript", "visual", "ocr")}
+
+
+def best_field(q: str = "q", preference: str = "preference") -> Column:
+    """struct(text, field) of the field that answers the query best, else the content, else a field by preference; cut at 320 characters."""
+    many = F.size(query_terms(q)) > 1
+    texts = {f: or_null(f"{f}_text") for f in FIELDS}
+    scored = F.array(*[F.struct(text_score(texts[f], q).alias("score"), F.when(many, p).otherwise(-k).alias("priority"), texts[f].alias("text"), F.lit(f).alias("field")) for k, (f, p) in enumerate(FIELDS.items())])
+    best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))
+    found = lambda text, field: F.struct(limited(text, SNIPPET).alias("text"), field.alias("field"))
+
+    def first(order: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.when(texts[f].isNotNull(), found(texts[f], F.lit(f))) for f in order])
+
+    by_kind = first(tuple(FIELDS))
+    for kind, order in FALLBACKS.items():
+        by_kind = F.when(F.col(preference) == kind, first(order)).otherwise(by_kind)
+    content = or_null("content_text")
+    return F.coalesce(F.when(best.isNotNull(), found(best["text"], best["field"])), F.when(text_score(content, q) > 0, found(content, F.lit("content"))), by_kind, found(content, F.lit(None).cast("string")))
+
+
 def best_snippet(q: str = "q", preference: str = "preference") -> Column:
-    """The field that answers the query best, 320 characters; else a field by preference, else the content."""
-    fields = {"ocr_text": 3, "visual_text": 2, "summary_text": 1, "transcript_text": 0}
-    many = F.size(F.filter(F.split(F.trim(F.col(q)), r"\s+"), lambda t: t != "")) > 1
-    scored = F.array(*[F.struct(F.coalesce(text_score(F.col(f), q), F.lit(0)).alias("score"), F.when(many, p).otherwise(-k).alias("priority"), F.col(f).alias("text")) for k, (f, p) in enumerate(fields.items())])
-    best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))["text"]
-    by_kind = (
-        F.when(F.col(preference) == "audio", F.coalesce("transcript_text", "summary_text", "visual_text", "ocr_text"))
-        .when(F.col(preference) == "image", F.coalesce("ocr_text", "visual_text", "transcript_text", "summary_text"))
-        .otherwise(F.coalesce("transcript_text", "ocr_text", "visual_text", "summary_text"))
-    )
-    content = F.when(text_score(F.col("content_text"), q) > 0, F.col("content_text"))
-    return limited(collapsed(F.coalesce(best, content, by_kind, F.col("content_text"))), SNIPPET)
+    """D13's text; of a video's generated fields only that something is there."""
+    best = best_field(q, preference)
+    hidden = (F.col("item_content_type") == "video") & best["field"].isin("visual", "summary")
+    return F.coalesce(F.when(~F.coalesce(hidden, F.lit(False)), best["text"]), placeholder())
+
+
+def placeholder() -> Column:
+    """What stands for a text that isn't quoted."""
+    kind = F.col("chunk_type")
+    seen, told = kind.isin("keyframe", "image", "ocr"), kind == "understanding"
+    timed = F.concat(F.when(seen, "Visual frame at ").when(told, "Video understanding at ").otherwise("Search match at "), clock("start_sec", rounded=True))
+    return F.coalesce(timed, F.when(seen, "Visual match").when(told, "Video understanding match").otherwise("Search match"))
+
 
+def best_row(hits: DataFrame, rows: DataFrame, rank: Column, fallback: Column, name: str, meets: Callable[..., Column] = overlaps) -> DataFrame:
+    """Of the rows that meet each hit the one with the best text score, ties by rank; if none answers, the first by fallback.
 
-def best_row(hits: DataFrame, rows: DataFrame, rank: Column, name: str) -> DataFrame:
-    """Of the rows overlapping each hit the first one with the best text score by the rank; else the first. hits: query_id, unit_id, q, item_id, start_sec, end_sec."""
+    hits: query_id, unit_id, q, item_id, start_sec, end_sec.
+    """
     windows = hits.select("item_id", "query_id", "unit_id", "q", F.col("start_sec").alias("window_start"), F.col("end_sec").alias("window_end"))
-    met = interval_overlap_join(rows.withColumn("rank_", rank), windows)
+    met = interval_overlap_join(rows.withColumn("rank_", rank).withColumn("fallback_", fallback), windows, meets=meets)
     met = met.withColumn("score_", F.coalesce(text_score(F.col("text"), "q"), F.lit(0)))
-    order = Window.partitionBy("query_id", "unit_id").orderBy(F.desc(F.when(F.col("score_") > 0, F.col("score_")).otherwise(-1)), "rank_")
-    best = met.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("query_id", "unit_id", F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_text"), F.col("eff_start").alias(f"{name}_start"))
+    order = Window.partitionBy("query_id", "unit_id").orderBy(F.desc("score_"), F.when(F.col("score_") > 0, F.col("rank_")).otherwise(F.col("fallback_")))
+    best = met.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("query_id", "unit_id", F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_row_text"), F.col("eff_start").alias(f"{name}_start"))
     return hits.join(best, ["query_id", "unit_id"], "left")
 
 
+def _inclusive(ls: Column, le: Column, rs: Column, re: Column) -> Column:
+    return F.coalesce(F.coalesce(le, ls) >= rs, F.lit(True)) & F.coalesce(ls <= re, F.lit(True))
+
+
 def best_spoken_line(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """spoken_id, spoken_text and spoken_start: lines before transcripts, by time."""
-    spoken = chunks.where(F.col("chunk_type").isin("transcript_line", "transcript", "audio")).withColumn("eff_start", F.col("start_sec")).withColumn("eff_end", F.col("end_sec"))
-    rank = F.struct(F.when(F.col("chunk_type") == "transcript_line", 0).otherwise(1).alias("c"), F.coalesce("start_sec", F.lit(0.0)).alias("s"), F.col("id").alias("i"))
-    return best_row(hits, spoken, rank, "spoken")
+    """spoken_id, spoken_row_text and spoken_start: lines before transcripts, by time; rows that only touch the unit count."""
+    spoken = chunks.where(F.col("chunk_type").isin("transcript_line", "transcript", "audio") & F.col("start_sec").isNotNull()).withColumn("eff_start", F.col("start_sec")).withColumn("eff_end", F.coalesce("end_sec", "start_sec"))
+    rank = F.struct(F.when(F.col("chunk_type") == "transcript_line", 0).otherwise(1).alias("c"), F.col("start_sec").alias("s"), F.col("id").alias("i"))
+    return best_row(hits, spoken, rank, rank, "spoken", _inclusive)
 
 
 def best_visual_row(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """visual_id, visual_text_ and visual_start of OCR and understanding rows; understanding first where none answers."""
-    shown = effective_times(chunks, last=False).where(F.col("chunk_type").isin("ocr", "understanding"))
-    rank = F.struct(F.when(F.col("chunk_type") == "understanding", 0).otherwise(1).alias("c"), chunk_order().alias("o"))
-    return best_row(hits.withColumnRenamed("visual_text", "unit_visual_text") if "visual_text" in hits.columns else hits, shown, rank, "visual")
+    """visual_id, visual_row_text and visual_start of OCR and understanding rows; understanding first where none answers."""
+    shown = effective_times(chunks, last=False).where(F.col("chunk_type").isin("ocr", "understanding") & or_null("text").isNotNull())
+    rank = lambda first: F.struct(F.when(F.col("chunk_type") == first, 0).otherwise(1).alias("c"), F.coalesce("start_sec", F.lit(9.3e18)).alias("s"), F.col("id").alias("i"))
+    return best_row(hits, shown, rank("ocr"), rank("understanding"), "visual")
 
 
 def attach_nearest_frame(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The frame nearest to each hit's start (ties take the following one); OCR and understanding hits start with it."""
-    frames = chunks.where(F.col("chunk_type").isin("keyframe", "image"))
+    """The frame nearest to each hit's start (ties take the following one); OCR and understanding hits start with it. Hits without a time have none."""
+    frames = chunks.where(F.col("chunk_type").isin("keyframe", "image") & F.col("frame_path").isNotNull() & F.col("start_sec").isNotNull())
     targets = hits.withColumn("target_id", F.concat_ws("|", F.col("query_id").cast("string"), "unit_id")).withColumn("at", F.col("start_sec"))
     out = nearest_frame_asof(targets, frames, following=True)
+    for c in ("frame_id", "frame_path", "frame_start"):
+        out = out.withColumn(c, F.when(F.col("at").isNotNull(), F.col(c)))
     snaps = F.col("chunk_type").isin("ocr", "understanding") & F.col("frame_start").isNotNull()
     return out.withColumn("start_sec", F.when(snaps, F.col("frame_start")).otherwise(F.col("start_sec"))).drop("target_id", "at")
 
 
+def with_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """D13-D16 for hydrated hits (with q and preference): snippet, the row that plays (its kind and start), and the nearest frame.
+
+    A hit whose on-screen or visual text answers plays from its best visual row, one whose transcript answers from its best
+    spoken line, others from the unit's representative.
+    """
+    found = hits.withColumn("field_", best_field()["field"])
+    keys, asked = ["query_id", "unit_id"], ("query_id", "unit_id", "q", "item_id", "start_sec", "end_sec")
+    seen = best_visual_row(found.where(F.col("field_").isin("ocr", "visual")).select(*asked), chunks).select(*keys, F.col("visual_id").alias("row_id"), F.col("visual_start").alias("row_start"))
+    said = best_spoken_line(found.where("field_ = 'transcript'").select(*asked), chunks).select(*keys, F.col("spoken_id").alias("row_id"), F.col("spoken_start").alias("row_start"))
+    found = found.join(seen.unionByName(said), keys, "left").withColumn("playback_chunk_id", F.coalesce("row_id", "playback_chunk_id")).withColumn("start_sec", F.coalesce(F.when(F.col("row_id").isNotNull(), F.col("row_start")), "start_sec"))
+    kinds = chunks.select(F.col("id").alias("playback_chunk_id"), F.col("chunk_type").alias("played_"))
+    found = found.join(kinds, "playback_chunk_id", "left").withColumn("chunk_type", F.coalesce("played_", "unit_kind"))
+    found = attach_nearest_frame(found.drop("row_id", "row_start", "played_", "field_"), chunks)
+    return found.withColumn("snippet", best_snippet())
+
+
 def with_match_scores(hits: DataFrame) -> DataFrame:
     """match_score, comparable between lexical and vector hits of a query."""
     lexical_only = F.col("has_text") & ~F.col("has_vector")
@@ -223,7 +275,3 @@ def filter_hits(hits: DataFrame, source: str | None = None, modality: str | None
         out = out.where(length_bucket(F.col("start_sec")) == start)
     return out.orderBy("query_id", *([F.desc("indexed_at")] if recent else []), "rank")
 
-
-def placeholder(text: Column, kind: Column) -> Column:
-    """Generated text on a video isn't quoted."""
-    return F.when(kind == "understanding", F.lit("Visual moment")).otherwise(or_null(text))

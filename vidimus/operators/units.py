@@ -6,6 +6,8 @@ a pair is kept only in the first bin that both sides share, so nothing needs to
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ def overlaps(ls: Column, le: Column, rs: Column, re: Column) -> Column:
     )
 
 
-def interval_overlap_join(rows: DataFrame, windows: DataFrame, times: tuple[str, str] = ("eff_start", "eff_end"), by: tuple[str, str] = ("window_start", "window_end"), width: float = WINDOW) -> DataFrame:
-    """Rows with every window of the same item_id that they overlap; windows' item_id is dropped."""
+def interval_overlap_join(rows: DataFrame, windows: DataFrame, times: tuple[str, str] = ("eff_start", "eff_end"), by: tuple[str, str] = ("window_start", "window_end"), width: float = WINDOW, meets: Callable[..., Column] = overlaps) -> DataFrame:
+    """Rows with every window of the same item_id that they overlap (or meet by another predicate that shares a bin); windows' item_id is dropped."""
     bin_of = lambda t: F.floor(t / width)
     ls, le, rs, re = *(F.col(c) for c in times), *(F.col(c) for c in by)
     rows = rows.withColumn("low_", bin_of(ls)).withColumn("high_", F.greatest(bin_of(ls), bin_of(F.coalesce(le, ls))))
@@ -67,10 +69,10 @@ def interval_overlap_join(rows: DataFrame, windows: DataFrame, times: tuple[str,
     binned = rows.where(plain).withColumn("bin_", F.explode(F.sequence("low_", "high_")))
     cut = windows.where(rs.isNotNull() & (F.col("last_") - F.col("first_") <= MOST_BINS)).withColumn("bin_w_", F.explode(F.sequence("first_", "last_")))
     same = F.col("item_id") == F.col("item_")
-    near = binned.join(cut, same & (F.col("bin_") == F.col("bin_w_")) & (F.col("bin_") == F.greatest("low_", "first_")) & overlaps(ls, le, rs, re)).drop("bin_", "bin_w_")
+    near = binned.join(cut, same & (F.col("bin_") == F.col("bin_w_")) & (F.col("bin_") == F.greatest("low_", "first_")) & meets(ls, le, rs, re)).drop("bin_", "bin_w_")
     narrow = F.coalesce(rs.isNotNull() & (F.col("last_") - F.col("first_") <= MOST_BINS), F.lit(False))
-    wide = rows.where(~F.coalesce(plain, F.lit(False))).join(windows, same & overlaps(ls, le, rs, re))
-    open_windows = rows.where(plain).join(windows.where(~narrow), same & overlaps(ls, le, rs, re))
+    wide = rows.where(~F.coalesce(plain, F.lit(False))).join(windows, same & meets(ls, le, rs, re))
+    open_windows = rows.where(plain).join(windows.where(~narrow), same & meets(ls, le, rs, re))
     return near.unionByName(wide).unionByName(open_windows).drop("item_", "low_", "high_", "first_", "last_")
 
 

@@ -456,7 +456,7 @@ t AS (SELECT 'conv-' || conv_id AS item_id, conv_id, turn, text FROM conversatio
 
 
 @query(ASKED_SQL + """
-SELECT w.item_id, w.k, w.item_id || ':transcript:' || lpad(turn::VARCHAR, 6, '0') AS spoken_id, 12.0::DOUBLE * turn AS spoken_start FROM w JOIN q USING (item_id) JOIN t ON t.item_id = w.item_id AND 12 * turn < we AND 12 * turn + 12 > ws
+SELECT w.item_id, w.k, w.item_id || ':transcript:' || lpad(turn::VARCHAR, 6, '0') AS spoken_id, 12.0::DOUBLE * turn AS spoken_start FROM w JOIN q USING (item_id) JOIN t ON t.item_id = w.item_id AND 12 * turn <= we AND 12 * turn + 12 >= ws
 QUALIFY row_number() OVER (PARTITION BY w.item_id, w.k ORDER BY CASE WHEN q <> '' AND contains(lower(text), lower(trim(q, '"'))) THEN 0 ELSE 1 END, turn) = 1""")
 def spoken_lines(spark, sf_dir):
     """The turn in every window that answers a query for the conversation's first word."""

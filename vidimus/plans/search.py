@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
+from ..functions.text import or_null
 from ..operators import ranking as R
-from ..operators.lexical import hinted, lexical_candidates, pool, searchable_units, top
+from ..operators.jobs import items_needing_rebuild
+from ..operators.lexical import bm25_search, hinted, lexical_candidates, literal_search, pool, searchable_units, top
 from ..operators.vectors import score_lexical_only, vector_topk
 
 
@@ -14,8 +17,11 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.withColumn("preference", R.effective_preference())
 
 
-def hybrid_search(queries: DataFrame, units: DataFrame, items: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """Ranked hits of every query: vector top-k and lexical recall fused, hydrated, collapsed. vectors: point_key, unit_id, vector."""
+def hybrid_search(queries: DataFrame, units: DataFrame, items: DataFrame, vectors: DataFrame, metric: str = "cosine", chunks: DataFrame | None = None) -> DataFrame:
+    """Ranked hits of every query: vector top-k and lexical recall fused, hydrated, collapsed. vectors: point_key, unit_id, vector.
+
+    With chunks, hits play from their best row and carry its frame, and chunks of items whose index is old are searched too.
+    """
     queries = asked(queries)
     ready = searchable_units(units, items)
     with_vector = queries.where("query_vector is not null")
@@ -24,33 +30,43 @@ def hybrid_search(queries: DataFrame, units: DataFrame, items: DataFrame, vector
     near = vector_topk(pools, vectors.join(ready, "unit_id", "left_semi"), widest, metric)
     near = near.join(vectors.select("point_key", "unit_id"), "point_key").groupBy("query_id", "unit_id").agg(F.max("similarity").alias("similarity"))
     near = top(near.join(hinted(queries.select("query_id", pool().alias("pool_"))), "query_id"), F.col("pool_"), F.desc("similarity"), F.asc("unit_id")).drop("pool_", "rank")
-    words = lexical_candidates(queries, units, ready)
+    words = stored(lexical_candidates(queries, units, ready))
     scored = score_lexical_only(words, near, queries, vectors, metric).select("query_id", "unit_id", "exact_match", "score")
     both = words.select("query_id", "unit_id", "exact_match").join(near, ["query_id", "unit_id"]).select("query_id", "unit_id", "exact_match", F.col("similarity").alias("score"))
-    return ranked(R.fuse_candidates(scored.unionByName(both), near, queries), queries, units, items, ready)
+    return ranked(R.fuse_candidates(scored.unionByName(both), near, queries), queries, units, items, ready, chunks)
 
 
-def lexical_fallback_search(queries: DataFrame, units: DataFrame, items: DataFrame) -> DataFrame:
+def lexical_fallback_search(queries: DataFrame, units: DataFrame, items: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Without vectors; pending items are searched too."""
     queries = asked(queries)
     ready = searchable_units(units, items, pending=True)
     hits = lexical_candidates(queries, units, ready).select("query_id", "unit_id", "score", "exact_match", F.lit(True).alias("has_text"), F.lit(False).alias("has_vector"), F.lit(None).cast("double").alias("similarity"), F.col("rank").alias("hit_rank"))
-    return ranked(hits, queries, units, items, ready)
+    return ranked(hits, queries, units, items, ready, chunks)
 
 
-def ranked(hits: DataFrame, queries: DataFrame, units: DataFrame, items: DataFrame, ready: DataFrame) -> DataFrame:
+def ranked(hits: DataFrame, queries: DataFrame, units: DataFrame, items: DataFrame, ready: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Candidates as ranked hits; with chunks the evidence is attached (D14-D16) and old chunks' hits join (D22) before the ranking."""
     found = R.hydrate(hits, units, items, ready).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
-    return R.finalize(found.withColumn("snippet", R.best_snippet()), queries)
+    if chunks is None:
+        return R.finalize(found.withColumn("snippet", R.best_snippet()), queries)
+    found = R.with_evidence(found, chunks)
+    old = legacy_chunk_search(queries, chunks, items).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
+    return R.finalize(stored(found.unionByName(old, allowMissingColumns=True)), queries)
 
 
 def legacy_chunk_search(queries: DataFrame, chunks: DataFrame, items: DataFrame) -> DataFrame:
-    """The same recall over chunks of indexed items that still need a rebuild: words in four kinds of chunks, literals in all."""
-    from ..operators.jobs import items_needing_rebuild
-    from ..operators.lexical import bm25_search, literal_search
-
-    old = items_needing_rebuild(items).where("status = 'indexed'").select(F.col("id").alias("item_id"))
-    rows = chunks.join(old, "item_id", "left_semi").where("text is not null").withColumn("unit_kind", F.col("chunk_type"))
-    words = bm25_search(queries, rows.where(F.col("chunk_type").isin("transcript", "audio", "ocr", "document")), None, "text").select("query_id", "unit_id", "score", F.lit(False).alias("exact_match"))
-    literal = literal_search(queries, rows, None, "text").select("query_id", "unit_id", "score", "exact_match")
-    merged = words.unionByName(literal).groupBy("query_id", "unit_id").agg(F.max("score").alias("score"), F.bool_or("exact_match").alias("exact_match"))
-    return merged.join(rows.select(F.col("id").alias("unit_id"), "item_id", "chunk_type", "start_sec", "end_sec", "text"), "unit_id")
+    """Hits among the chunks of indexed items that still need a rebuild: words in four kinds of chunks, literals in all.
+
+    A row a chunk, in the form of hydrated hits: flags OR-ed, the higher score, at most the pool of a query, words first.
+    """
+    old = items_needing_rebuild(items).where("status = 'indexed'")
+    rows = chunks.join(old.select(F.col("id").alias("item_id")), "item_id", "left_semi").where("text is not null").withColumn("unit_kind", F.lit(0))  # literal hits go by time alone
+    words = bm25_search(queries, rows.where(F.col("chunk_type").isin("transcript", "audio", "ocr", "document")), None, "text").select("query_id", "unit_id", "score", F.lit(False).alias("exact_match"), F.lit(0).alias("arm"), "rank")
+    literal = literal_search(queries, rows, None, "text").select("query_id", "unit_id", "score", "exact_match", F.lit(1).alias("arm"), "rank")
+    merged = words.unionByName(literal).groupBy("query_id", "unit_id").agg(F.max("score").alias("score"), F.bool_or("exact_match").alias("exact_match"), F.min(F.struct("arm", "rank")).alias("place"))
+    merged = top(merged.join(hinted(queries.select("query_id", pool().alias("pool_"))), "query_id"), F.col("pool_"), F.col("place"), F.col("unit_id")).drop("pool_", "rank", "place")
+    of_item = old.select(F.col("id").alias("item_id"), "source_id", F.col("title").alias("item_title"), F.col("content_type").alias("item_content_type"), "indexed_at", "raw_path", F.col("duration_sec").alias("item_duration"))
+    found = merged.join(rows.select(F.col("id").alias("unit_id"), "item_id", "chunk_type", "start_sec", "end_sec", F.col("text").alias("content_text")), "unit_id").join(of_item, "item_id")
+    found = found.withColumns({"playback_chunk_id": F.col("unit_id"), "has_text": F.lit(True), "has_vector": F.lit(False), "similarity": F.lit(None).cast("double")})
+    shown = F.when(F.col("chunk_type") != "understanding", F.left(or_null("content_text"), F.lit(R.SNIPPET)))
+    return R.attach_nearest_frame(found, chunks).withColumn("snippet", F.coalesce(shown, R.placeholder()))
