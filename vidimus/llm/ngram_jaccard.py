@@ -27,6 +27,8 @@ SAMPLE, WIDESPREAD = 8_000, 100_000  # documents, shingles
 FEW, BLOCK = 32, 2_048
 #: Candidate pairs that are all decided in one go.
 AT_ONCE = 500_000
+#: Sets that a task remembers, so that their keys are made once.
+SEEN = 200_000
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
@@ -117,7 +119,7 @@ def _described(frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 for s in shingle_sets(texts[i:j]):
                     c = class_of(s)
                     new = len(s) > 0 and c not in seen
-                    if len(seen) > 1_000_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(c)
                     sizes.append(len(s))
@@ -159,15 +161,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "items"])
 
 
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """hamming() of many pairs, by size."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(min(len(x), len(y)), max(len(x), len(y))) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for low, high in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == (low, high)).all(axis=1))
+        for at in range(0, len(rows), max(1, 4_000_000 // int(high))):
+            some = rows[at : at + max(1, 4_000_000 // int(high))]
+            x = np.frombuffer(b"".join(min(a[k], b[k], key=len) for k in some), U).reshape(len(some), -1)
+            y = np.frombuffer(b"".join(max(b[k], a[k], key=len) for k in some), U).reshape(len(some), int(high // low), -1)
+            out[some] = np.bitwise_count(x ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1)
+    return out
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose sketches allow a similarity of 0.8."""
     for batch in batches:
-        a, b = batch.columns[:2]
-        na, nb, sa, sb = (c.to_pylist() for c in batch.columns[2:])
-        far = [hamming(*x) for x in zip(sa, sb, strict=True)]
-        keep = [d <= most_different(m, n) for d, m, n in zip(far, na, nb, strict=True)]
-        share = [d / (m + n) for d, m, n in zip(far, na, nb, strict=True)]
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(share, pa.float64())], names=["a", "b", "far"]).filter(pa.array(keep, pa.bool_()))
+        far = distances(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+        both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(far / both)], names=["a", "b", "far"]).filter(pa.array(far <= both // 9))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +214,55 @@ def ngram_jaccard(documents: DataFrame) -> DataFrame:
     return out.join(named, "class", "left").select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a range sorted by (key, class): each class with the first one of its key and the one before it.
+
+    Rows of the first and the last key have an edge row beside them, with the first class itself, as their key may go on in
+    another range; other keys with a single class are left out.
+    """
+    key = hub = last = None
+
+    def edge() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (key, hub, hub, hub)] + [pa.array([True])], names=names)
+
+    names, started = ["key", "class", "hub", "before", "edge"], False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, classes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not started:
+            key = hub = last = None
+        first = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
+        hubs = np.where(at >= 0, classes[np.maximum(at, 0)], 0 if hub is None else hub)
+        before = np.concatenate([[classes[0] if last is None else last], classes[:-1]])
+        keep = ~first & (classes != hubs) & (classes != before)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (keys, classes, hubs, before)), pa.array(np.zeros(keep.sum(), bool))], names=names)
+        if not started:
+            key, hub, started = int(keys[0]), int(classes[0]), True
+            yield edge()
+        key, hub, last = int(keys[-1]), int(hubs[-1]), int(classes[-1])
+    if started:
+        yield edge()
+
+
 def links(texts: DataFrame, described: DataFrame) -> DataFrame:
     """(a, b): links between classes of equal sets, enough of them that their components are those of all links.
 
-    First each class meets the least class and the one before it under every key, and its nearest two partners are decided.
+    First each class meets the first class of its range and the one before it under every key, and its nearest two partners are decided.
     Then all pairs under a key that are still in different components are candidates, decided nearest first.
     """
     own = described.where("keys is not null")
-    by_key = Window.partitionBy("key").orderBy("class")
-    groups = own.select(F.explode("keys").alias("key"), "class").select("key", "class", F.first("class").over(by_key).alias("hub"), F.lag("class").over(by_key).alias("before"))
-    groups = written(groups.where("class <> hub and class <> before"))
+    # Ranges, not groups: a key that many classes share reaches over several tasks.
+    ranges = own.select(F.explode("keys").alias("key"), "class").repartitionByRange("key", "class").sortWithinPartitions("key", "class")
+    groups = written(ranges.mapInArrow(_runs, "key long, class long, hub long, before long, edge boolean"))
+    # Keys at the ends of ranges may go on in the next one: the first classes of their parts meet too.
+    parts = groups.where("edge").select("key", "class").distinct()
+    parts = parts.withColumn("before", F.lag("class").over(Window.partitionBy("key").orderBy("class"))).where("before is not null").select(F.col("class").alias("b"), F.col("before").alias("a"))
     # A class has one row for every task that met it.
     facts = written(own.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    pairs = groups.select(F.col("class").alias("b"), F.explode(F.array_distinct(F.array("hub", "before"))).alias("a")).distinct()
+    pairs = groups.where("not edge").select(F.col("class").alias("b"), F.explode(F.array_distinct(F.array("hub", "before"))).alias("a")).union(parts).distinct()
     found = written(similar(nearest(written(near(pairs, facts)), 2), texts, described))
     members = groups.select("key", "class").union(groups.select("key", F.col("hub").alias("class"))).distinct()
     members = rooted(members, "class", components(found))
