@@ -69,10 +69,11 @@ def features(text: bytes, learned: dict[bytes, float]) -> list[float]:
     marks = int(((raw > 32) & (raw < 128)).sum()) - letters
     tokens = text.split()
     shouted = sum(len(t) > 2 and t.isupper() for t in tokens)
-    odd = [t for t in tokens if not t.isalpha() and any(c in t for c in (b"@", b"$", b"*", b"0", b"1", b"3", b"."))]
+    # Marks at a word's ends are punctuation; within a word they may hide it.
+    odd = [s for t in tokens if not t.isalpha() and not (s := t.strip(b".,!?;:")).isalpha() and any(c in s for c in _HIDING)]
     masked = 0
     for t in odd:
-        s = t.lower().strip(b".,!?;:")
+        s = t.lower()
         plain = s.decode("utf-8", "ignore").translate(_MASKS).replace(".", "").replace("-", "").encode()
         masked += plain != s and plain in INSULTS
     return [
@@ -81,6 +82,7 @@ def features(text: bytes, learned: dict[bytes, float]) -> list[float]:
     ]
 
 
+_HIDING = (b"@", b"$", b"*", b"0", b"1", b"3", b".")
 _LETTERS = [bytes([c]) for c in range(128) if chr(c).isalnum()]
 
 
