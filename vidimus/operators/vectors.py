@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.tables import stored
 from ..functions.text import similarity
 
 #: Bytes of query vectors that one pass broadcasts; a larger query table is searched in blocks.
@@ -72,11 +74,11 @@ def publish_generation(units: DataFrame, vectors: DataFrame, base: str, generati
     good, bad = validate_vectors(vectors, dimension)
     units.write.mode("overwrite").parquet(f"{path}/units")
     good.write.mode("overwrite").parquet(f"{path}/vectors")
-    stored, points = spark.read.parquet(f"{path}/units"), spark.read.parquet(f"{path}/vectors")
-    missing = stored.join(points.select(F.col("unit_id").alias("id")), "id", "left_anti").limit(1).count()
+    written, points = spark.read.parquet(f"{path}/units"), spark.read.parquet(f"{path}/vectors")
+    missing = written.join(points.select(F.col("unit_id").alias("id")), "id", "left_anti").limit(1).count()
     if missing or bad.limit(1).count():
         return False
-    counts = stored.agg(F.count("*").alias("units")).join(points.agg(F.count("*").alias("vectors")))
+    counts = written.agg(F.count("*").alias("units")).join(points.agg(F.count("*").alias("vectors")))
     counts.select(F.lit(generation).alias("generation"), F.lit(path).alias("path"), "units", "vectors").write.mode("append").parquet(f"{base}/pointer")
     return True
 
@@ -105,16 +107,55 @@ def embedding_profile_select(profiles: DataFrame, aliases: DataFrame | None = No
     return named.withColumn("status_rank", rank).withColumn("active", F.row_number().over(Window.partitionBy(F.col("output_dimension").isNull()).orderBy("status_rank", "id")) == 1)
 
 
-def _best(ids: np.ndarray, q: np.ndarray, x: np.ndarray, k: int, metric: str, query_ids: list) -> pd.DataFrame:
+def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix) of the vectors of that length without missing or non-finite components, in double precision."""
+    there = np.asarray(column.is_valid()) & (np.diff(column.offsets.to_numpy()) == dim)
+    rows = np.flatnonzero(there)
+    x = column.values.to_numpy(zero_copy_only=False)[column.offsets.to_numpy()[rows][:, None] + np.arange(dim)].astype(np.float64)
+    good = np.isfinite(x).all(axis=1)
+    return rows[good], x[good]
+
+
+def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """D7 for a block of queries and a batch of vectors."""
     if metric == "cosine":
         score = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
     elif metric == "dot":
         score = q @ x.T
     else:
         score = 1 / (1 + np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0)))
-    score = np.clip(np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0), 0, 1)
-    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-    return pd.DataFrame({"query_id": np.repeat(np.array(query_ids, object), order.shape[1]), "point_key": ids[order].ravel(), "similarity": np.take_along_axis(score, order, 1).ravel()})
+    return np.clip(np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0), 0, 1)
+
+
+class Best:
+    """The k best of every query so far; ties go to the smaller key."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.held = k, []
+
+    def add(self, queries: np.ndarray, keys: np.ndarray, score: np.ndarray) -> None:
+        """score: queries x keys."""
+        if score.shape[1] > self.k:
+            least = np.partition(score, -self.k, axis=1)[:, -self.k]
+            i, j = np.nonzero(score >= least[:, None])
+        else:
+            i, j = (x.ravel() for x in np.indices(score.shape))
+        self.held.append((queries[i], keys[j], score[i, j]))
+        if sum(len(h[0]) for h in self.held) > 1_000_000:
+            self.held = [self.rows()]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        queries, keys, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((keys, -score, queries))
+        queries = queries[order]
+        first = np.flatnonzero(np.concatenate([[True], queries[1:] != queries[:-1]]))
+        keep = np.arange(len(queries)) - np.repeat(first, np.diff(np.append(first, len(queries)))) < self.k
+        return queries[keep], keys[order][keep], score[order][keep]
+
+    def batch(self, ids: list, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            queries, keys, score = self.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in queries], types[0]), pa.array(keys, types[1]), pa.array(score)], names=["query_id", "point_key", "similarity"])
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BYTES) -> Iterator[tuple[list, np.ndarray]]:
@@ -132,72 +173,100 @@ def query_blocks(queries: DataFrame, size: int = QUERY_BYTES) -> Iterator[tuple[
         yield ids, np.stack(rows)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """D6, exact: (query_id, point_key, similarity, rank); ties go to the smaller key.
-
-    Queries are broadcast in bounded blocks; every task multiplies its batches of vectors with a block, keeps its own k best
-    of each query, and the global k come from those.
-    """
-    metric = METRICS[metric]
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    key_type = vectors.schema["point_key"].dataType.simpleString()
+def _searched(queries: DataFrame, vectors: DataFrame, k: int, scan: Callable[[pa.RecordBatch, object, Best], None], sent: Callable[[list, np.ndarray], object]) -> DataFrame:
+    """(query_id, point_key, similarity, rank): every task keeps its own k best of each query of a block, the global k come from those."""
+    query_type, key_type = queries.schema["query_id"].dataType, vectors.schema["point_key"].dataType
+    types = [to_arrow_type(query_type), to_arrow_type(key_type)]
+    schema = f"query_id {query_type.simpleString()}, point_key {key_type.simpleString()}, similarity double"
     found = None
-    for block in query_blocks(queries):
-        sent = queries.sparkSession.sparkContext.broadcast(block)
-
-        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            ids, q = sent.value
-            kept = None
-            for pdf in parts:
-                fits = [k_ for k_, v in enumerate(pdf["vector"]) if v is not None and len(v) == q.shape[1]]
-                for at in range(0, len(fits), 4096):
-                    rows = pdf.iloc[fits[at : at + 4096]]
-                    best = _best(rows["point_key"].to_numpy(), q, np.stack(rows["vector"].to_numpy()).astype(np.float64), k, metric, ids)
-                    kept = best if kept is None else pd.concat([kept, best])
-                    kept = kept.sort_values(["similarity", "point_key"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
-            if kept is not None:
-                yield kept
-
-        part = vectors.select("point_key", "vector").mapInPandas(run, f"query_id {query_type}, point_key {key_type}, similarity double")
+    for ids, q in query_blocks(queries):
+        block = queries.sparkSession.sparkContext.broadcast((ids, sent(ids, q)))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, asked = block.value
+            best = Best(k)
+            for batch in batches:
+                scan(batch, asked, best)
+            yield from best.batch(ids, types)
+
+        part = vectors.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = queries.sparkSession.createDataFrame([], f"query_id {query_type}, point_key {key_type}, similarity double")
+        found = queries.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "point_key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample: int = 50_000, seed: int = 1) -> DataFrame:
-    """(query_id, point_key, similarity, rank) by an inverted file: centroids are fitted on a bounded sample, every vector is
-    in the list of its nearest centroid, and a query meets the vectors of its nearest lists by an equi-join. Cosine.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """D6, exact and the default search: (query_id, point_key, similarity, rank); ties go to the smaller key.
 
-    By default a query probes half of the lists, which keeps a recall of 0.9 at 10 on vectors without clear clusters;
-    measure the recall (J1) and lower it where the data have clusters.
+    Queries are broadcast in bounded blocks and every task multiplies its batches of vectors with a block; no vector is
+    shuffled. Vectors of another length or with missing or non-finite components are no one's neighbours.
     """
+    metric = METRICS[metric]
+
+    def scan(batch: pa.RecordBatch, q: np.ndarray, best: Best) -> None:
+        rows, x = matrix_of(batch.column(1), q.shape[1])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)[rows]
+        for at in range(0, len(rows), 4096):
+            best.add(np.arange(len(q)), keys[at : at + 4096], scores(q, x[at : at + 4096], metric))
+
+    return _searched(queries, vectors.select("point_key", F.col("vector").cast("array<float>").alias("vector")), k, scan, lambda ids, q: q)
+
+
+def inverted_file(vectors: DataFrame, lists: int | None = None, sample: int = 50_000, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """D24's index: (point_key, vector, list), stored, with the centroids, which are fitted on a bounded sample of vectors of the commonest length."""
     total = vectors.count()
     lists = lists or max(1, int(total**0.5))
-    probes = probes or -(-lists // 2)
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    some = vectors.where(F.pmod(F.xxhash64("point_key"), F.lit(max(1, total // sample))) == 0).select(array_to_vector(unit(F.col("vector"))).alias("features"))
-    centres = np.array(KMeans(k=lists, seed=seed, maxIter=8).fit(some).clusterCenters())
-    sent = queries.sparkSession.sparkContext.broadcast(centres)
-
-    def placed(column: str, n: int) -> Callable:
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c = sent.value
-            for pdf in parts:
-                x = np.stack(pdf[column].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                far = (c**2).sum(1)[None, :] - 2 * x @ c.T
-                near = np.argpartition(far, min(n, far.shape[1]) - 1, axis=1)[:, :n]
-                yield pd.DataFrame({name: np.repeat(pdf[name].to_numpy(), near.shape[1]) for name in pdf.columns} | {"list": near.ravel()})
-
-        return run
-
-    listed = vectors.select("point_key", "vector").where("vector is not null").mapInPandas(placed("vector", 1), f"point_key {vectors.schema['point_key'].dataType.simpleString()}, vector array<float>, list int")
-    asked = queries.select("query_id", "query_vector").where("query_vector is not null").mapInPandas(placed("query_vector", probes), f"query_id {queries.schema['query_id'].dataType.simpleString()}, query_vector array<float>, list int")
-    met = listed.join(asked, "list").select("query_id", "point_key", similarity(F.col("query_vector"), F.col("vector")).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "point_key")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    common = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    dim = common.n if common else 0
+    usable = vectors.where((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))), F.lit(1e-300)))
+    some = usable.where(F.pmod(F.xxhash64("point_key"), F.lit(max(1, total // sample))) == 0).select(array_to_vector(unit(F.col("vector"))).alias("features"))
+    centres = np.array(KMeans(k=lists, seed=seed, maxIter=8).fit(some).clusterCenters()) if some.limit(1).count() else np.zeros((1, dim))
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            rows, x = matrix_of(batch.column(1), dim)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            nearest = ((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(col.take(pa.array(rows)) for col in batch.columns), pa.array(nearest)], names=["point_key", "vector", "list"])
+
+    rows = vectors.select("point_key", F.col("vector").cast("array<float>").alias("vector"))
+    placed = rows.mapInArrow(listed, f"point_key {vectors.schema['point_key'].dataType.simpleString()}, vector array<float>, list int")
+    return stored(placed.repartition("list").sortWithinPartitions("list")), centres
+
+
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, index: tuple[DataFrame, np.ndarray] | None = None) -> DataFrame:
+    """(query_id, point_key, similarity, rank) by an inverted file: a query meets the vectors of its nearest lists only. Cosine.
+
+    By default a query probes half of the lists, which keeps a recall of 0.9 at 10 on vectors without clear clusters;
+    measure the recall (J1) and lower it where the data have clusters. index: inverted_file(vectors), to be built once.
+    """
+    listed, centres = index or inverted_file(vectors, lists)
+    probes = min(probes or -(-len(centres) // 2), len(centres))
+
+    def probed(ids: list, q: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        if q.shape[1] != centres.shape[1]:
+            return q, {}
+        u = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        near = np.argpartition((centres**2).sum(1)[None, :] - 2 * u @ centres.T, probes - 1, axis=1)[:, :probes]
+        order = np.argsort(near.ravel(), kind="stable")
+        of, at = near.ravel()[order], np.repeat(np.arange(len(q)), probes)[order]
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        return q, dict(zip(of[starts].tolist(), np.split(at, starts[1:]), strict=True))
+
+    def scan(batch: pa.RecordBatch, asked: tuple[np.ndarray, dict[int, np.ndarray]], best: Best) -> None:
+        q, of_list = asked
+        rows, x = matrix_of(batch.column(1), q.shape[1])
+        keys, own = batch.column(0).to_numpy(zero_copy_only=False)[rows], batch.column(2).to_numpy()[rows]
+        for name in np.unique(own):
+            if (at := of_list.get(int(name))) is not None:
+                best.add(at, keys[own == name], scores(q[at], x[own == name], "cosine"))
+
+    return _searched(queries, listed, k, scan, probed)
 
 
 def score_lexical_only(lexical: DataFrame, vector_hits: DataFrame, queries: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
