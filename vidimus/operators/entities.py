@@ -2,55 +2,35 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, slug
+from ..functions.text import ascii_lower, collapsed, slug
 
 # Phrases that are entities wherever they stand, words that break a run, and labels that are none.
 PHRASES = ["test-time compute", "retrieval quality", "media memory", "semantic retrieval", "video understanding", "prompt engineering", "agent", "agents"]
 BREAKS = {"I", "The", "This", "That", "And", "But"}
 NO_ENTITY = {"the", "and", "this", "that", "with", "from", "your", "you"}
-PER_TEXT, PER_CHUNK, LONGEST_RUN = 12, 4, 4
-
-
-def candidates(text: str | None) -> list[str]:
-    """G2 for one text: fixed phrases, then runs of two to four capitalised words; each label once, twelve at most."""
-    if not text:
-        return []
-    lowered = "".join(c.lower() if c.isascii() else c for c in text)
-    found = [p for p in PHRASES if p in lowered]
-    run: list[str] = []
-    # an empty word ends the last run
-    for word in [*(w for w in re.split(r"[^\w'-]|_", text) if len(w.encode()) > 1), ""]:
-        starts = "A" <= word[:1] <= "Z" and word not in BREAKS
-        if starts:
-            run.append(word)
-        if run and (not starts or len(run) == LONGEST_RUN):
-            if len(run) > 1:
-                found.append(" ".join(run))
-            run = []
-    labels: dict[str, str] = {}
-    for label in found:
-        cleaned = " ".join(re.sub(r"^[^\w -]+|[^\w -]+$", "", label.strip()).split())
-        if 3 <= len(cleaned.encode()) <= 80 and cleaned.lower() not in NO_ENTITY:
-            labels.setdefault(cleaned.lower(), cleaned)
-    return list(labels.values())[:PER_TEXT]
-
-
-def candidate_entities(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, item_id, ord, label); narrow."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(c, i, k, label) for c, i, t in zip(pdf["chunk_id"], pdf["item_id"], pdf["text"], strict=True) for k, label in enumerate(candidates(t))]
-            yield pd.DataFrame(rows, columns=["chunk_id", "item_id", "ord", "label"])
-
-    return chunks.select(F.col("id").alias("chunk_id"), "item_id", "text").mapInPandas(run, "chunk_id string, item_id string, ord int, label string")
+LONGEST_RUN = 4
+
+
+def candidate_labels(text: str = "text", most: int | None = None) -> Column:
+    """An array of labels in order: fixed phrases, then runs of two to four capitalised words; with most each label once and at most so many."""
+    lowered = ascii_lower(F.coalesce(text, F.lit("")))
+    phrases = F.filter(F.array(*map(F.lit, PHRASES)), lambda p: lowered.contains(p))
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}'-]"), lambda w: F.octet_length(w) > 1)
+    # Other words become line ends, so that a run is what stands between two of them.
+    runs = F.regexp_extract_all(F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[A-Z]") & ~w.isin(*BREAKS), w).otherwise("\n")), " "), F.lit(rf"[^ \n]+(?: [^ \n]+){{1,{LONGEST_RUN - 1}}}"), F.lit(0))
+    labels = F.filter(F.transform(F.concat(phrases, runs), lambda c: normalised_label(c)), lambda c: c.isNotNull())
+    if most is None:
+        return labels
+    low = F.transform(labels, F.lower)
+    return F.slice(F.filter(labels, lambda c, i: F.array_position(low, F.lower(c)) == i + 1), 1, most)
+
+
+def candidate_entities(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """(chunk_id, item_id, ord, label); narrow, built-in functions only."""
+    return chunks.select(F.col("id").alias("chunk_id"), "item_id", F.posexplode(candidate_labels("text", most)).alias("ord", "label"))
 
 
 def normalised_label(c: Column) -> Column:
@@ -63,10 +43,11 @@ def entity_kind(c: Column) -> Column:
     return F.when(F.trim(c).rlike("^[A-Z]"), "person_or_entity").otherwise("topic")
 
 
-def entity_mentions(items: DataFrame, understandings: DataFrame, chunks: DataFrame, chunk_cap: int | None = None) -> DataFrame:
+def entity_mentions(items: DataFrame, understandings: DataFrame, chunks: DataFrame, chunk_cap: int | None = None, per_chunk: int | None = None) -> DataFrame:
     """G1: (entity, label, kind, item_id, chunk_id, ordinal): topics and entities of understandings, then candidates of text chunks.
 
-    Newest items first; the ordinal is a sortable value, not a global row number. chunk_cap bounds the chunks read, default none.
+    Newest items first; the ordinal is a sortable value, not a global row number. chunk_cap bounds the chunks
+    read and per_chunk the different labels taken of each; by default all are.
     """
     newest = items.select(F.col("id").alias("item_id"), (-F.coalesce("indexed_at", F.lit(0))).alias("age"))
     told = understandings.select("item_id", F.from_json("result", "topics array<string>, events array<struct<entities array<string>>>").alias("r"))
@@ -76,7 +57,7 @@ def entity_mentions(items: DataFrame, understandings: DataFrame, chunks: DataFra
     text = chunks.where(F.col("text").isNotNull())
     if chunk_cap is not None:
         text = text.join(newest, "item_id").orderBy("age", "id").limit(chunk_cap).drop("age")
-    said = candidate_entities(text).where(F.col("ord") < PER_CHUNK).select("item_id", "chunk_id", F.lit(1).alias("arm"), "ord", "label")
+    said = candidate_entities(text, per_chunk).select("item_id", "chunk_id", F.lit(1).alias("arm"), "ord", "label")
     rows = told.unionByName(said).withColumn("label", normalised_label(F.col("label"))).where("label is not null").join(newest, "item_id")
     ordinal = F.struct("arm", "age", "item_id", "chunk_id", "ord")
     return rows.select(slug("label").alias("entity"), "label", entity_kind(F.col("label")).alias("kind"), "item_id", "chunk_id", ordinal.alias("ordinal")).where("entity <> ''")

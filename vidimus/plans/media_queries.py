@@ -442,6 +442,34 @@ def hydrated_hits(spark, sf_dir):
     return R.hydrate(hits, units, items, L.searchable_units(units, items)).select("query_id", "item_id", "chunk_type", "playback_chunk_id", "source_id", "item_title")
 
 
+WHOLE_SQL = TOKENS_SQL.replace("array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 3), ' ')", "array_to_string(regexp_split_to_array(text, '[ \\n]+'), ' ')")
+
+
+@query(WHOLE_SQL + r"""
+n AS (SELECT query_id, translate(regexp_replace(q, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS needle FROM q)
+SELECT n.query_id, unit_id FROM n JOIN d ON contains(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), needle) WHERE needle <> ''
+QUALIFY row_number() OVER (PARTITION BY n.query_id ORDER BY unit_id) <= 40""")
+def literal_hits_of_texts(spark, sf_dir):
+    """Documents that hold the whole text of a benchmark item."""
+    return L.literal_search(A.text_queries(spark, sf_dir, None), _index(spark, sf_dir)).select("query_id", "unit_id")
+
+
+@query(WHOLE_SQL + r"""
+qw AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(q, '[^\p{L}\p{N} ]', '', 'g')), '[\p{L}\p{N}]+'))) AS term FROM q),
+qt AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS np FROM qw),
+m AS (SELECT query_id, np, p.term, unit_id, dl, count(*) AS tf FROM p JOIN qt ON p.term = qt.term GROUP BY ALL),
+df AS (SELECT query_id, term, count(*) AS df FROM m GROUP BY ALL),
+sc AS (SELECT m.query_id, unit_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) AS score, count(*) AS met, any_value(np) AS np
+       FROM m JOIN df ON m.query_id = df.query_id AND m.term = df.term, st GROUP BY ALL)
+SELECT query_id, unit_id, round(score, 5) AS score FROM sc WHERE met = np QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) <= 10""")
+def bm25_hits_of_texts(spark, sf_dir):
+    """The best ten documents that hold all words of a benchmark item, by a stored index."""
+    queries = A.text_queries(spark, sf_dir, None).withColumn("q", F.regexp_replace("q", r"[^\p{L}\p{N} ]", ""))
+    units = _index(spark, sf_dir)
+    found = L.bm25_search(queries, units, index=L.stored_index(units))
+    return found.where("rank <= 10").select("query_id", "unit_id", F.round("score", 5).alias("score"))
+
+
 def _windows_asked(spark, sf_dir):
     """The windows of every conversation as hits of a query for its first word."""
     rows = C.effective_times(A.media_chunks(spark, sf_dir))

@@ -195,11 +195,13 @@ def timed_units(spark, sf_dir):
 
 
 @query(r"""
-SELECT 'doc-' || doc_id || ':unit:000000' AS id, 'document' AS unit_kind, md5(trim(regexp_replace(left(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 3200), '[\s\p{Z}]+', ' ', 'g'))) AS digest
-FROM documents WHERE regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') <> ''""")
+SELECT 'doc-' || doc_id AS item_id, 'document' AS unit_kind, md5(regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS digest FROM documents WHERE regexp_replace(text, '[\s\p{Z}]+', '', 'g') <> ''""")
 def document_units(spark, sf_dir):
+    """The units of every document hold its whole text, in order, whatever its length; compared without white space."""
     items = A.document_items(spark, sf_dir).select("id", F.col("title").alias("item_title"), F.col("source_id").alias("source_label"))
-    return C.build_document_units(items, A.document_chunks(spark, sf_dir)).select("id", "unit_kind", F.md5("transcript_text").alias("digest"))
+    units = C.build_document_units(items, A.document_pieces(spark, sf_dir))
+    whole = units.groupBy("item_id", "unit_kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_index", "transcript_text"))), lambda s: s["transcript_text"]), "").alias("text"))
+    return whole.select("item_id", "unit_kind", F.md5(F.regexp_replace("text", r"[\s\p{Z}]+", "")).alias("digest"))
 
 
 @query()

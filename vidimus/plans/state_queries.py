@@ -374,6 +374,26 @@ def topic_summary(spark, sf_dir):
     return G.entity_summary(first, None).join(mixed, "entity", "left_anti").select("entity", "kind", "mentions", "items")
 
 
+PHRASES_SQL = ", ".join(f"'{p}'" for p in G.PHRASES)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, text || ' Deep Test Bench. The Media Memory ' || source AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}''-]'), lambda w: strlen(w) > 1) AS ws FROM d),
+r AS (SELECT doc_id, list_concat(list_filter([{PHRASES_SQL}], lambda p: contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p)),
+             regexp_extract_all(array_to_string(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '^[A-Z]') AND w NOT IN ('I', 'The', 'This', 'That', 'And', 'But') THEN w ELSE chr(10) END), ' '), '[^ \n]+(?: [^ \n]+){{1,3}}')) AS labels FROM w),
+l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(unnest(labels), '^[^\p{{L}}\p{{N}} -]+|[^\p{{L}}\p{{N}} -]+$', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS label FROM r),
+e AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(lower(label), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS entity FROM l WHERE strlen(label) BETWEEN 3 AND 80 AND lower(label) NOT IN ('the', 'and', 'this', 'that', 'with', 'from', 'your', 'you'))
+SELECT entity, count(*) AS mentions, count(*) AS items FROM e WHERE entity <> '' GROUP BY entity""")
+def document_entities(spark, sf_dir):
+    """All entities that whole documents name (with a line of known ones added to each)."""
+    none = spark.createDataFrame([], "item_id string, result string")
+    chunks = A.document_chunks(spark, sf_dir).join(A.document_items(spark, sf_dir).select(F.col("id").alias("item_id"), "source_id"), "item_id")
+    chunks = chunks.withColumn("text", F.concat("text", F.lit(" Deep Test Bench. The Media Memory "), "source_id"))
+    mentions = G.dedupe_mentions(G.entity_mentions(A.document_items(spark, sf_dir), none, chunks))
+    return G.entity_summary(mentions, None).select("entity", "mentions", "items")
+
+
 @query(LABELS_SQL + """,
 i AS (SELECT conv_id, 12.0 * count(*) AS d, max(turn) * 7.5 AS p FROM conversations GROUP BY conv_id),
 k AS (SELECT * FROM i WHERE 1700000000 + conv_id <= 1700000050 AND 1700000000 + conv_id >= 1700000050 - 7 * 86400)
