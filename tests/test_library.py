@@ -268,7 +268,10 @@ def test_vectors_and_generations(spark, tmp_path):
 
 
 def test_entities(spark):
-    assert G.candidates("We met Ada Lovelace and The Analytical Engine Works Group Today. An agent") == ["agent", "Ada Lovelace", "Analytical Engine Works Group", "Today An"]
+    said = spark.createDataFrame([("We met Ada Lovelace and The Analytical Engine Works Group Today. An agent and ADA LOVELACE",), (None,), ("",)], "text string")
+    every = ["agent", "Ada Lovelace", "Analytical Engine Works Group", "Today An", "ADA LOVELACE"]
+    assert [r.c for r in said.select(G.candidate_labels().alias("c")).collect()] == [every, [], []]
+    assert [r.c for r in said.select(G.candidate_labels(most=12).alias("c")).collect()] == [every[:4], [], []] and said.select(G.candidate_labels(most=2).alias("c")).first().c == every[:2]
     items = spark.createDataFrame([("i", 5, 100.0)], "id string, indexed_at long, duration_sec double")
     told = spark.createDataFrame([("i", json.dumps({"topics": ["Graph search", "ab"], "events": [{"entities": ["Ada Lovelace"]}]}))], "item_id string, result string")
     rows = spark.createDataFrame([chunk("i", "c", "transcript", 0.0, 1.0, "Then Ada Lovelace spoke")], S.CHUNKS)

@@ -263,16 +263,17 @@ def storage_usage(listing: DataFrame, categories: dict[str, str], total: int | N
 def retention_plan(listing: DataFrame, budget: int, exempt: DataFrame | None = None) -> DataFrame:
     """Files to remove, oldest first, while the rest is over the budget; paths in exempt (path) stay.
 
-    Bytes are summed by day first; days are few, so their running sum is over a small frame, and the exact order is only
-    taken within a day.
+    Bytes are summed by day, and days by thousands: running sums are over the few thousands, the days of one and the files of
+    one day, and no frame holds all rows.
     """
     rows = listing if exempt is None else listing.join(exempt.select("path"), "path", "left_anti")
     rows = rows.withColumn("day", F.floor(F.col("modified") / DAY))
-    days = rows.groupBy("day").agg(F.sum("length").alias("bytes")).withColumn("one_", F.lit(1))
-    older = F.coalesce(F.sum("bytes").over(Window.partitionBy("one_").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.withColumn("older", older).withColumn("total", F.sum("bytes").over(Window.partitionBy("one_")))
-    within = F.coalesce(F.sum("length").over(Window.partitionBy("day").orderBy("modified", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("within", within).join(days.select("day", "older", "total"), "day")
+    days = rows.groupBy("day").agg(F.sum("length").alias("bytes")).withColumn("era", F.floor(F.col("day") / 1000)).withColumn("one_", F.lit(1))
+    eras = days.groupBy("era", "one_").agg(F.sum("bytes").alias("bytes"))
+    earlier = lambda c, keys, order: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    eras = eras.select("era", earlier("bytes", ["one_"], ["era"]).alias("before"), F.sum("bytes").over(Window.partitionBy("one_")).alias("total"))
+    days = days.join(eras, "era").select("day", "total", (F.col("before") + earlier("bytes", ["era"], ["day"])).alias("older"))
+    placed = rows.withColumn("within", earlier("length", ["day"], ["modified", "path"])).join(days, "day")
     return placed.where(F.col("total") - F.col("older") - F.col("within") > budget).select(*listing.columns)
 
 
