@@ -35,7 +35,7 @@ def test_recall_of_the_passes(spark):
 def test_tiles_meet_every_pair(spark, monkeypatch):
     monkeypatch.setattr(E, "PASSES", 1)
     monkeypatch.setattr(E.checked, "__defaults__", (E.COSINE, 8 * 64 * 50))
-    monkeypatch.setattr(E.window_pairs, "__defaults__", (E.COSINE, 1, 1))
+    monkeypatch.setattr(E.window_pairs, "__defaults__", (E.COSINE, 1, 1, False))
     x = planted(np.random.default_rng(7), 600, 90, 0.9)
     frame = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(np.repeat(x, 2, axis=0))], "vec_id long, label int, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_dedup(frame).collect()}

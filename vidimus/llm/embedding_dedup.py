@@ -68,33 +68,46 @@ def _signs(passes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _neighbours(cosine: float, window: int) -> Callable[[pa.Table], pa.Table]:
+def _neighbours(cosine: float, window: int, spanning: bool) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        """Pairs within the cosine and the window of one stretch of an order; the later one is of the stretch itself, not carried over."""
+        """Pairs within the cosine and the window of one stretch of an order; the later one is of the stretch itself, not carried over.
+
+        With spanning only pairs that join what the stretch hasn't connected yet: fewer than it has vectors.
+        """
         t = t.take(pa.array(np.argsort(t["position"].to_numpy())))
         x, names, own = _vectors(t["vector"]), t["class"].to_numpy(), t["own"].to_numpy(zero_copy_only=False)
-        pairs = [np.empty((0, 2), np.int64)]
+        pairs, group = [np.empty((0, 2), np.int64)], np.arange(len(x))
         for at in range(0, len(x), 256):
             stop = min(len(x), at + 256)
             last = min(len(x), stop + window)
             later = np.arange(at, last)[None, :] - np.arange(at, stop)[:, None]
             i, j = np.nonzero((x[at:stop] @ x[at:last].T >= cosine) & (later > 0) & (later <= window) & own[at:last][None, :])
-            pairs.append(np.sort(np.stack([names[at + i], names[at + j]], 1), axis=1))
+            i, j = at + i, at + j
+            if spanning:
+                joins = []
+                for k in range(len(i)):
+                    a, b = group[i[k]], group[j[k]]
+                    if a != b:
+                        group[group == max(a, b)] = min(a, b)
+                        joins.append(k)
+                i, j = i[joins], j[joins]
+            pairs.append(np.sort(np.stack([names[i], names[j]], 1), axis=1))
         out = np.concatenate(pairs)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
     return run
 
 
-def window_pairs(classes: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """(a, b): distinct pairs of classes that some pass brings within its window and whose cosine suffices. classes: label, size, class, vector."""
+def window_pairs(classes: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, spanning: bool = False) -> DataFrame:
+    """(a, b): distinct pairs of classes that some pass brings within its window and whose cosine suffices; with spanning only as
+    many as connect what each stretch of an order connects. classes: label, size, class, vector."""
     keys = texts_in_batches(classes.select("label", "size", "class", "vector")).mapInArrow(_signs(passes), "label long, size int, class long, keys array<long>")
     orders = positions(keys.select("label", "size", "class", F.posexplode("keys").alias("pass", "key")), ["pass", "label", "size"], ["key", "class"])
     # The last places of a stretch are carried over to the next one.
     block, carried = F.floor(F.col("position") / SPAN), F.col("position") % SPAN >= SPAN - window
     spread = orders.withColumn("block", F.explode(F.when(carried, F.array(block, block + 1)).otherwise(F.array(block)))).withColumn("own", F.col("block") == block)
     met = spread.join(classes.select("class", "vector"), "class").groupBy("pass", "label", "size", "block")
-    return met.applyInArrow(_neighbours(cosine, window), "a long, b long").distinct()
+    return met.applyInArrow(_neighbours(cosine, window, spanning), "a long, b long").distinct()
 
 
 def _met(cosine: float) -> Callable[[pa.Table], pa.Table]:
@@ -154,7 +167,7 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, exact: bool =
         signed = keep(written(usable.mapInArrow(_classed, "vec_id long, label long, class long, vector binary")))
         classes = signed.groupBy("label", "class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
         classes = written(classes.withColumn("size", F.length("vector")))
-        pairs = written(window_pairs(classes, cosine))
+        pairs = written(window_pairs(classes, cosine, spanning=exact))
         roots = components(pairs)
         if exact:
             met = written(checked(classes, roots, cosine))
