@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -24,22 +25,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where it is unset, a local folder does on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_open: list[list[str]] = [[]]
+#: By thread, the tables written by each operator at work, the outermost first.
+_open: ContextVar[list[list[str]] | None] = ContextVar("open", default=None)
+
+
+def _tables() -> list[list[str]]:
+    if (held := _open.get()) is None:
+        _open.set(held := [[]])
+    return held
 
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written once and read back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    _open[-1].append(path)
+    _tables()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -60,18 +70,18 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df.scratch_path)
         return df
 
-    _open.append([])
+    _tables().append([])
     try:
         yield keep
     finally:
-        own = _open.pop()
+        own = _tables().pop()
         remove(spark, [x for x in own if x not in kept])
-        _open[-1].extend(x for x in own if x in kept)
+        _tables()[-1].extend(x for x in own if x in kept)
 
 
 def left_behind() -> list[str]:
-    """Paths of the tables that finished operators kept for their results; forgets them."""
-    paths, _open[0] = _open[0], []
+    """Paths of the tables that finished operators of this thread kept for their results; forgets them."""
+    paths, _tables()[0] = _tables()[0], []
     return paths
 
 
