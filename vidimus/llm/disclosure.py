@@ -120,7 +120,9 @@ def find(documents: DataFrame, least: int = LEAST_DOCUMENTS, threshold: float =
         words = holders.select("digest_", "kinds", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
         with_terms = written(words.join(terms, "term").where(F.array_contains("kinds", F.col("of"))).select(F.col("digest_").alias("d_"), "term").distinct())
         marked = holders.join(small(with_terms.select("d_").distinct()), F.col("digest_") == F.col("d_"), "left_semi")
-        tokens = marked.select("digest_", "base", F.explode(matches("text", TERM)).alias("m")).select("digest_", "base", "m", F.lower("m.found").alias("t_"))
+        # Few rows with much work each: dealt evenly, whatever files they lie in.
+        parts = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tokens = marked.repartition(parts, "digest_").select("digest_", "base", F.explode(matches("text", TERM)).alias("m")).select("digest_", "base", "m", F.lower("m.found").alias("t_"))
         hits = tokens.join(small(with_terms), (F.col("digest_") == F.col("d_")) & (F.col("t_") == F.col("term")))
         hits = hits.where(~F.exists("base", lambda s: (s["start"] < F.col("m.end")) & (F.col("m.start") < s["end"])))
         hits = hits.select("digest_", F.struct(F.col("m.start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("m.end").alias("end"), F.lit("term").alias("kind")).alias("span"))
