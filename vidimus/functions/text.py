@@ -143,16 +143,24 @@ def query_terms(q: Column | str) -> Column:
     return F.filter(F.split(text, r"[\s\p{Z}]+"), lambda t: t != "")
 
 
-def text_score(text: Column, q: Column | str) -> Column:
-    """How well a text answers a query: weights of its terms, 4 with a digit, 3 with punctuation, else 1; one more than all for the whole phrase."""
+def parsed_query(q: Column | str) -> Column:
+    """struct(terms, phrase, total): a query's terms with their weights, 4 with a digit, 3 with punctuation, else 1, and their sum; its whole phrase."""
     weight = lambda t: F.when(t.rlike("[0-9]"), 4).when(t.rlike(r"[^\p{L}\p{N}]"), 3).otherwise(1)
-    terms = query_terms(q)
-    low = F.lower(text)
+    terms = F.transform(query_terms(q), lambda t: F.struct(t.alias("t"), weight(t).alias("w")))
     phrase = F.lower(F.regexp_replace(stripped(q), '^"+|"+$', ""))
-    total = F.aggregate(terms, F.lit(0), lambda a, t: a + weight(t))
-    by_term = F.aggregate(terms, F.lit(0), lambda a, t: a + F.when(low.contains(t), weight(t)).otherwise(0))
-    exact = F.when((phrase != "") & low.contains(phrase), F.greatest(total, F.lit(1)) + 1).otherwise(0)
-    return F.coalesce(F.greatest(exact, by_term), F.lit(0))
+    return F.struct(terms.alias("terms"), phrase.alias("phrase"), F.aggregate(terms, F.lit(0), lambda a, t: a + t["w"]).alias("total"))
+
+
+def scored_by(text: Column, parsed: Column) -> Column:
+    """How well a text answers a parsed query: the weights of its terms; one more than all for the whole phrase."""
+    low = F.lower(text)
+    by_term = F.aggregate(parsed["terms"], F.lit(0), lambda a, t: a + F.when(low.contains(t["t"]), t["w"]).otherwise(0))
+    exact = F.when((parsed["phrase"] != "") & low.contains(parsed["phrase"]), F.greatest(parsed["total"], F.lit(1)) + 1)
+    return F.coalesce(exact, by_term, F.lit(0))
+
+
+def text_score(text: Column, q: Column | str) -> Column:
+    return scored_by(text, parsed_query(q))
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:

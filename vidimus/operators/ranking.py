@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp, clock, inferred_preference, limited, or_null, query_terms, text_score
+from ..functions.text import clamp, clock, inferred_preference, limited, or_null, parsed_query, scored_by
 from .lexical import hinted, pool, top
 from .units import effective_times, interval_overlap_join, nearest_frame_asof, overlaps
 
@@ -52,29 +52,30 @@ FIELDS = {"transcript": 0, "ocr": 3, "visual": 2, "summary": 1}
 FALLBACKS = {"audio": ("transcript", "summary", "visual", "ocr"), "image": ("visual", "ocr", "summary", "transcript"), "video": ("visual", "ocr", "summary", "transcript"), "document": ("summary", "transcript", "visual", "ocr")}
 
 
-def best_field(q: str = "q", preference: str = "preference") -> Column:
-    """struct(text, field) of the field that answers the query best, else the content, else a field by preference; cut at 320 characters."""
-    many = F.size(query_terms(q)) > 1
-    texts = {f: or_null(f"{f}_text") for f in FIELDS}
-    scored = F.array(*[F.struct(text_score(texts[f], q).alias("score"), F.when(many, p).otherwise(-k).alias("priority"), texts[f].alias("text"), F.lit(f).alias("field")) for k, (f, p) in enumerate(FIELDS.items())])
-    best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))
-    found = lambda text, field: F.struct(limited(text, SNIPPET).alias("text"), field.alias("field"))
-
-    def first(order: tuple[str, ...]) -> Column:
-        return F.coalesce(*[F.when(texts[f].isNotNull(), found(texts[f], F.lit(f))) for f in order])
+def with_best_field(hits: DataFrame, q: str = "q", preference: str = "preference") -> DataFrame:
+    """best_, struct(text, field): the field that answers the query best, else the content, else a field by preference; cut at 320 characters.
 
+    Steps are columns of their own, so that no text is scored twice.
+    """
+    parsed, texts = F.col("parsed_"), {f: F.col(f"{f}_") for f in (*FIELDS, "content")}
+    many = F.size(parsed["terms"]) > 1
+    rows = hits.withColumns({f"{f}_": or_null(f"{f}_text") for f in texts}).withColumn("parsed_", parsed_query(q))
+    scored = F.array(*[F.struct(F.when(texts[f].isNotNull(), scored_by(texts[f], parsed)).otherwise(0).alias("score"), F.when(many, p).otherwise(-k).alias("priority"), texts[f].alias("text"), F.lit(f).alias("field")) for k, (f, p) in enumerate(FIELDS.items())])
+    rows = rows.withColumn("scored_", F.array_max(scored)).withColumn("content_score_", F.when((F.col("scored_.score") == 0) & texts["content"].isNotNull(), scored_by(texts["content"], parsed)).otherwise(0))
+    found = lambda f: F.struct(limited(texts[f], SNIPPET).alias("text"), F.lit(f).alias("field"))
+    first = lambda order: F.coalesce(*[F.when(texts[f].isNotNull(), found(f)) for f in order])
     by_kind = first(tuple(FIELDS))
     for kind, order in FALLBACKS.items():
         by_kind = F.when(F.col(preference) == kind, first(order)).otherwise(by_kind)
-    content = or_null("content_text")
-    return F.coalesce(F.when(best.isNotNull(), found(best["text"], best["field"])), F.when(text_score(content, q) > 0, found(content, F.lit("content"))), by_kind, found(content, F.lit(None).cast("string")))
+    answers = F.when(F.col("scored_.score") > 0, F.struct(limited("scored_.text", SNIPPET).alias("text"), F.col("scored_.field").alias("field"))).when(F.col("content_score_") > 0, found("content"))
+    bare = F.struct(limited(texts["content"], SNIPPET).alias("text"), F.lit(None).cast("string").alias("field"))
+    return rows.withColumn("best_", F.coalesce(answers, by_kind, bare)).drop("parsed_", "scored_", "content_score_", *(f"{f}_" for f in texts))
 
 
-def best_snippet(q: str = "q", preference: str = "preference") -> Column:
-    """D13's text; of a video's generated fields only that something is there."""
-    best = best_field(q, preference)
-    hidden = (F.col("item_content_type") == "video") & best["field"].isin("visual", "summary")
-    return F.coalesce(F.when(~F.coalesce(hidden, F.lit(False)), best["text"]), placeholder())
+def snippet_of_best() -> Column:
+    """The text of best_; of a video's generated fields only that something is there."""
+    hidden = (F.col("item_content_type") == "video") & F.col("best_.field").isin("visual", "summary")
+    return F.coalesce(F.when(~F.coalesce(hidden, F.lit(False)), F.col("best_.text")), placeholder())
 
 
 def placeholder() -> Column:
@@ -90,9 +91,9 @@ def best_row(hits: DataFrame, rows: DataFrame, rank: Column, fallback: Column, n
 
     hits: query_id, unit_id, q, item_id, start_sec, end_sec.
     """
-    windows = hits.select("item_id", "query_id", "unit_id", "q", F.col("start_sec").alias("window_start"), F.col("end_sec").alias("window_end"))
+    windows = hits.select("item_id", "query_id", "unit_id", parsed_query("q").alias("parsed_"), F.col("start_sec").alias("window_start"), F.col("end_sec").alias("window_end"))
     met = interval_overlap_join(rows.withColumn("rank_", rank).withColumn("fallback_", fallback), windows, meets=meets)
-    met = met.withColumn("score_", F.coalesce(text_score(F.col("text"), "q"), F.lit(0)))
+    met = met.withColumn("score_", scored_by(F.col("text"), F.col("parsed_")))
     order = Window.partitionBy("query_id", "unit_id").orderBy(F.desc("score_"), F.when(F.col("score_") > 0, F.col("rank_")).otherwise(F.col("fallback_")))
     best = met.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("query_id", "unit_id", F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_row_text"), F.col("eff_start").alias(f"{name}_start"))
     return hits.join(best, ["query_id", "unit_id"], "left")
@@ -133,7 +134,7 @@ def with_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     A hit whose on-screen or visual text answers plays from its best visual row, one whose transcript answers from its best
     spoken line, others from the unit's representative.
     """
-    found = hits.withColumn("field_", best_field()["field"])
+    found = with_best_field(hits).withColumn("field_", F.col("best_.field"))
     keys, asked = ["query_id", "unit_id"], ("query_id", "unit_id", "q", "item_id", "start_sec", "end_sec")
     seen = best_visual_row(found.where(F.col("field_").isin("ocr", "visual")).select(*asked), chunks).select(*keys, F.col("visual_id").alias("row_id"), F.col("visual_start").alias("row_start"))
     said = best_spoken_line(found.where("field_ = 'transcript'").select(*asked), chunks).select(*keys, F.col("spoken_id").alias("row_id"), F.col("spoken_start").alias("row_start"))
@@ -141,7 +142,7 @@ def with_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     kinds = chunks.select(F.col("id").alias("playback_chunk_id"), F.col("chunk_type").alias("played_"))
     found = found.join(kinds, "playback_chunk_id", "left").withColumn("chunk_type", F.coalesce("played_", "unit_kind"))
     found = attach_nearest_frame(found.drop("row_id", "row_start", "played_", "field_"), chunks)
-    return found.withColumn("snippet", best_snippet())
+    return found.withColumn("snippet", snippet_of_best()).drop("best_")
 
 
 def with_match_scores(hits: DataFrame) -> DataFrame:

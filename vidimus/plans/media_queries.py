@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import stored_as
+from ..functions.tables import shared_path, stored, stored_as
 from ..operators import chunks as B
 from ..operators import evidence as E
 from ..operators import lexical as L
+from ..operators import quality as J
 from ..operators import ranking as R
 from ..operators import units as C
 from ..operators import vectors as V
 from ..sources import discovery as D
 from ..sources.feeds import feed_summary, parse_feeds
+from ..sources.files import scan_files
 from ..sources.urls import classify_source_urls, select_source_url
 from . import adapters as A
 from .queries import FRAMES_SQL, NOW, TOKENS_SQL, _index, _units, query
+from .search import hybrid_search, legacy_chunk_search
 from .state_queries import _number, _pick, _sql_pick
 
 
@@ -595,3 +598,126 @@ SELECT query_id, '{"tracks":[' || string_agg(json, ',' ORDER BY track DESC) || '
 def timelines(spark, sf_dir):
     """Every user's shots as a timeline of two tracks."""
     return E.timeline_export(E.shot_list(_hits(spark, sf_dir)))
+
+
+# Files, lexical candidates, scores and generations
+
+@query("SELECT source AS folder, count(DISTINCT source) AS files FROM documents GROUP BY source")
+def scanned_files(spark, sf_dir):
+    """Documents written as a folder of text files for each source, and found again; an ignored folder and another kind of file are passed by."""
+    base = shared_path(spark)
+    rows = A.table(spark, sf_dir, "documents").select(F.regexp_replace("text", r"\s+", " ").alias("text"), "source").repartition("source")
+    rows.write.partitionBy("source").text(f"{base}/library")
+    rows.limit(1).select("text").write.text(f"{base}/library/node_modules")
+    rows.limit(1).write.json(f"{base}/library/other")
+    found = scan_files(spark, [f"{base}/library"], "document")
+    return found.groupBy(F.regexp_extract("raw_path", r"source=([^/]+)/", 1).alias("folder")).agg(F.count("*").alias("files"))
+
+
+def _lexical_sql(where: str, kind: str) -> str:
+    """D4 over the documents that satisfy a condition, for the queries of three words."""
+    return rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM documents WHERE {where}),
+p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS al FROM d),
+q AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '[ \n]+'), 1, 3), ' ') AS q FROM benchmark),
+qw AS (SELECT query_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(q, '\s+'), lambda w: array_to_string(regexp_extract_all(lower(w), '[\p{{L}}\p{{N}}]+'), ' ')), lambda t: t <> ''))) AS term FROM q),
+qt AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS np FROM qw),
+m AS (SELECT query_id, np, p.term, doc_id, dl, count(*) AS tf FROM p JOIN qt ON p.term = qt.term GROUP BY ALL),
+df AS (SELECT query_id, term, count(*) AS df FROM m GROUP BY ALL),
+sc AS (SELECT m.query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) AS score, count(*) AS met, any_value(np) AS np FROM m JOIN df ON m.query_id = df.query_id AND m.term = df.term, st GROUP BY ALL),
+b AS (SELECT query_id, doc_id, score, FALSE AS exact_match, 0 AS arm, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {kind}) AS rank FROM sc WHERE met = np QUALIFY rank <= 40),
+l AS (SELECT query_id, doc_id, 0.01::DOUBLE AS score, TRUE AS exact_match, 1 AS arm, row_number() OVER (PARTITION BY query_id ORDER BY {kind}) AS rank
+      FROM q JOIN d ON contains(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(trim(q), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) QUALIFY rank <= 40),
+u AS (SELECT query_id, doc_id, max(score) AS score, bool_or(exact_match) AS exact_match, min((arm, rank)) AS place FROM (SELECT * FROM b UNION ALL SELECT * FROM l) GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 5) AS score, exact_match FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, {kind}) <= 40"""
+
+
+@query(_lexical_sql("TRUE", "doc_id::VARCHAR"))
+def lexical_candidates(spark, sf_dir):
+    """Words and literals together for the first words of every benchmark item."""
+    found = L.lexical_candidates(A.text_queries(spark, sf_dir), _index(spark, sf_dir))
+    return found.select("query_id", F.col("unit_id").cast("long").alias("doc_id"), F.round("score", 5).alias("score"), "exact_match")
+
+
+@query(_lexical_sql("doc_id % 3 <> 0", "'doc-' || doc_id || ':document:000000'"))
+def old_chunk_hits(spark, sf_dir):
+    """The same among the chunks of documents whose index is of an older version."""
+    items = A.document_items(spark, sf_dir).withColumn("search_index_version", F.when(_number() % 3 == 0, 2).otherwise(1))
+    found = legacy_chunk_search(A.text_queries(spark, sf_dir), A.document_chunks(spark, sf_dir), items)
+    return found.select("query_id", F.regexp_extract("item_id", r"(\d+)$", 1).cast("long").alias("doc_id"), F.round("score", 5).alias("score"), "exact_match")
+
+
+WORDS = ("alpha one", "beta two", "alpha beta three", "none")
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_id % 2 = 0 AS two, {_sql_pick("event_id // 2", *WORDS)} AS transcript, CASE WHEN event_id % 5 <> 0 THEN {_sql_pick("event_id // 8", *WORDS)} END AS ocr, CASE WHEN event_id % 7 <> 0 THEN {_sql_pick("event_id // 32", *WORDS)} END AS visual,
+                  {_sql_pick("user_id", "smart", "audio", "image", "document", "video")} AS preference FROM events),
+f AS (SELECT event_id, two, preference, unnest([{{'k': 0, 'p': 0, 'f': 'transcript', 't': transcript}}, {{'k': 1, 'p': 3, 'f': 'ocr', 't': ocr}}, {{'k': 2, 'p': 2, 'f': 'visual', 't': visual}}]) AS x FROM e),
+s AS (SELECT event_id, preference, x, CASE WHEN x.t IS NULL THEN 0 WHEN two THEN CASE WHEN contains(x.t, 'alpha beta') THEN 3 ELSE contains(x.t, 'alpha')::INT + contains(x.t, 'beta')::INT END WHEN contains(x.t, 'alpha') THEN 2 ELSE 0 END AS score,
+             CASE WHEN two THEN x.p ELSE -x.k END AS priority,
+             CASE WHEN preference IN ('image', 'video') THEN [2, 1, 0][x.k + 1] WHEN preference = 'audio' THEN [0, 2, 1][x.k + 1] WHEN preference = 'document' THEN [0, 2, 1][x.k + 1] ELSE x.k END AS fallback FROM f)
+SELECT event_id, x.f AS field, x.t AS text FROM s WHERE x.t IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, CASE WHEN score > 0 THEN -priority ELSE fallback END) = 1""")
+def answering_fields(spark, sf_dir):
+    """Which field of a unit answers a query of one or two terms, or stands in by preference."""
+    n = F.col("event_id")
+    word = lambda k: _pick(F.floor(n / k), *WORDS)
+    none = F.lit(None).cast("string")
+    rows = A.table(spark, sf_dir, "events").select("event_id", F.when(n % 2 == 0, "Alpha beta").otherwise("ALPHA").alias("q"), word(2).alias("transcript_text"), F.when(n % 5 != 0, word(8)).alias("ocr_text"), F.when(n % 7 != 0, word(32)).alias("visual_text"), none.alias("summary_text"), none.alias("content_text"), _pick(F.col("user_id"), "smart", "audio", "image", "document", "video").alias("preference"))
+    return R.with_best_field(rows).select("event_id", "best_.field", "best_.text")
+
+
+SIMILAR_SQL = """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id AS point_key, greatest(0, least(1, list_cosine_similarity(q.v, e.embedding::DOUBLE[]))) AS similarity FROM q, embeddings e),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, point_key) AS rank FROM s)
+"""
+
+
+@query(SIMILAR_SQL + """
+SELECT query_id, point_key, CASE WHEN point_key % 22 = 0 THEN CASE WHEN point_key % 4 = 0 THEN 0.0001 ELSE 0 END ELSE round(similarity, 6) END::DOUBLE AS score FROM t WHERE point_key % 11 = 0 AND rank > 10""")
+def lexical_only_scores(spark, sf_dir):
+    """Lexical hits that no vector hit supports, scored by their own points; every second of them has none."""
+    vectors = A.unit_vectors(spark, sf_dir)
+    queries = A.vector_queries(spark, sf_dir)
+    near = V.vector_topk(queries, vectors, 10).join(vectors.select("point_key", "unit_id"), "point_key").select("query_id", "unit_id")
+    hits = queries.select("query_id").join(F.broadcast(vectors.where("point_key % 11 = 0").select("unit_id", (F.col("point_key") % 4 == 0).alias("exact_match"))))
+    found = V.score_lexical_only(hits, near, queries, vectors.where("point_key % 22 <> 0"))
+    return found.select("query_id", F.regexp_extract("unit_id", r"(\d+)$", 1).cast("long").alias("point_key"), F.round("score", 6).alias("score"))
+
+
+@query(SIMILAR_SQL + "SELECT round(avg(CASE WHEN point_key % 3 <> 0 THEN 1 ELSE 0 END), 6)::DOUBLE AS recall FROM t WHERE rank <= 10")
+def recall_of_a_part(spark, sf_dir):
+    """The recall of a search over two thirds of the vectors."""
+    queries, vectors = A.vector_queries(spark, sf_dir), A.unit_vectors(spark, sf_dir)
+    found = J.recall_at_k(V.vector_topk(queries, vectors.where("point_key % 3 <> 0"), 10), V.vector_topk(queries, vectors, 10), 10)
+    return found.select(F.round("recall", 6).alias("recall"))
+
+
+@query(UNITS_SQL + "SELECT 1 AS generation, count(*) AS units, 2 * count(*) AS vectors FROM u")
+def published_generation(spark, sf_dir):
+    """Moments of all conversations embedded and published as one generation; a second one with vectors of a wrong length is refused."""
+    items = A.media_items(spark, sf_dir).select("id", F.col("title").alias("item_title"), F.lit("talks").alias("source_label"))
+    units = stored(C.build_timed_units(items, A.media_chunks(spark, sf_dir)).where("unit_kind = 'moment'"))
+    base = shared_path(spark)
+    V.embed_and_commit_generation(units, lambda: V.hashing_embedder(32), base, 1, 32)
+    V.embed_and_commit_generation(units, lambda: V.hashing_embedder(16), base, 2, 32)
+    return V.current_generation(spark, base).select("generation", "units", "vectors")
+
+
+@query()
+def hybrid_search_hits(spark, sf_dir):
+    """The whole search over all conversations for every first turn: vectors and words fused, ranked and collapsed, with the row that plays and its frame."""
+    items = A.media_items(spark, sf_dir)
+    chunks = A.media_chunks(spark, sf_dir).unionByName(_ocr(spark, sf_dir), allowMissingColumns=True)
+    named = items.select("id", F.col("title").alias("item_title"), F.lit("talks").alias("source_label"))
+    units = stored(C.build_timed_units(named, chunks))
+    embedder = lambda: V.hashing_embedder(64)
+    vectors = stored(V.embed(V.plan_embeddings(units).where("input_kind = 'text'"), embedder))
+    asked = A.table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ").alias("q"))
+    plan = asked.select(F.col("query_id").cast("string").alias("point_key"), F.lit("").alias("unit_id"), F.lit("").alias("item_id"), F.lit("text").alias("input_kind"), F.col("q").alias("input"))
+    embedded = V.embed(plan, embedder).select(F.col("point_key").cast("long").alias("query_id"), F.col("vector").alias("query_vector"))
+    queries = stored(asked.join(embedded, "query_id").withColumns({"limit": F.lit(5), "preference": F.lit("smart"), "locale": F.lit("en")}))
+    found = hybrid_search(queries, units, items, vectors, chunks=chunks)
+    return found.select("query_id", "rank", "unit_id", "item_id", "playback_chunk_id", "chunk_type", "start_sec", "frame_path", F.round("match_score", 5).alias("match_score"), "snippet")

@@ -14,6 +14,7 @@ from ..operators.vectors import score_lexical_only, vector_topk
 
 
 def asked(queries: DataFrame) -> DataFrame:
+    """The queries with the preference that holds. The candidates of each step are stored: they are few, and read more than once."""
     return queries.withColumn("preference", R.effective_preference())
 
 
@@ -29,7 +30,7 @@ def hybrid_search(queries: DataFrame, units: DataFrame, items: DataFrame, vector
     widest = 200  # four times the largest limit
     near = vector_topk(pools, vectors.join(ready, "unit_id", "left_semi"), widest, metric)
     near = near.join(vectors.select("point_key", "unit_id"), "point_key").groupBy("query_id", "unit_id").agg(F.max("similarity").alias("similarity"))
-    near = top(near.join(hinted(queries.select("query_id", pool().alias("pool_"))), "query_id"), F.col("pool_"), F.desc("similarity"), F.asc("unit_id")).drop("pool_", "rank")
+    near = stored(top(near.join(hinted(queries.select("query_id", pool().alias("pool_"))), "query_id"), F.col("pool_"), F.desc("similarity"), F.asc("unit_id")).drop("pool_", "rank"))
     words = stored(lexical_candidates(queries, units, ready))
     scored = score_lexical_only(words, near, queries, vectors, metric).select("query_id", "unit_id", "exact_match", "score")
     both = words.select("query_id", "unit_id", "exact_match").join(near, ["query_id", "unit_id"]).select("query_id", "unit_id", "exact_match", F.col("similarity").alias("score"))
@@ -48,8 +49,8 @@ def ranked(hits: DataFrame, queries: DataFrame, units: DataFrame, items: DataFra
     """Candidates as ranked hits; with chunks the evidence is attached (D14-D16) and old chunks' hits join (D22) before the ranking."""
     found = R.hydrate(hits, units, items, ready).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
     if chunks is None:
-        return R.finalize(found.withColumn("snippet", R.best_snippet()), queries)
-    found = R.with_evidence(found, chunks)
+        return R.finalize(R.with_best_field(found).withColumn("snippet", R.snippet_of_best()).drop("best_"), queries)
+    found = R.with_evidence(stored(found), chunks)
     old = legacy_chunk_search(queries, chunks, items).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
     return R.finalize(stored(found.unionByName(old, allowMissingColumns=True)), queries)
 
