@@ -51,3 +51,27 @@ def test_index_health(spark):
     assert (row["items"], row["units"], row["points"], row.embedding_gap, row.drift, row.error_code) == (4, 4, 3, 1, True, "index_drift")
     status = I.library_status(health).first()
     assert status["mode"] == "hybrid" and status.index_settling and not I.library_status(health, paused=True).first().index_settling
+
+
+def test_search_carries_evidence(spark):
+    """A hit plays from the line or the on-screen row that answers, with the nearest frame; old chunks join before the ranking."""
+    items = spark.createDataFrame([(k, "s", "video", f"Talk {k}", 100.0, f"/{k}", 5, "indexed", v, "indexed") for k, v in (("new", 2), ("old", 1))], "id string, source_id string, content_type string, title string, duration_sec double, raw_path string, indexed_at long, status string, search_index_version int, search_index_status string")
+    row = lambda item, n, kind, start, end, text, frame=None: (f"{item}:{kind}:{n}", item, kind, start, end, text, frame, None)
+    chunks = [row("new", k, "transcript_line", 2.0 * k, 2.0 * k + 2, t) for k, t in enumerate(["database overview", "nothing here", "database settings open the config panel", "more of it"])]
+    chunks += [row("new", 9, "transcript", 0.0, 8.0, "database overview nothing here database settings open the config panel more of it")]
+    chunks += [row("new", k, "keyframe", 5.0 * k, 5.0 * k + 5, None, f"f{k}.jpg") for k in range(3)] + [row("new", 0, "ocr", None, None, "quarterly chart", "f2.jpg")]
+    chunks += [row("old", 0, "transcript", 3.0, 6.0, "the database config of old"), row("old", 0, "keyframe", 4.0, 5.0, None, "g.jpg"), row("old", 1, "keyframe", 61.0, 62.0, None, "h.jpg"), row("old", 1, "ocr", 40.0, 41.0, "quarterly database"), row("old", 0, "understanding", 60.0, 70.0, "told database config")]
+    chunks = spark.createDataFrame(chunks, S.CHUNKS)
+    named = items.select("id", F.col("title").alias("item_title"), F.lit("s").alias("source_label"))
+    units = C.build_timed_units(named.where("id = 'new'"), chunks.where("item_id = 'new'"))
+    queries = spark.createDataFrame([(1, "database config", 10), (2, "quarterly chart", 10)], "query_id int, q string, limit int").withColumns({"preference": F.lit("smart"), "query_vector": F.lit(None).cast("array<float>"), "locale": F.lit("en")})
+    got = {}
+    for r in search.lexical_fallback_search(queries, units, items, chunks).collect():
+        got.setdefault((r.query_id, r.item_id), []).append(r)
+    line = got[1, "new"][0]
+    assert (line.playback_chunk_id, line.chunk_type, line.start_sec, line.frame_id) == ("new:transcript_line:2", "transcript_line", 4.0, "new:keyframe:1")
+    shown = got[2, "new"][0]
+    assert (shown.playback_chunk_id, shown.chunk_type, shown.start_sec, shown.snippet) == ("new:ocr:0", "ocr", 10.0, "quarterly chart")
+    old = {r.playback_chunk_id: r for r in got[1, "old"]}
+    assert old["old:transcript:0"].snippet == "the database config of old" and old["old:transcript:0"].frame_id == "old:keyframe:0" and old["old:transcript:0"].exact_match
+    assert old["old:understanding:0"].snippet == "Video understanding at 1:01"  # it starts with the nearest frame
