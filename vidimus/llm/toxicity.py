@@ -159,7 +159,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, trainable: Callable[[str],
     scored by its features, which are all 0. A null id is scored too. Repeated rows are each answered alike. Without usable
     labels (an empty table, one class) the score is 1 less exp of minus the fixed lexicon's hits. Only doc_id and text are read.
     """
-    learned, model, calibration = train(documents, labels, trainable, sample)
+    return rated(documents, *train(documents, labels, trainable, sample))
+
+
+def rated(documents: DataFrame, learned: dict[bytes, float], model: PipelineModel | None, calibration: object) -> DataFrame:
+    """toxicity() by what train() has learned."""
     dense = featured(texts_of(documents), learned)
     if model is None:
         scored = dense.select("doc_id", (1 - F.exp(1 - F.exp("fixed"))).alias("score"))
