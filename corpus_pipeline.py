@@ -7,17 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidimus.llm import decontaminate, disclosure, mixing, ngram_jaccard, toxicity
 from vidimus.llm.common import left_behind, remove, small, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (one column, distinct): a broadcast where ids are counted to be few."""
-    gone = small(written(ids.toDF("key_").where("key_ is not null")))
-    return docs.join(gone, F.col("doc_id") == F.col("key_"), "left_anti")
+def _key() -> Column:
+    """A row by its id and its text: decisions name rows, also those without an id and those that share one. Equal rows share a key."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows for an operator, with their key as doc_id."""
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in keys (one column, distinct): a broadcast where keys are counted to be few."""
+    return docs.join(small(written(keys.toDF("gone_"))), _key() == F.col("gone_"), "left_anti")
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -35,29 +44,34 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that are likelier toxic than not; learned from all labelled rows that docs still holds."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.toxicity(docs, labels, lambda c: F.lit(True))
+    scored = toxicity.rated(_rows(docs), *toxicity.train(docs, labels, lambda c: F.lit(True)))
     return _without(docs, scored.where("predicted = 1").select("doc_id").distinct())
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the smallest doc_id, once if its row repeats.
-
-    Rows with a null doc_id stay, as no decision can name them.
-    """
-    classes = written(ngram_jaccard.ngram_jaccard(docs).select("doc_id", "component_id"))
-    kept = _without(docs, classes.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = written(classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each group of linked ones stays: the one with the smallest doc_id (null last), once if its row repeats."""
+    groups = written(ngram_jaccard.ngram_jaccard(_rows(docs)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
+    ranked = docs.select(_key().alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank"))
+    several = written(groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"))
+    members = groups.join(small(several), "component", "left_semi").distinct()
+    # Documents that are alone in their group stay without being ranked.
+    members = written(members.join(ranked.distinct(), "row"))
+    first = members.groupBy("component").agg(F.min(F.struct("rank", "row")).alias("first")).select("component", F.col("first.row").alias("stays"))
+    kept = _without(docs, members.select("row").join(first.select(F.col("stays").alias("row")), "row", "left_anti"))
+    repeated = written(groups.groupBy("row").count().where("count > 1").select("row"))
     if repeated.isEmpty():
         return kept
-    again = kept.join(small(repeated.toDF("key_")), F.col("doc_id") == F.col("key_"), "left_semi")
-    return _without(kept, repeated).unionByName(again.dropDuplicates(["doc_id"]))
+    again = kept.join(small(repeated.toDF("again_")), _key() == F.col("again_"), "left_semi")
+    name = "_".join(["key", *docs.columns])  # no column of docs
+    return _without(kept, repeated).unionByName(again.withColumn(name, _key()).dropDuplicates([name]).drop(name))
 
 
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.overlaps(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id").distinct())
 
 
 @_stage
