@@ -57,3 +57,19 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id or -1, r.copies) for r in whole.collect()) == sorted((r.doc_id or -1, r.copies) for r in last)
     assert whole.groupBy("source").agg(F.sum("taken")).count() == len({r.source for r in last})
+
+
+def test_decisions_name_rows(spark, tmp_path):
+    """Rows without an id and rows that share one are judged by themselves."""
+    rng = random.Random(22)
+    items = [(1, prose(30, rng))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base, other = prose(60, rng), prose(60, rng)
+    rows = [(None, items[0][1]), (7, items[0][1]), (7, other), (8, base), (8, other + " more"), (9, base), (None, base), (None, None), (None, None), (10, None), (11, prose(40, rng)), (11, prose(40, rng))]
+    docs = spark.createDataFrame([(i, t, "en", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row string, n int")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.n for r in left) == [2, 3, 4, 5, 6, 7, 8, 9, 10, 11]
+    left = corpus_pipeline.drop_near_duplicates(spark, docs.where("n >= 2"), str(tmp_path))
+    assert left.columns == docs.columns
+    kept = sorted(r.n for r in left.collect())
+    assert kept in ([2, 3, 7, 9, 10, 11], [2, 3, 8, 9, 10, 11])  # of two equal rows either
