@@ -72,7 +72,7 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of every document as the reference splits it: no text is longer than a chunk may be, and all of it is there."""
+    """The chunks of every document in pieces: no text is longer than a chunk may be, and all of it is there."""
     d = table(spark, sf_dir, "documents")
     pieces = split_documents(d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("item_id"), F.lit(1).alias("page"), "text"))
     none = F.lit(None).cast("double")
