@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and the SQL that says the same where SQL can."""
+"""The registered queries of the operators, each over its whole table, and the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ from . import disclosure
 from .chat_format import chat_format
 from .decontaminate import overlaps
 from .embedding_dedup import embedding_dedup
+from .fill_in_middle import fill_in_middle
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .lm_scoring import lm_scores
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
+from .quality_rules import quality_rules
 from .toxicity import crc, toxicity
+from .whitening import whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.array_join("failed", ",").alias("failed"), "kept")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -87,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_whitening": op13_whitening,
 }
 
 MIXING_SQL = r"""
@@ -173,10 +193,74 @@ SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, md
 FROM (SELECT conv_id, turn, json_object('content', coalesce(text, ''), 'role', role)::VARCHAR AS message FROM conversations)
 """
 
+MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (
+  SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT *, array_to_string(list_slice(u, 1, a), '') AS prefix, array_to_string(list_slice(u, a + 1, b), '') AS middle, array_to_string(list_slice(u, b + 1, n), '') AS suffix FROM c),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+r AS (
+  SELECT *, CASE form WHEN 'plain' THEN output
+                      WHEN 'psm' THEN split_part(split_part(output, '<S>', 1), '<P>', 2) || split_part(output, '<M>', 2) || split_part(split_part(output, '<M>', 1), '<S>', 2)
+                      ELSE split_part(split_part(output, '<M>', 1), '<P>', 2) || split_part(output, '<M>', 2) || split_part(split_part(output, '<P>', 1), '<S>', 2) END AS restored FROM o)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(restored) AS restored_sha256
+FROM r
+"""
+
+#: The fences of quality_rules: quartiles from the same buckets, groups under 200 texts merged into their language or into all.
+RULES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+g AS (SELECT k, i, array_to_string(list_slice(w, i, i + 4), ' ') AS five FROM (SELECT k, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+t AS (SELECT k, count(DISTINCT i + j) AS n FROM (SELECT k, i, count(*) OVER (PARTITION BY k, five) AS n FROM g), (SELECT unnest(generate_series(0, 4)) AS j) WHERE n > 1 GROUP BY k),
+m AS (
+  SELECT k, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(t.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN t USING (k)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+v AS (
+  SELECT k, lang, source, r.measure, r.spread, r.below, r.off / sqrt(greatest(r.b, 1)) AS stray, CASE WHEN r.b > 0 THEN r.a * 1000 // r.b ELSE 0 END AS x
+  FROM (SELECT k, lang, source, unnest([
+          {'measure': 'word_length', 'a': word_chars, 'b': n_words, 'spread': 500, 'below': true, 'off': 7500}, {'measure': 'symbols', 'a': n_symbols, 'b': n_words, 'spread': 100, 'below': false, 'off': 500},
+          {'measure': 'duplicate_lines', 'a': n_dup_lines, 'b': n_lines, 'spread': 100, 'below': false, 'off': 1000}, {'measure': 'repeated_words', 'a': n_repeat_words, 'b': n_words, 'spread': 70, 'below': false, 'off': 500}]) AS r
+        FROM f WHERE NOT base_failed)),
+s AS (SELECT lang, source, measure, e * 256 + (x >> e) AS bucket, count(*) AS n FROM (SELECT *, greatest(length(bin(x)) - 9, 0) AS e FROM v) GROUP BY ALL),
+z AS (
+  SELECT 0 AS level, lang, source, measure, bucket, n FROM s
+  UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM z),
+q AS (SELECT level, lang, source, measure, max(total) AS total, min(bucket) FILTER (WHERE upto * 4 >= total) AS b1, min(bucket) FILTER (WHERE upto * 4 >= total * 3) AS b3 FROM u GROUP BY ALL),
+y AS (
+  SELECT level, lang, source, measure, total, (b1 - e1 * 256) * (1::BIGINT << e1) + (1::BIGINT << e1) // 2 AS low, (b3 - e3 * 256) * (1::BIGINT << e3) + (1::BIGINT << e3) // 2 AS high
+  FROM (SELECT *, greatest(b1 // 256 - 1, 0) AS e1, greatest(b3 // 256 - 1, 0) AS e3 FROM q)),
+c AS (
+  SELECT v.k, v.measure, v.x, v.stray, v.below, coalesce(CASE WHEN a.total >= 200 THEN a.low END, CASE WHEN b.total >= 200 THEN b.low END, o.low) AS low,
+         coalesce(CASE WHEN a.total >= 200 THEN a.high END, CASE WHEN b.total >= 200 THEN b.high END, o.high) AS high, v.spread
+  FROM v JOIN y a ON a.level = 0 AND a.measure = v.measure AND a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source
+         JOIN y b ON b.level = 1 AND b.measure = v.measure AND b.lang IS NOT DISTINCT FROM v.lang JOIN y o ON o.level = 2 AND o.measure = v.measure),
+x AS (SELECT k, string_agg(measure, ',' ORDER BY measure) AS failed FROM c
+      WHERE x > high + 3 * greatest(high - low, spread) + stray OR (below AND x < low - 3 * greatest(high - low, spread) - stray) GROUP BY k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed, NOT base_failed AND failed IS NULL AS kept
+FROM f LEFT JOIN x USING (k)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": JACCARD_SQL,
     "op2_embedding_dedup": EMBEDDING_SQL,
     "op3_mixing": MIXING_SQL,
     "op6_line_dedup": LINES_SQL,
     "op7_chat_format": CHAT_SQL,
+    "op11_fill_in_middle": MIDDLE_SQL,
+    "op12_quality_rules": RULES_SQL,
 }
