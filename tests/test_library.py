@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas as S
 from vidimus.functions import text as T
+from vidimus.operators import ann as A
 from vidimus.operators import chunks as B
 from vidimus.operators import entities as G
 from vidimus.operators import evidence as E
@@ -254,7 +255,7 @@ def test_vectors_and_generations(spark, tmp_path):
     vectors, queries = V.make_vector_workload(spark, 300, 16, 20, noise=0.01)
     exact = V.vector_topk(queries, vectors, 5)
     assert J.recall_at_k(exact, exact, 5).first()[0] == 1.0
-    near = V.ann_topk(queries, vectors, 5, lists=10, probes=5)
+    near = A.ann_topk(queries, vectors, 5, lists=10, probes=10)
     assert J.recall_at_k(near, exact, 5).first()[0] >= 0.9
     units = spark.createDataFrame([("u1", "i", "moment", "hello world", "f.jpg"), ("u2", "i", "image", None, "g.jpg")], "id string, item_id string, unit_kind string, content_text string, representative_frame_path string")
     assert {(r.point_key, r.input_kind) for r in V.plan_embeddings(units).collect()} == {("u1", "text"), ("u1:image", "image"), ("u2", "image")}

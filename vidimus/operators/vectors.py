@@ -1,4 +1,4 @@
-"""Vectors: validation, embedding, index generations and exact or approximate top-k."""
+"""Vectors: validation, embedding, index generations and exact top-k."""
 
 from __future__ import annotations
 
@@ -7,13 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.tables import stored
 from ..functions.text import similarity
 
 #: Bytes of query vectors that one pass broadcasts; a larger query table is searched in blocks.
@@ -214,61 +211,6 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     return _searched(queries, vectors.select("point_key", F.col("vector").cast("array<float>").alias("vector")), k, scan, lambda ids, q: q)
 
 
-def inverted_file(vectors: DataFrame, lists: int | None = None, sample: int = 50_000, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """D24's index: (point_key, vector, list), stored, with the centroids, which are fitted on a bounded sample of vectors of the commonest length."""
-    total = vectors.count()
-    lists = lists or max(1, int(total**0.5))
-    common = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = common.n if common else 0
-    usable = vectors.where((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))), F.lit(1e-300)))
-    some = usable.where(F.pmod(F.xxhash64("point_key"), F.lit(max(1, total // sample))) == 0).select(array_to_vector(unit(F.col("vector"))).alias("features"))
-    centres = np.array(KMeans(k=lists, seed=seed, maxIter=8).fit(some).clusterCenters()) if some.limit(1).count() else np.zeros((1, dim))
-    sent = vectors.sparkSession.sparkContext.broadcast(centres)
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
-        for batch in batches:
-            rows, x = matrix_of(batch.column(1), dim)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            nearest = ((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(col.take(pa.array(rows)) for col in batch.columns), pa.array(nearest)], names=["point_key", "vector", "list"])
-
-    rows = vectors.select("point_key", F.col("vector").cast("array<float>").alias("vector"))
-    placed = rows.mapInArrow(listed, f"point_key {vectors.schema['point_key'].dataType.simpleString()}, vector array<float>, list int")
-    return stored(placed.repartition("list").sortWithinPartitions("list")), centres
-
-
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, index: tuple[DataFrame, np.ndarray] | None = None) -> DataFrame:
-    """(query_id, point_key, similarity, rank) by an inverted file: a query meets the vectors of its nearest lists only. Cosine.
-
-    By default a query probes half of the lists, which keeps a recall of 0.9 at 10 on vectors without clear clusters;
-    measure the recall (J1) and lower it where the data have clusters. index: inverted_file(vectors), to be built once.
-    """
-    listed, centres = index or inverted_file(vectors, lists)
-    probes = min(probes or -(-len(centres) // 2), len(centres))
-
-    def probed(ids: list, q: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        if q.shape[1] != centres.shape[1]:
-            return q, {}
-        u = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        near = np.argpartition((centres**2).sum(1)[None, :] - 2 * u @ centres.T, probes - 1, axis=1)[:, :probes]
-        order = np.argsort(near.ravel(), kind="stable")
-        of, at = near.ravel()[order], np.repeat(np.arange(len(q)), probes)[order]
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        return q, dict(zip(of[starts].tolist(), np.split(at, starts[1:]), strict=True))
-
-    def scan(batch: pa.RecordBatch, asked: tuple[np.ndarray, dict[int, np.ndarray]], best: Best) -> None:
-        q, of_list = asked
-        rows, x = matrix_of(batch.column(1), q.shape[1])
-        keys, own = batch.column(0).to_numpy(zero_copy_only=False)[rows], batch.column(2).to_numpy()[rows]
-        for name in np.unique(own):
-            if (at := of_list.get(int(name))) is not None:
-                best.add(at, keys[own == name], scores(q[at], x[own == name], "cosine"))
-
-    return _searched(queries, listed, k, scan, probed)
-
-
 def score_lexical_only(lexical: DataFrame, vector_hits: DataFrame, queries: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
     """(query_id, unit_id, exact_match, score) of lexical hits without a vector hit: the best of the unit's own points, else 0.0001 if exact, else 0."""
     only = lexical.join(vector_hits.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")

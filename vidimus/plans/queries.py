@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import stored
 from ..functions.text import clock, inferred_preference, strong_exact_intent
+from ..operators import ann
 from ..operators import chunks as B
 from ..operators import entities as G
 from ..operators import evidence as E
@@ -262,7 +263,7 @@ def vector_topk(spark, sf_dir):
 def ann_recall(spark, sf_dir):
     """Recall at 10 of the inverted file against the exact search, for every query vector."""
     queries, vectors = A.vector_queries(spark, sf_dir), A.unit_vectors(spark, sf_dir)
-    return J.recall_at_k(V.ann_topk(queries, vectors, 10), V.vector_topk(queries, vectors, 10), 10)
+    return J.recall_at_k(ann.ann_topk(queries, vectors, 10), V.vector_topk(queries, vectors, 10), 10)
 
 
 @query()
