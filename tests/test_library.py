@@ -263,7 +263,9 @@ def test_vectors_and_generations(spark, tmp_path):
     assert V.embed_and_commit_generation(units, lambda: V.hashing_embedder(8), base, 1, 8)
     assert not V.embed_and_commit_generation(units, lambda: V.hashing_embedder(9), base, 2, 8)
     assert V.current_generation(spark, base).first().generation == 1
-    stored = spark.read.parquet(f"{base}/generation=1/vectors")
+    assert not V.embed_and_commit_generation(units, lambda: V.hashing_embedder(8), base, 1, 8)  # a second writer of it
+    assert len(list((tmp_path / "index").glob("generation=*"))) == 1
+    stored = spark.read.parquet(f"{V.current_generation(spark, base).first().path}/vectors")
     kept = spark.createDataFrame([("i", "u1")], "item_id string, point_key string")
     assert [r.point_key for r in V.drop_stale_vectors(stored, kept).collect()] == ["u1"]
 

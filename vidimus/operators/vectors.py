@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import pointers
 from ..functions.text import similarity
 
 #: Bytes of query vectors that one pass broadcasts; a larger query table is searched in blocks.
@@ -62,27 +64,29 @@ def embed(plan: DataFrame, embedder: Callable[[], Callable[[list[str]], np.ndarr
 
 
 def publish_generation(units: DataFrame, vectors: DataFrame, base: str, generation: int, dimension: int) -> bool:
-    """C15's end: units and vectors go to a folder of their own, and the pointer row follows only if every text unit has its vector.
+    """C15's end: units and vectors go to a folder of their own, and the pointer follows only if every text unit has its vector.
 
-    A failed or partial generation leaves the pointer on the last good one. One writer at a time is assumed.
+    A failed or partial generation leaves the pointer on the last good one, and its folder is removed. Of several writers of
+    one generation the first to finish wins; the others get False and their folders are removed.
     """
     spark = units.sparkSession
-    path = f"{base}/generation={generation}"
+    path = f"{base}/generation={generation}-{uuid.uuid4().hex[:8]}"
     good, bad = validate_vectors(vectors, dimension)
-    units.write.mode("overwrite").parquet(f"{path}/units")
-    good.write.mode("overwrite").parquet(f"{path}/vectors")
+    units.write.parquet(f"{path}/units")
+    good.write.parquet(f"{path}/vectors")
     written, points = spark.read.parquet(f"{path}/units"), spark.read.parquet(f"{path}/vectors")
-    missing = written.join(points.select(F.col("unit_id").alias("id")), "id", "left_anti").limit(1).count()
-    if missing or bad.limit(1).count():
-        return False
-    counts = written.agg(F.count("*").alias("units")).join(points.agg(F.count("*").alias("vectors")))
-    counts.select(F.lit(generation).alias("generation"), F.lit(path).alias("path"), "units", "vectors").write.mode("append").parquet(f"{base}/pointer")
-    return True
+    whole = written.join(points.select(F.col("unit_id").alias("id")), "id", "left_anti").isEmpty() and bad.isEmpty()
+    if whole and pointers.claim(spark, base, generation, {"path": path, "units": written.count(), "vectors": points.count()}):
+        return True
+    pointers.remove(spark, path)
+    return False
 
 
 def current_generation(spark: SparkSession, base: str) -> DataFrame:
-    """The pointer's latest row: generation, path, units, vectors."""
-    return spark.read.parquet(f"{base}/pointer").orderBy(F.desc("generation")).limit(1)
+    """The latest pointer: generation, path, units, vectors; no row before the first."""
+    last = pointers.latest(spark, base)
+    rows = [(last["number"], last["path"], last["units"], last["vectors"])] if last else []
+    return spark.createDataFrame(rows, "generation int, path string, units long, vectors long")
 
 
 def embed_and_commit_generation(units: DataFrame, embedder: Callable, base: str, generation: int, dimension: int) -> bool:

@@ -602,12 +602,14 @@ def timelines(spark, sf_dir):
 
 # Files, lexical candidates, scores and generations
 
-@query("SELECT source AS folder, count(DISTINCT source) AS files FROM documents GROUP BY source")
+@query("""
+SELECT folder, sum((n + 49) // 50)::BIGINT AS files
+FROM (SELECT coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS folder, doc_id % 6 AS bucket, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY folder""")
 def scanned_files(spark, sf_dir):
-    """Documents written as a folder of text files for each source, and found again; an ignored folder and another kind of file are passed by."""
+    """Documents written as text files of at most fifty, found again; an ignored folder and another kind of file are passed by."""
     base = shared_path(spark)
-    rows = A.table(spark, sf_dir, "documents").select(F.regexp_replace("text", r"\s+", " ").alias("text"), "source").repartition("source")
-    rows.write.partitionBy("source").text(f"{base}/library")
+    rows = A.table(spark, sf_dir, "documents").select(F.regexp_replace("text", r"\s+", " ").alias("text"), "source", (F.col("doc_id") % 6).alias("bucket"))
+    rows.repartition("source", "bucket").write.option("maxRecordsPerFile", 50).partitionBy("source", "bucket").text(f"{base}/library")
     rows.limit(1).select("text").write.text(f"{base}/library/node_modules")
     rows.limit(1).write.json(f"{base}/library/other")
     found = scan_files(spark, [f"{base}/library"], "document")
