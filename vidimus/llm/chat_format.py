@@ -56,20 +56,78 @@ def canonical(value: Any) -> str:
     return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
-def fits(value: Any, schema: Mapping[str, Any]) -> bool:
-    """Type, enum, required, properties, additionalProperties = false and items of a JSON schema."""
-    kind = schema.get("type")
-    if kind in TYPES and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
+def same(a: Any, b: Any) -> bool:
+    """Equal as JSON: true is not 1, 1 is 1.0."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    return a == b
+
+
+def _is(value: Any, kind: Any) -> bool:
+    if kind == "null":
+        return value is None
+    return isinstance(kind, str) and kind in TYPES and isinstance(value, TYPES[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
+def satisfies(value: Any, schema: Any) -> bool:
+    """fits(), and False for a schema that is none, such as one with a bound that is no number or a pattern that is none."""
+    try:
+        return fits(value, schema)
+    except (TypeError, AttributeError, re.error):
+        return False
+
+
+def _named(root: Any, ref: Any) -> Any:
+    """What a reference within the schema names; None if nothing."""
+    if not isinstance(ref, str) or not ref.startswith("#"):
+        return None
+    for part in filter(None, ref[1:].split("/")):
+        part = part.replace("~1", "/").replace("~0", "~")
+        root = root.get(part) if isinstance(root, dict) else None
+    return root
+
+
+def fits(value: Any, schema: Any, root: Any = None, depth: int = 0) -> bool:
+    """Whether a value satisfies a JSON schema; keywords beyond these say nothing.
+
+    type (one or several), enum, const, required, properties, additionalProperties, items, the bounds of numbers, lengths and
+    counts, pattern, uniqueItems, allOf, anyOf, oneOf, not, and references within the schema. A reference that leads nowhere,
+    or round in a circle, is satisfied by nothing.
+    """
+    if isinstance(schema, bool) or not isinstance(schema, Mapping):
+        return schema is not False
+    root = schema if root is None else root
+    if depth > 64:
+        return False
+    inner = lambda v, s: fits(v, s, root, depth + 1)
+    if "$ref" in schema and ((target := _named(root, schema["$ref"])) is None or not inner(value, target)):
+        return False
+    kinds = schema.get("type")
+    if kinds is not None and not any(_is(value, k) for k in (kinds if isinstance(kinds, list) else [kinds])):
+        return False
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]) or "const" in schema and not same(value, schema["const"]):
+        return False
+    if not all(inner(value, s) for s in schema.get("allOf", ())) or "anyOf" in schema and not any(inner(value, s) for s in schema["anyOf"]):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "oneOf" in schema and sum(inner(value, s) for s in schema["oneOf"]) != 1 or "not" in schema and inner(value, schema["not"]):
         return False
+    within = lambda n, least, most: schema.get(least, n) <= n <= schema.get(most, n)
+    if _is(value, "number"):
+        return within(value, "minimum", "maximum") and schema.get("exclusiveMinimum", -math.inf) < value < schema.get("exclusiveMaximum", math.inf)
+    if isinstance(value, str):
+        return within(len(value), "minLength", "maxLength") and ("pattern" not in schema or re.search(schema["pattern"], value) is not None)
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", ())) or schema.get("additionalProperties") is False and any(k not in known for k in value):
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        if any(k not in value for k in schema.get("required", ())):
             return False
-        return all(fits(v, known[k]) for k, v in value.items() if k in known)
-    if isinstance(value, list) and "items" in schema:
-        return all(fits(v, schema["items"]) for v in value)
+        return all(inner(v, known.get(k, more)) for k, v in value.items())
+    if isinstance(value, list):
+        unique = not schema.get("uniqueItems") or not any(same(a, b) for i, a in enumerate(value) for b in value[:i])
+        return within(len(value), "minItems", "maxItems") and unique and all(inner(v, schema.get("items", True)) for v in value)
     return True
 
 
@@ -89,7 +147,7 @@ def read(role: str | None, text: str | None, schemas: Mapping[str, Mapping[str,
                         except ValueError:
                             pass
                     schema = schemas.get(c["name"]) if isinstance(c.get("name"), str) else None
-                    good += schema is not None and isinstance(c.get("arguments"), dict) and fits(c["arguments"], schema)
+                    good += schema is not None and isinstance(c.get("arguments"), dict) and satisfies(c["arguments"], schema)
                 return canonical({**value, "role": role}), [escaped(c["id"]) for c in calls or ()], good, None if answers is None else escaped(answers)
     except (ValueError, RecursionError):
         pass

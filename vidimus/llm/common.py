@@ -85,6 +85,14 @@ def left_behind() -> list[str]:
     return paths
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, lengthened until no column of the frames has it; Spark tells no case apart."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if df (already written) is counted to have at most so many rows; else df, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -18,7 +18,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, portions, small, texts_in_batches, texts_of, word_hashes, written
+from .common import bytes_of, fresh, mixed, portions, small, texts_in_batches, texts_of, word_hashes, written
 
 #: Fixed masks: 1 takes part in the hash. Runs without a gap join them, as long as clean_run() says.
 MASKS = ("1101100101011", "1110010110111", "101110011101011")
@@ -270,5 +270,6 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold an overlap; rows with a null doc_id stay, as an overlap can't name them."""
-    bad = small(written(overlaps(documents, benchmark).select(F.col("doc_id").alias("bad_")).distinct()))
-    return documents.join(bad, F.col("doc_id") == F.col("bad_"), "left_anti")
+    name = fresh("bad", documents)
+    bad = small(written(overlaps(documents, benchmark).select(F.col("doc_id").alias(name)).distinct()))
+    return documents.join(bad, F.col("doc_id") == F.col(name), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small, written
+from .common import fresh, scratch, small, written
 
 # The kinds in their order, the pattern of each, and a cheap pattern that each match contains.
 # The patterns say the same as the plain ones but never try a start inside a run that has failed, and never give back.
@@ -110,12 +110,13 @@ def find(documents: DataFrame, least: int = LEAST_DOCUMENTS, threshold: float =
     an empty table gives an empty result. Texts are neither shuffled nor stored, but for those of holders of personal data;
     what the method adds depends on the text alone and is joined by its digest.
     """
-    full = documents.drop("base", "spans").withColumn("full_", F.coalesce("text", F.lit("")))
+    whole, key, added = (fresh(c, documents) for c in ("full_", "digest_", "more_"))
+    full = documents.drop("base", "spans").withColumn(whole, F.coalesce("text", F.lit("")))
     with scratch(documents.sparkSession) as keep:
-        found = full.select(F.col("full_").alias("text")).withColumn("base", base_spans()).where(F.size("base") > 0)
+        found = full.select(F.col(whole).alias("text")).withColumn("base", base_spans()).where(F.size("base") > 0)
         found = found.withColumn("kinds", F.array_distinct(F.transform("base", lambda s: s["kind"])))
         holders = written(found.select("text", "base", "kinds", cut("text", "base", F.lit(" ")).alias("rest"), F.md5("text").alias("digest_")))
-        terms = small(written(disclosing_terms(full.select(F.col("full_").alias("text")), holders, least, threshold).select("term", F.col("kind").alias("of"))))
+        terms = small(written(disclosing_terms(full.select(F.col(whole).alias("text")), holders, least, threshold).select("term", F.col("kind").alias("of"))))
         # Only texts that hold a term are taken apart, each once.
         words = holders.select("digest_", "kinds", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
         with_terms = written(words.join(terms, "term").where(F.array_contains("kinds", F.col("of"))).select(F.col("digest_").alias("d_"), "term").distinct())
@@ -127,9 +128,9 @@ def find(documents: DataFrame, least: int = LEAST_DOCUMENTS, threshold: float =
         hits = hits.where(~F.exists("base", lambda s: (s["start"] < F.col("m.end")) & (F.col("m.start") < s["end"])))
         hits = hits.select("digest_", F.struct(F.col("m.start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("m.end").alias("end"), F.lit("term").alias("kind")).alias("span"))
         more = keep(written(hits.groupBy("digest_").agg(F.collect_set("span").alias("more"))))
-    out = full.withColumn("base", base_spans("full_"))
-    out = out.join(small(more, MORE_ROWS), F.md5("full_") == F.col("digest_"), "left")
-    return out.withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))).drop("full_", "digest_", "more")
+    out = full.withColumn("base", base_spans(whole))
+    out = out.join(small(more.toDF(key, added), MORE_ROWS), F.md5(whole) == F.col(key), "left")
+    return out.withColumn("spans", F.when(F.col(added).isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added)))).drop(whole, key, added)
 
 
 def cut(text: str, spans: str, mark: Column | None = None) -> Column:
@@ -145,9 +146,14 @@ def cut(text: str, spans: str, mark: Column | None = None) -> Column:
 
 
 def sanitise(documents: DataFrame, least: int = LEAST_DOCUMENTS, threshold: float = DISCLOSURE) -> DataFrame:
-    """documents with every span of the text generalised to its kind; n_chars, if there, follows. Null texts stay null."""
-    found = find(documents, least, threshold)
+    """documents with every span of the text generalised to its kind; n_chars, if there, follows. Null texts stay null.
+
+    All other columns stay, whatever their names. Repeated rows are each answered; an empty table gives an empty result.
+    """
+    names = documents.columns
+    held = documents.toDF(*(c if c in ("text", "n_chars") else f"column_{k}" for k, c in enumerate(names)))
+    found = find(held, least, threshold)
     found = found.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text")))
-    if "n_chars" in documents.columns:
+    if "n_chars" in names:
         found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*[c for c in documents.columns])
+    return found.select(*held.columns).toDF(*names)
