@@ -1,6 +1,9 @@
 """A training-data pipeline over the table documents: five stages, each one operator, each on all that its predecessor kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, further ones
+included, whatever their names. Decisions name rows by id and text: null ids are rows of their own, rows that share an id are judged
+by their own texts, and rows equal in both are judged alike. Null and empty texts are clean, alone in their group, and stay. An empty
+table passes every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidimus.llm import decontaminate, disclosure, mixing, ngram_jaccard, toxicity
-from vidimus.llm.common import left_behind, remove, small, written
+from vidimus.llm.common import fresh, left_behind, remove, small, written
 
 
 def _key() -> Column:
@@ -26,7 +29,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs without the rows whose key is in keys (one column, distinct): a broadcast where keys are counted to be few."""
-    return docs.join(small(written(keys.toDF("gone_"))), _key() == F.col("gone_"), "left_anti")
+    name = fresh("gone", docs)
+    return docs.join(small(written(keys.toDF(name))), _key() == F.col(name), "left_anti")
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -42,7 +46,7 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that are likelier toxic than not; learned from all labelled rows that docs still holds."""
+    """Rejects the documents that are likelier toxic than not; learned from all labelled rows that docs still holds. Without any labelled row nothing is rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.rated(_rows(docs), *toxicity.train(docs, labels, lambda c: F.lit(True)))
     return _without(docs, scored.where("predicted = 1").select("doc_id").distinct())
@@ -62,8 +66,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = written(groups.groupBy("row").count().where("count > 1").select("row"))
     if repeated.isEmpty():
         return kept
-    again = kept.join(small(repeated.toDF("again_")), _key() == F.col("again_"), "left_semi")
-    name = "_".join(["key", *docs.columns])  # no column of docs
+    name = fresh("again", docs)
+    again = kept.join(small(repeated.toDF(name)), _key() == F.col(name), "left_semi")
     return _without(kept, repeated).unionByName(again.withColumn(name, _key()).dropDuplicates([name]).drop(name))
 
 
