@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, or_null
+from .units import nearest_frame_asof
 from .usage import usage_by
 
 CHUNK_ALIASES = {"transcript": ("transcript", "transcript_line", "audio"), "visual": ("keyframe", "image", "ocr"), "summary": ("understanding",)}
@@ -152,9 +153,14 @@ def playback_positions(updates: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def nearest_chunk_for_time(targets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """targets (target_id, item_id, at, preferred_id, label) with chunk_id: the preferred row, else the one with the label's time, else the nearest."""
+    """targets (target_id, item_id, at, preferred_id, label) with chunk_id: the preferred row, else the one with the label's time, else the nearest.
+
+    Two equi-joins and an as-of join; no target meets all rows of its item.
+    """
     own = chunks.select("item_id", F.col("id").alias("chunk_id"), F.col("start_sec").alias("s_"))
-    rank = F.when(F.col("chunk_id") == F.col("preferred_id"), 0).when(clock("s_") == F.col("label"), 1).otherwise(2)
-    met = targets.join(own, "item_id").where(F.col("s_").isNotNull() | (F.col("chunk_id") == F.col("preferred_id")))
-    best = met.groupBy("target_id").agg(F.min_by("chunk_id", F.struct(rank.alias("r"), F.abs(F.col("s_") - F.col("at")).alias("d"), "s_", "chunk_id")).alias("chunk_id"))
-    return targets.join(best, "target_id", "left")
+    named = targets.join(own.select("item_id", F.col("chunk_id").alias("preferred_id")).distinct(), ["item_id", "preferred_id"], "left_semi").select("target_id", F.col("preferred_id").alias("named_"))
+    timed = own.where("s_ is not null")
+    labelled = targets.where("label is not null").join(timed.withColumn("label", clock("s_")), ["item_id", "label"]).groupBy("target_id").agg(F.min_by("chunk_id", F.struct(F.abs(F.col("s_") - F.col("at")).alias("d"), "s_", "chunk_id")).alias("labelled_"))
+    near = nearest_frame_asof(targets.select("item_id", "target_id", "at"), timed.select("item_id", F.col("chunk_id").alias("id"), F.col("s_").alias("start_sec"), F.lit(None).cast("string").alias("frame_path"))).select("target_id", F.col("frame_id").alias("near_"))
+    out = targets.join(named.distinct(), "target_id", "left").join(labelled, "target_id", "left").join(near.distinct(), "target_id", "left")
+    return out.withColumn("chunk_id", F.coalesce("named_", "labelled_", "near_")).drop("named_", "labelled_", "near_")

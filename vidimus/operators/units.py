@@ -18,8 +18,10 @@ from ..schemas import SEARCH_INDEX_VERSION
 WINDOW, STEP = 30.0, 25.0
 BUDGETS = {"transcript": 3200, "ocr": 1200, "visual": 1000, "summary": 3200, "content": 800}
 TRANSCRIPT_BUDGET, SUMMARY_BUDGET, OCR_BUDGET, VISUAL_BUDGET = 3200, 3200, 1200, 1000
-#: Rows that span more bins are joined on the item alone.
-MOST_BINS = 240
+#: Rows and windows that span so many bins are joined by dyadic nodes.
+MOST_BINS = 8
+#: Nodes of the highest level are 2**TOP bins wide, 16 years; what is longer has several of them.
+TOP = 24
 TYPE_ORDER = ("transcript_line", "transcript", "audio", "ocr", "understanding", "keyframe")
 EXIF_KEYS = ("Image Make", "Image Model", "EXIF DateTimeOriginal", "GPS GPSLatitude")
 
@@ -59,21 +61,60 @@ def overlaps(ls: Column, le: Column, rs: Column, re: Column) -> Column:
     )
 
 
+def _nodes(low: str, high: str) -> Column:
+    """The dyadic nodes that make up the bins from low to high, struct(level, node): at most two a level, and at level TOP what is left."""
+
+    def of_level(level: Column) -> Column:
+        begin, end = -F.call_function("shiftright", -F.col(low), level), F.call_function("shiftright", F.col(high) + 1, level)
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        left, right = F.when((begin < end) & odd(begin), begin), F.when((begin < end) & odd(end), end - 1)
+        rest = F.when((level == TOP) & (begin < end), F.sequence(begin, F.greatest(begin, end - 1)))
+        return F.transform(F.coalesce(rest, F.array_compact(F.array(left, right))), lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP)), of_level))
+
+
+def _above(node: str) -> Column:
+    """A node's own place and its ancestors', up to the level TOP."""
+    level, at = F.col(f"{node}.level"), F.col(f"{node}.node")
+    return F.transform(F.sequence(level, F.lit(TOP)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", at, k - level).alias("node")))
+
+
+def _far(rows: DataFrame, windows: DataFrame, same: Column, meets: Column) -> DataFrame:
+    """Pairs of rows (low_, high_) and windows (first_, last_) of one item by dyadic nodes: of two intervals that share a bin one has a node that
+    holds a node of the other. Every pair is met at its first common bin only, so the work grows with the pairs that share bins."""
+    ours = rows.withColumn("node_r_", F.explode(_nodes("low_", "high_")))
+    theirs = windows.withColumn("node_w_", F.explode(_nodes("first_", "last_")))
+    held = windows.columns
+    first = F.greatest("low_", "first_")
+    covers = lambda n: F.call_function("shiftright", first, F.col(f"{n}.level")) == F.col(f"{n}.node")
+    once = covers("node_r_") & covers("node_w_") & meets
+    wider = ours.withColumn("key_", F.col("node_r_")).join(theirs.withColumn("key_w_", F.explode(_above("node_w_"))), same & (F.col("key_") == F.col("key_w_")) & once)
+    narrower = ours.withColumn("key_", F.explode(_above("node_r_"))).where("key_.level > node_r_.level").join(theirs.withColumn("key_w_", F.col("node_w_")), same & (F.col("key_") == F.col("key_w_")) & once)
+    return wider.unionByName(narrower).select(*rows.columns, *held)
+
+
 def interval_overlap_join(rows: DataFrame, windows: DataFrame, times: tuple[str, str] = ("eff_start", "eff_end"), by: tuple[str, str] = ("window_start", "window_end"), width: float = WINDOW, meets: Callable[..., Column] = overlaps) -> DataFrame:
-    """Rows with every window of the same item_id that they overlap (or meet by another predicate that shares a bin); windows' item_id is dropped."""
+    """Rows with every window of the same item_id that they overlap (or meet by another predicate that shares a bin); windows' item_id is dropped.
+
+    Short rows meet short windows in their bins. Longer ones are laid out in dyadic nodes, a few a level, and meet the others of
+    their items there. Only rows and windows without a start meet an item's whole other side, as all of those pairs count.
+    """
     bin_of = lambda t: F.floor(t / width)
     ls, le, rs, re = *(F.col(c) for c in times), *(F.col(c) for c in by)
     rows = rows.withColumn("low_", bin_of(ls)).withColumn("high_", F.greatest(bin_of(ls), bin_of(F.coalesce(le, ls))))
     windows = windows.withColumnRenamed("item_id", "item_").withColumn("first_", bin_of(F.when(re.isNull(), rs - width).otherwise(rs))).withColumn("last_", F.greatest(bin_of(rs), bin_of(F.coalesce(re, rs + width))))
-    plain = F.col("low_").isNotNull() & (F.col("high_") - F.col("low_") <= MOST_BINS)
-    binned = rows.where(plain).withColumn("bin_", F.explode(F.sequence("low_", "high_")))
-    cut = windows.where(rs.isNotNull() & (F.col("last_") - F.col("first_") <= MOST_BINS)).withColumn("bin_w_", F.explode(F.sequence("first_", "last_")))
-    same = F.col("item_id") == F.col("item_")
-    near = binned.join(cut, same & (F.col("bin_") == F.col("bin_w_")) & (F.col("bin_") == F.greatest("low_", "first_")) & meets(ls, le, rs, re)).drop("bin_", "bin_w_")
-    narrow = F.coalesce(rs.isNotNull() & (F.col("last_") - F.col("first_") <= MOST_BINS), F.lit(False))
-    wide = rows.where(~F.coalesce(plain, F.lit(False))).join(windows, same & meets(ls, le, rs, re))
-    open_windows = rows.where(plain).join(windows.where(~narrow), same & meets(ls, le, rs, re))
-    return near.unionByName(wide).unionByName(open_windows).drop("item_", "low_", "high_", "first_", "last_")
+    same, met = F.col("item_id") == F.col("item_"), meets(ls, le, rs, re)
+    short, narrow = F.col("high_") - F.col("low_") < MOST_BINS, F.col("last_") - F.col("first_") < MOST_BINS
+    placed, cut = rows.where(ls.isNotNull()), windows.where(rs.isNotNull())
+    binned = placed.where(short).withColumn("bin_", F.explode(F.sequence("low_", "high_")))
+    dealt = cut.where(narrow).withColumn("bin_w_", F.explode(F.sequence("first_", "last_")))
+    near = binned.join(dealt, same & (F.col("bin_") == F.col("bin_w_")) & (F.col("bin_") == F.greatest("low_", "first_")) & met).drop("bin_", "bin_w_")
+    long, broad = placed.where(~short), cut.where(~narrow)
+    among = lambda df, mine, other, theirs: df.join(other.select(F.col(theirs).alias("among_")).distinct(), F.col(mine) == F.col("among_"), "left_semi")
+    far = _far(long, among(cut, "item_", long, "item_id"), same, met).unionByName(_far(among(placed.where(short), "item_id", broad, "item_"), broad, same, met))
+    whole = rows.where(ls.isNull()).join(windows, same & met).unionByName(placed.join(windows.where(rs.isNull()), same & met))
+    return near.unionByName(far).unionByName(whole).drop("item_", "low_", "high_", "first_", "last_")
 
 
 def window_grid(chunks: DataFrame) -> DataFrame:
@@ -134,26 +175,38 @@ def budgeted_text(rows: DataFrame, keys: list[str], order: Column, budget: int,
 def nearest_frame_asof(targets: DataFrame, frames: DataFrame, following: bool = False) -> DataFrame:
     """Targets (item_id, target_id, at) with frame_id, frame_path and frame_start of the frame nearest in time.
 
-    An exact tie takes the earlier frame, or the following one. A target without a time takes the item's first frame. The
-    frames before and after come from two windows over the union of both sides: no pairs are made.
+    An exact tie takes the earlier frame, or the following one. A target without a time, or whose item has no timed frame, takes
+    the item's first frame. Both sides are dealt to ranges of item and time, so an item of any size spreads over tasks; the frames
+    before and after come from two windows within a range, and the last and first frames of an item's ranges are handed on to its others.
     """
+    spark = targets.sparkSession
     value = F.struct(F.col("start_sec").alias("s"), F.col("id").alias("id"), F.col("frame_path").alias("path"))
-    timed = frames.where("start_sec is not null")
     empty = F.lit(None).cast("struct<s:double,id:string,path:string>")
+    timed = targets.where("at is not null").select("item_id", F.col("at").cast("double").alias("at"), F.lit(1).alias("side"), empty.alias("frame"), F.struct(*targets.columns).alias("row"))
     # among frames of one time the first in order
-    both = timed.groupBy("item_id", F.col("start_sec").alias("at")).agg(F.min(value).alias("frame")).select("item_id", F.lit(None).cast("string").alias("target_id"), "at", "frame")
-    both = both.unionByName(targets.where("at is not null").select("item_id", F.col("target_id").cast("string").alias("target_id"), "at", empty.alias("frame")))
-    by_time = Window.partitionBy("item_id").orderBy("at", F.col("frame").isNull())
+    marks = frames.where("start_sec is not null").groupBy("item_id", F.col("start_sec").cast("double").alias("at")).agg(F.min(value).alias("frame"))
+    both = marks.select("item_id", "at", F.lit(0).alias("side"), "frame", F.lit(None).cast(timed.schema["row"].dataType).alias("row")).unionByName(timed)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stored(both.repartitionByRange(parts, "item_id", "at", "side").withColumn("part", F.spark_partition_id()))
+    # An item that lies in several ranges: at most two such items begin or end in a range.
+    edges = ranged.groupBy("item_id", "part").agg(F.max("frame").alias("last"), F.min("frame").alias("first"))
+    several = edges.groupBy("item_id").agg(F.collect_list(F.struct("part", "first", "last")).alias("parts")).where("size(parts) > 1")
+    over = several.select("item_id", "parts", F.explode("parts.part").alias("part"))
+    handed = over.select(F.col("item_id").alias("item_"), F.col("part").alias("part_"), F.expr("array_max(transform(filter(parts, p -> p.part < part), p -> p.last))").alias("earlier"), F.expr("array_min(transform(filter(parts, p -> p.part > part), p -> p.first))").alias("later"))
+    by_time = Window.partitionBy("part", "item_id").orderBy("at", "side")
     before = F.last("frame", ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("frame", ignorenulls=True).over(by_time.rowsBetween(1, Window.unboundedFollowing))
-    found = both.withColumn("b", before).withColumn("a", after).where("target_id is not null")
+    found = ranged.withColumn("b", before).withColumn("a", after).where("side = 1").join(F.broadcast(handed), (F.col("item_id") == F.col("item_")) & (F.col("part") == F.col("part_")), "left")
+    found = found.select("item_id", "at", "row", F.coalesce("b", "earlier").alias("b"), F.coalesce("a", "later").alias("a"))
     closer = (F.col("at") - F.col("b.s")) - (F.col("a.s") - F.col("at"))
     use_after = F.col("b").isNull() | (F.col("a").isNotNull() & ((closer >= 0) if following else (closer > 0)))
-    found = found.select("item_id", "target_id", F.when(use_after, F.col("a")).otherwise(F.col("b")).alias("frame"))
-    first = frames.groupBy("item_id").agg(F.min_by(value, F.struct(F.col("start_sec").isNull(), "start_sec", "id")).alias("first_"))
-    out = targets.withColumn("target_id", F.col("target_id").cast("string")).join(found, ["item_id", "target_id"], "left").join(first, "item_id", "left")
-    frame = F.coalesce("frame", "first_")
-    return out.select(*targets.columns, frame["id"].alias("frame_id"), frame["path"].alias("frame_path"), frame["s"].alias("frame_start"))
+    found = found.select("row", F.when(use_after, F.col("a")).otherwise(F.col("b")).alias("frame"))
+    out = found.unionByName(targets.where("at is null").select(F.struct(*targets.columns).alias("row"), empty.alias("frame")))
+    # Only rows without a frame look for their item's first; the keys of the others are spread.
+    first = frames.groupBy("item_id").agg(F.min_by(value, F.struct(F.col("start_sec").isNull(), "start_sec", "id")).alias("first_")).select(F.concat(F.lit("i"), "item_id").alias("key_"), "first_")
+    key = F.when(F.col("frame").isNull(), F.concat(F.lit("i"), F.col("row.item_id"))).otherwise(F.concat(F.lit("-"), F.xxhash64("row").cast("string")))
+    out = out.withColumn("key_", key).join(first, "key_", "left").withColumn("frame", F.coalesce("frame", "first_"))
+    return out.select("row.*", F.col("frame.id").alias("frame_id"), F.col("frame.path").alias("frame_path"), F.col("frame.s").alias("frame_start"))
 
 
 def source_label(config: str = "config", kind: str = "type") -> Column:
