@@ -313,9 +313,11 @@ def list_documents_page(spark, sf_dir):
     return LIB.page(listed, [F.desc("indexed_at"), F.asc("id")])[0].select("id", "source_id", "chunk_count", "status")
 
 
-@query("SELECT source AS id, count(*) AS n_items, 0::BIGINT AS n_failed, source AS label FROM documents GROUP BY source")
+@query("SELECT source AS id, count(*) AS n_items, count(*) FILTER (doc_id % 4 = 1) AS n_failed, source AS label FROM documents GROUP BY source")
 def source_rollup(spark, sf_dir):
-    return LIB.source_rollup(A.document_sources(spark, sf_dir), A.document_items(spark, sf_dir)).select("id", "n_items", "n_failed", "label")
+    """Items and failed items of every source; every fourth document has failed."""
+    items = A.document_items(spark, sf_dir).withColumn("status", F.when(F.col("external_id").cast("long") % 4 == 1, "failed").otherwise(F.col("status")))
+    return LIB.source_rollup(A.document_sources(spark, sf_dir), items).select("id", "n_items", "n_failed", "label")
 
 
 @query("""
@@ -442,9 +444,14 @@ def estimated_costs(spark, sf_dir):
     return H.estimate_cost(rows).select("id", F.round("estimated_usd", 9).alias("estimated_usd"))
 
 
-@query("SELECT count(*) FILTER (event_id % 2 = 0 OR event_id % 2 = 1) AS good, 0::BIGINT AS rejects FROM events")
+@query("""
+SELECT count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS rejects
+FROM (SELECT event_id % 10 = 3 OR event_id % 11 = 4 OR event_id % 13 = 5 AS bad FROM events)""")
 def validated_usage(spark, sf_dir):
-    good, bad = H.validate_usage(A.usage_events(spark, sf_dir))
+    """Events of which some have a mode, a capability or a status that is not known."""
+    rows, n = A.usage_events(spark, sf_dir), F.col("id").cast("long")
+    rows = rows.withColumns({"provider_mode": F.when(n % 10 == 3, "elsewhere").otherwise(F.col("provider_mode")), "capability": F.when(n % 11 == 4, "telepathy").otherwise(F.col("capability")), "status": F.when(n % 13 == 5, None).otherwise(F.col("status"))})
+    good, bad = H.validate_usage(rows)
     return good.agg(F.count("*").alias("good")).join(bad.agg(F.count("*").alias("rejects")))  # one row each
 
 
@@ -470,6 +477,24 @@ def discovered_items(spark, sf_dir):
     return merged.select(F.col("source_id").alias("source"), "external_id", "status")
 
 
+@query("""
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'doc-' || doc_id ELSE source || ':x' || doc_id END AS id, source, CASE WHEN doc_id % 5 = 0 THEN 'y' || doc_id ELSE doc_id::VARCHAR END AS external_id,
+       CASE WHEN doc_id % 5 = 0 AND doc_id % 4 = 2 THEN 'processing' WHEN doc_id % 5 = 0 THEN 'discovered' ELSE 'indexed' END AS status, doc_id % 5 = 0 AS changed
+FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 0""")
+def discovered_shared_paths(spark, sf_dir):
+    """Every second document is an item; a listing names each fifth one twice by its path, under two new ids one after the other."""
+    number = F.col("external_id").cast("long")
+    documents = A.document_items(spark, sf_dir).withColumn("raw_path", F.concat(F.lit("/d/"), "external_id"))
+    items = documents.where(number % 2 == 0).withColumn("discovered_at", F.lit(None).cast("long"))
+    items = items.withColumn("status", F.when((number % 5 == 0) & (number % 4 == 2), "processing").otherwise("indexed"))
+    named = documents.where(number % 5 == 0)
+    listing = lambda letter, path, ord: named.select("source_id", F.concat(F.lit(letter), "external_id").alias("external_id"), path.alias("raw_path"), "title", "content_type", F.lit(ord).alias("ord"))
+    listed = listing("x", F.col("raw_path"), 0).union(listing("y", F.concat(F.lit(" "), "raw_path"), 1))
+    merged, changed = upsert_discovered(items, listed, items.limit(0).select("source_id", "external_id", "raw_path"), NOW)
+    moved = changed.select(F.col("item_id").alias("id"), F.lit(True).alias("changed"))
+    return merged.join(moved, "id", "left").select("id", F.col("source_id").alias("source"), "external_id", "status", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
 @query("SELECT 'doc-' || doc_id || ':unit:000000' AS unit_id FROM documents WHERE regexp_replace(text, '[\\s\\p{Z}]+', '', 'g') <> ''")
 def searchable_units(spark, sf_dir):
     return L.searchable_units(_units(spark, sf_dir), A.document_items(spark, sf_dir)).select("unit_id")
