@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..functions.text import clamp, clock, inferred_preference, limited, or_null, parsed_query, scored_by
 from .lexical import hinted, pool, top
 from .units import effective_times, interval_overlap_join, nearest_frame_asof, overlaps
@@ -42,7 +43,10 @@ def hydrate(hits: DataFrame, units: DataFrame, items: DataFrame, searchable: Dat
         hits = hits.join(searchable.select("unit_id"), "unit_id", "left_semi")
     of_unit = units.select(F.col("id").alias("unit_id"), "item_id", "unit_kind", "start_sec", "end_sec", "content_text", "transcript_text", "ocr_text", "visual_text", "summary_text", "representative_chunk_id", "representative_frame_path", F.col("metadata").alias("unit_metadata"))
     of_item = items.select(F.col("id").alias("item_id"), "source_id", F.col("title").alias("item_title"), F.col("content_type").alias("item_content_type"), "indexed_at", "raw_path", F.col("duration_sec").alias("item_duration"))
-    out = hits.join(of_unit, "unit_id").join(of_item, "item_id")
+    out = of_unit.join(hinted(stored(hits)), "unit_id")  # few hits come to the units, not the texts to them
+    out = stored(out)
+    met = stored(of_item.join(hinted(out.select("item_id").distinct()), "item_id", "left_semi"))
+    out = out.join(hinted(met), "item_id")
     return out.withColumn("chunk_type", F.when(F.col("unit_kind") == "summary", "understanding").otherwise(F.col("unit_kind"))).withColumn("playback_chunk_id", F.coalesce("representative_chunk_id", "unit_id"))
 
 
