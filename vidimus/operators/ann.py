@@ -35,12 +35,14 @@ ASKED = 100
 
 
 class InvertedFile(NamedTuple):
-    """path holds vectors and tiles, by list; centres have length 1; steps: of each dimension's code; probes: lists that the wanted recall took."""
+    """path holds vectors and tiles, by list; centres have length 1; steps: of each dimension's code; probes: lists that the wanted recall
+    took; key: the type of point_key."""
 
     path: str
     centres: np.ndarray
     steps: np.ndarray
     probes: int
+    key: str
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -168,12 +170,11 @@ def inverted_file(vectors: DataFrame, lists: int | None = None, sample: int = 50
     dealt.repartition("list", "salt").drop("salt").sortWithinPartitions("list", "point_key").write.partitionBy("list").parquet(f"{path}/vectors")
     held = spark.read.schema(f"point_key {kind.simpleString()}, vector array<float>, code binary, list int").parquet(f"{path}/vectors")
     held.select("list", "point_key", "code").mapInArrow(_tiles(to_arrow_type(kind)), f"list int, keys array<{kind.simpleString()}>, codes binary").write.partitionBy("list").parquet(f"{path}/tiles")
-    rows.select("point_key").limit(0).write.parquet(f"{path}/kind")
     spark.createDataFrame([(i, c.tolist(), int(n)) for i, (c, n) in enumerate(zip(centres, sizes, strict=True))], "list int, centre array<double>, sampled long").write.parquet(f"{path}/centres")
-    index = InvertedFile(path, centres, steps, len(centres))
+    index = InvertedFile(path, centres, steps, len(centres), kind.simpleString())
     if there:
         index = index._replace(probes=probes_for(index, rows, recall))
-    spark.createDataFrame([(steps.tolist(), index.probes)], "steps array<double>, probes int").write.parquet(f"{path}/about")
+    spark.createDataFrame([(steps.tolist(), index.probes, index.key)], "steps array<double>, probes int, key string").write.parquet(f"{path}/about")
     return index
 
 
@@ -181,7 +182,7 @@ def open_inverted_file(spark: SparkSession, path: str) -> InvertedFile:
     """An index that was stored before."""
     centres = np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("list").collect()])
     about = spark.read.parquet(f"{path}/about").first()
-    return InvertedFile(path, centres, np.array(about.steps), about.probes)
+    return InvertedFile(path, centres, np.array(about.steps), about.probes, about.key)
 
 
 def _tiles(key: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -277,23 +278,21 @@ def ann_topk(queries: DataFrame, vectors: DataFrame | None, k: int = 10, lists:
     """
     index = index or inverted_file(vectors, lists)
     spark, probes, pool = queries.sparkSession, min(probes or index.probes, len(index.centres)), pool or 20 * k
-    query_kind = queries.schema["query_id"].dataType
-    key_kind = spark.read.parquet(f"{index.path}/kind").schema["point_key"].dataType
+    query_kind, key = queries.schema["query_id"].dataType, index.key
     # With the schemas given, no file of a list is opened to find them.
-    tiles = spark.read.schema(f"keys array<{key_kind.simpleString()}>, codes binary, list int").parquet(f"{index.path}/tiles")
-    held = spark.read.schema(f"point_key {key_kind.simpleString()}, vector array<float>, list int").parquet(f"{index.path}/vectors")
-    types = [to_arrow_type(query_kind), to_arrow_type(key_kind)]
+    tiles = spark.read.schema(f"keys array<{key}>, codes binary, list int").parquet(f"{index.path}/tiles")
+    held = spark.read.schema(f"point_key {key}, vector array<float>, list int").parquet(f"{index.path}/vectors")
+    types = [to_arrow_type(query_kind), to_arrow_type(held.schema["point_key"].dataType)]
     asked = stored(queries.select("query_id", F.col("query_vector").cast("array<float>").alias("query_vector")).where("query_vector is not null"))
-    blocks = stored(asked.mapInArrow(_probed(index, probes, types[0]), f"list int, ids array<{query_kind.simpleString()}>, queries binary"))
-    size = blocks.agg(F.sum(F.length("queries"))).first()[0] or 0
+    n = asked.count()
+    few_queries, few_pairs = n * probes * index.centres.shape[1] * 4 <= HINT_BYTES, n * pool <= HINT_ROWS
+    blocks = asked.mapInArrow(_probed(index, probes, types[0]), f"list int, ids array<{query_kind.simpleString()}>, queries binary")
     # The condition on the list tells Spark that the join is worth a look before the partitions are listed.
     blocks = blocks.where("list >= 0")
-    met = tiles.join(F.broadcast(blocks) if size <= HINT_BYTES else blocks, "list").select("list", "ids", "queries", "keys", "codes")
-    found = met.mapInArrow(_pooled(index, pool, types), f"query_id {query_kind.simpleString()}, list int, point_key {key_kind.simpleString()}, similarity double")
+    met = tiles.join(F.broadcast(blocks) if few_queries else blocks, "list").select("list", "ids", "queries", "keys", "codes")
+    found = met.mapInArrow(_pooled(index, pool, types), f"query_id {query_kind.simpleString()}, list int, point_key {key}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "point_key")
-    pooled = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pool).select("query_id", "list", "point_key").distinct())
-    few = pooled.count() <= HINT_ROWS
-    pooled = pooled.where("list >= 0")
-    pairs = held.join(F.broadcast(pooled) if few else pooled, ["list", "point_key"]).join(F.broadcast(asked) if size <= HINT_BYTES else asked, "query_id")
-    exact = pairs.select("query_id", "point_key", "query_vector", "vector").mapInArrow(_compared, f"query_id {query_kind.simpleString()}, point_key {key_kind.simpleString()}, similarity double")
+    pooled = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pool).select("query_id", "list", "point_key").distinct()).where("list >= 0")
+    pairs = held.join(F.broadcast(pooled) if few_pairs else pooled, ["list", "point_key"]).join(F.broadcast(asked) if few_queries else asked, "query_id")
+    exact = pairs.select("query_id", "point_key", "query_vector", "vector").mapInArrow(_compared, f"query_id {query_kind.simpleString()}, point_key {key}, similarity double")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
