@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +20,7 @@ from ..operators import units as C
 from ..operators import vectors as V
 from ..sources import discovery as D
 from ..sources.feeds import feed_summary, parse_feeds
-from ..sources.files import scan_files
+from ..sources.files import BUDGET, extract_office_text, scan_files, split_documents
 from ..sources.urls import classify_source_urls, select_source_url
 from . import adapters as A
 from .queries import FRAMES_SQL, NOW, TOKENS_SQL, _index, _units, query
@@ -117,6 +122,40 @@ def published_tables(spark, sf_dir):
     return units.groupBy(F.col("index_version").cast("int").alias("index_version")).agg(F.count("*").alias("units")).join(items.agg(F.count("*").alias("items")))  # one row each
 
 
+def _office(parts):
+    """Office files of documents: a docx of one paragraph a line, a pptx of one slide a line; every tenth file is cut off."""
+    for pdf in parts:
+        files = []
+        for n, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            held, made = io.BytesIO(), [f"<a:p><a:r><a:t>{escape(line)}</a:t></a:r></a:p>" for line in (text or "").split("\n")]
+            pages = {"word/document.xml": "".join(made)} if n % 2 == 0 else {f"ppt/slides/slide{k + 1}.xml": x for k, x in enumerate(made)}
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, body in reversed(pages.items()):
+                    z.writestr(name, f'<a:x xmlns:a="urn:a">{body}</a:x>')
+            files.append((f"/{n}.{'docx' if n % 2 == 0 else 'pptx'}", held.getvalue()[: 20 if n % 10 == 7 else None]))
+        yield pd.DataFrame(files, columns=["path", "content"])
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 7)
+SELECT '/' || doc_id || '.docx' AS path, 1::BIGINT AS page, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10))) AS digest, false AS bad FROM d WHERE doc_id % 2 = 0
+UNION ALL SELECT '/' || doc_id || '.pptx', page, md5(trim(line)), false FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM d WHERE doc_id % 2 = 1)
+UNION ALL SELECT '/' || doc_id || '.pptx', NULL, NULL, true FROM documents WHERE doc_id % 10 = 7""")
+def office_text(spark, sf_dir):
+    """Every document as an office file and its text found again, by page; files that are cut off are named."""
+    files = A.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_office, "path string, content binary")
+    return extract_office_text(files).select("path", "page", F.md5("text").alias("digest"), F.col("error").isNotNull().alias("bad"))
+
+
+@query(r"""
+SELECT 'doc-' || doc_id AS item_id, md5(regexp_replace(text, '\s+', '', 'g')) AS digest, true AS within, 1::BIGINT AS first_page FROM documents WHERE regexp_replace(text, '\s+', '', 'g') <> ''""")
+def split_documents_whole(spark, sf_dir):
+    """The pieces of every document, put together again: nothing but white space is lost, and no piece is longer than a chunk may be."""
+    docs = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("item_id"), F.lit(1).alias("page"), "text")
+    pieces = split_documents(docs).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda p: p["text"]), "").alias("whole"), F.max(F.length("text")).alias("longest"), F.min("page").alias("first_page"))
+    return pieces.select("item_id", F.md5(F.regexp_replace("whole", r"[ \t\n\f\r]+", "")).alias("digest"), (F.col("longest") <= BUDGET).alias("within"), "first_page")
+
+
 # B
 
 @query("SELECT item_id, turn FROM (SELECT 'conv-' || conv_id AS item_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role")
