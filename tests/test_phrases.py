@@ -72,3 +72,18 @@ def test_the_commonest_word_stores_no_places(spark, monkeypatch):
     monkeypatch.setattr(L, "stored", counting)
     assert L.bm25_scores(queries, units).count() == 100
     assert max(kept) <= 101
+
+
+def test_texts_meet_queries_in_the_tasks_that_read_them(spark, monkeypatch):
+    """Queries of common words alone: no pair of a text and a query is joined, and small portions and blocks give the same pairs."""
+    asked, told = corpus()
+    monkeypatch.setattr(L, "WANTED_BYTES", 60)
+    monkeypatch.setattr(L, "PAIRS", 7)
+    units = spark.createDataFrame(told, "unit_id string, text string")
+    wanted = spark.createDataFrame([(k, [["w0"], ["w1", "w0"]], "w1") for k in range(9)] + [(9, [["w2"]], "w2")], "key int, phrases array<array<string>>, term string")
+    found = L._holding(wanted, units)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    got = {(r.key, r.unit_id): r.tf for r in found.collect()}
+    words = {i: [t.lower() for t in TOKEN.findall(text or "")] for i, text in told}
+    pairs = {i: [t.count("w0"), sum(t[k : k + 2] == ["w1", "w0"] for k in range(len(t)))] for i, t in words.items()}
+    assert got == {(k, i): n for i, n in pairs.items() if all(n) for k in range(9)} | {(9, i): [t.count("w2")] for i, t in words.items() if "w2" in t}
