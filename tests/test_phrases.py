@@ -75,10 +75,9 @@ def test_the_commonest_word_stores_no_places(spark, monkeypatch):
 
 
 def test_texts_meet_queries_in_the_tasks_that_read_them(spark, monkeypatch):
-    """Queries of common words alone: no pair of a text and a query is joined, and small portions and blocks give the same pairs."""
+    """Queries of common words alone: no pair of a text and a query is joined, and small blocks of queries give the same pairs."""
     asked, told = corpus()
     monkeypatch.setattr(L, "WANTED_BYTES", 60)
-    monkeypatch.setattr(L, "PAIRS", 7)
     units = spark.createDataFrame(told, "unit_id string, text string")
     wanted = spark.createDataFrame([(k, [["w0"], ["w1", "w0"]], "w1") for k in range(9)] + [(9, [["w2"]], "w2")], "key int, phrases array<array<string>>, term string")
     found = L._holding(wanted, units)

@@ -6,11 +6,11 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import shared_path, stored, stored_as
+from ..functions.tables import portions, shared_path, stored, stored_as, text_batches
 from ..operators import chunks as B
 from ..operators import evidence as E
 from ..operators import lexical as L
@@ -122,18 +122,18 @@ def published_tables(spark, sf_dir):
     return units.groupBy(F.col("index_version").cast("int").alias("index_version")).agg(F.count("*").alias("units")).join(items.agg(F.count("*").alias("items")))  # one row each
 
 
-def _office(parts):
+def _office(batches):
     """Office files of documents: a docx of one paragraph a line, a pptx of one slide a line; every tenth file is cut off."""
-    for pdf in parts:
+    for batch in portions(batches, "text"):
         files = []
-        for n, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held, made = io.BytesIO(), [f"<a:p><a:r><a:t>{escape(line)}</a:t></a:r></a:p>" for line in (text or "").split("\n")]
             pages = {"word/document.xml": "".join(made)} if n % 2 == 0 else {f"ppt/slides/slide{k + 1}.xml": x for k, x in enumerate(made)}
             with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
                 for name, body in reversed(pages.items()):
                     z.writestr(name, f'<a:x xmlns:a="urn:a">{body}</a:x>')
             files.append((f"/{n}.{'docx' if n % 2 == 0 else 'pptx'}", held.getvalue()[: 20 if n % 10 == 7 else None]))
-        yield pd.DataFrame(files, columns=["path", "content"])
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.binary())], names=["path", "content"])
 
 
 @query("""
@@ -143,7 +143,7 @@ UNION ALL SELECT '/' || doc_id || '.pptx', page, md5(trim(line)), false FROM (SE
 UNION ALL SELECT '/' || doc_id || '.pptx', NULL, NULL, true FROM documents WHERE doc_id % 10 = 7""")
 def office_text(spark, sf_dir):
     """Every document as an office file and its text found again, by page; files that are cut off are named."""
-    files = A.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_office, "path string, content binary")
+    files = text_batches(A.table(spark, sf_dir, "documents")).select("doc_id", "text").mapInArrow(_office, "path string, content binary")
     return extract_office_text(files).select("path", "page", F.md5("text").alias("digest"), F.col("error").isNotNull().alias("bad"))
 
 
@@ -751,7 +751,7 @@ def published_generation(spark, sf_dir):
 def hybrid_search_hits(spark, sf_dir):
     """The whole search over all conversations for every first turn: vectors and words fused, ranked and collapsed, with the row that plays and its frame."""
     items = A.media_items(spark, sf_dir)
-    chunks = A.media_chunks(spark, sf_dir).unionByName(_ocr(spark, sf_dir), allowMissingColumns=True)
+    chunks = stored(A.media_chunks(spark, sf_dir).unionByName(_ocr(spark, sf_dir), allowMissingColumns=True))
     named = items.select("id", F.col("title").alias("item_title"), F.lit("talks").alias("source_label"))
     units = stored(C.build_timed_units(named, chunks))
     embedder = lambda: V.hashing_embedder(64)

@@ -8,10 +8,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import portions, text_batches
+
 # Extensions by kind, and folders that are never entered.
 EXTENSIONS = {
     "video": ("mp4", "mov", "m4v", "mkv", "webm", "avi"),
@@ -103,14 +105,15 @@ def split_text(text: str | None) -> list[tuple[str, str | None]]:
 
 
 def split_documents(docs: DataFrame) -> DataFrame:
-    """(item_id, ord, page, text, section) of docs (item_id, page, text); one Arrow pass, nothing is shuffled."""
+    """(item_id, ord, page, text, section) of docs (item_id, page, text); one Arrow pass in portions of a bounded size, nothing is shuffled."""
+    schema = pa.schema([("item_id", pa.string()), ("ord", pa.int32()), ("page", pa.int64()), ("text", pa.string()), ("section", pa.string())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(i, k, p, t, s) for i, p, x in zip(pdf["item_id"], pdf["page"], pdf["text"], strict=True) for k, (t, s) in enumerate(split_text(x))]
-            yield pd.DataFrame(rows, columns=["item_id", "ord", "page", "text", "section"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text"):
+            rows = [(i, k, p, t, s) for i, p, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (t, s) in enumerate(split_text(x))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, schema.types, strict=True)], schema=schema)
 
-    return docs.select("item_id", F.col("page").cast("long"), "text").mapInPandas(run, "item_id string, ord int, page long, text string, section string")
+    return text_batches(docs).select(F.col("item_id").cast("string").alias("item_id"), F.col("page").cast("long").alias("page"), "text").mapInArrow(run, "item_id string, ord int, page long, text string, section string")
 
 
 def _named(tag: str) -> str:
@@ -143,20 +146,22 @@ def office_pages(name: str, content: bytes) -> list[tuple[int, str]]:
 
 
 def extract_office_text(files: DataFrame) -> DataFrame:
-    """A10: (path, page, text, error) of a binaryFile table; a bad or oversized file is one row with its error."""
+    """A10: (path, page, text, error) of a binaryFile table, a batch a file; a bad or oversized file is one row with its error."""
+    schema = pa.schema([("path", pa.string()), ("page", pa.int64()), ("text", pa.string()), ("error", pa.string())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows: list[tuple] = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "content"):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                name = path.as_py()
                 try:
-                    rows += [(path, page, text, None) for page, text in office_pages(path, bytes(content))]
+                    rows = [(name, page, text, None) for page, text in office_pages(name, content.as_py())]
                 except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as e:
-                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
+                    rows = [(name, None, None, f"{type(e).__name__}: {e}")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
     office = F.lower("path").rlike(r"\.(docx|pptx)$")
-    return files.where(office).select("path", "content").mapInPandas(run, "path string, page long, text string, error string")
+    return text_batches(files).where(office).select("path", "content").mapInArrow(run, "path string, page long, text string, error string")
 
 
 def rejects(df: DataFrame, error: Column | str = "error") -> tuple[DataFrame, DataFrame]:
