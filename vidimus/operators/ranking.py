@@ -93,13 +93,14 @@ def placeholder() -> Column:
 def best_row(hits: DataFrame, rows: DataFrame, rank: Column, fallback: Column, name: str, meets: Callable[..., Column] = overlaps) -> DataFrame:
     """Of the rows that meet each hit the one with the best text score, ties by rank; if none answers, the first by fallback.
 
-    hits: query_id, unit_id, q, item_id, start_sec, end_sec.
+    hits: query_id, unit_id, q, item_id, start_sec, end_sec. Both sides of the interval join and its result are stored: the join reads each
+    side many times, and a plan that holds them all as often takes the driver minutes.
     """
-    windows = hits.select("item_id", "query_id", "unit_id", parsed_query("q").alias("parsed_"), F.col("start_sec").alias("window_start"), F.col("end_sec").alias("window_end"))
-    met = interval_overlap_join(rows.withColumn("rank_", rank).withColumn("fallback_", fallback), windows, meets=meets)
+    windows = stored(hits.select("item_id", "query_id", "unit_id", parsed_query("q").alias("parsed_"), F.col("start_sec").alias("window_start"), F.col("end_sec").alias("window_end")))
+    met = interval_overlap_join(stored(rows.withColumn("rank_", rank).withColumn("fallback_", fallback)), windows, meets=meets)
     met = met.withColumn("score_", scored_by(F.col("text"), F.col("parsed_")))
     order = Window.partitionBy("query_id", "unit_id").orderBy(F.desc("score_"), F.when(F.col("score_") > 0, F.col("rank_")).otherwise(F.col("fallback_")))
-    best = met.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("query_id", "unit_id", F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_row_text"), F.col("eff_start").alias(f"{name}_start"))
+    best = stored(met.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("query_id", "unit_id", F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_row_text"), F.col("eff_start").alias(f"{name}_start")))
     return hits.join(best, ["query_id", "unit_id"], "left")
 
 
@@ -138,7 +139,7 @@ def with_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     A hit whose on-screen or visual text answers plays from its best visual row, one whose transcript answers from its best
     spoken line, others from the unit's representative.
     """
-    found = with_best_field(hits).withColumn("field_", F.col("best_.field"))
+    found = stored(with_best_field(hits).withColumn("field_", F.col("best_.field")))
     keys, asked = ["query_id", "unit_id"], ("query_id", "unit_id", "q", "item_id", "start_sec", "end_sec")
     seen = best_visual_row(found.where(F.col("field_").isin("ocr", "visual")).select(*asked), chunks).select(*keys, F.col("visual_id").alias("row_id"), F.col("visual_start").alias("row_start"))
     said = best_spoken_line(found.where("field_ = 'transcript'").select(*asked), chunks).select(*keys, F.col("spoken_id").alias("row_id"), F.col("spoken_start").alias("row_start"))
