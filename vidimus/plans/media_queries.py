@@ -723,7 +723,7 @@ def lexical_only_scores(spark, sf_dir):
     vectors = A.unit_vectors(spark, sf_dir)
     queries = A.vector_queries(spark, sf_dir)
     near = V.vector_topk(queries, vectors, 10).join(vectors.select("point_key", "unit_id"), "point_key").select("query_id", "unit_id")
-    hits = queries.select("query_id").join(F.broadcast(vectors.where("point_key % 11 = 0").select("unit_id", (F.col("point_key") % 4 == 0).alias("exact_match"))))
+    hits = vectors.where("point_key % 11 = 0").select("unit_id", (F.col("point_key") % 4 == 0).alias("exact_match")).crossJoin(V.query_lists(queries))
     found = V.score_lexical_only(hits, near, queries, vectors.where("point_key % 22 <> 0"))
     return found.select("query_id", F.regexp_extract("unit_id", r"(\d+)$", 1).cast("long").alias("point_key"), F.round("score", 6).alias("score"))
 
