@@ -32,9 +32,9 @@ def limited(c: Column | str, n: int) -> Column:
 
 
 def ellipsis(c: Column | str, n: int) -> Column:
-    """Collapsed; beyond n characters cut to n with three dots."""
-    text = collapsed(c)
-    return F.when(F.length(text) > n, F.concat(F.rtrim(F.left(text, F.lit(n))), F.lit("..."))).otherwise(text)
+    """Collapsed, once; beyond n characters cut to n with three dots."""
+    cut = lambda t: F.when(F.length(t) > n, F.concat(F.rtrim(F.left(t, F.lit(n))), F.lit("..."))).otherwise(t)
+    return F.transform(F.array(collapsed(c)), cut)[0]
 
 
 def ascii_lower(c: Column | str) -> Column:

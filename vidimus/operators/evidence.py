@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..functions.text import clock, ellipsis, json_number, or_null, slug
+from .lexical import hinted
 
 SNIPPET, QUOTE = 360, 240
 IMAGE_SECONDS, SHORTEST = 4.0, 0.25
+NOT_BLANK = r"[^\s\p{Z}]"
 
 
 def evidence_kind() -> Column:
@@ -32,10 +35,17 @@ def enrich_hits(hits: DataFrame, sources: DataFrame, listing: DataFrame | None =
 
 
 def extractive_answer(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, answer, citations): the first three quotes as sentences; queries without evidence say so. hits are enriched."""
+    """(query_id, answer, citations): the first three quotes as sentences; queries without evidence say so. hits are enriched.
+
+    Which hits are cited is told by narrow rows first; only their sentences are made and sorted.
+    """
+    blank = ~F.coalesce(F.col("quote").rlike(NOT_BLANK), F.lit(False))
+    first = hits.where(~blank).select(F.col("query_id").alias("query_"), F.col("rank").alias("rank_"), F.col("unit_id").alias("unit_"))
+    first = stored(first.withColumn("n_", F.row_number().over(Window.partitionBy("query_").orderBy("rank_", "unit_"))).where("n_ <= 3").drop("n_"))
     place = F.when(F.col("evidence_kind") == "document", F.concat_ws(", ", F.when(F.col("page").isNotNull(), F.concat(F.lit("p. "), F.col("page").cast("string"))), "section")).otherwise(F.col("time_label"))
-    cited = hits.where(or_null("quote").isNotNull()).select("query_id", F.struct("rank", "unit_id", F.concat(F.col("item_title"), F.when(or_null(place).isNotNull(), F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(F.lit("")), F.lit(": "), F.col("quote")).alias("sentence")).alias("c"))
-    cited = cited.withColumn("n_", F.row_number().over(Window.partitionBy("query_id").orderBy("c"))).where("n_ <= 3").groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    same = (F.col("query_id") == F.col("query_")) & F.col("rank").eqNullSafe(F.col("rank_")) & F.col("unit_id").eqNullSafe(F.col("unit_"))
+    cited = hits.join(hinted(first), same, "left_semi").select("query_id", F.struct(blank.alias("blank"), "rank", "unit_id", F.concat(F.col("item_title"), F.when(or_null(place).isNotNull(), F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(F.lit("")), F.lit(": "), F.col("quote")).alias("sentence")).alias("c"))
+    cited = cited.withColumn("n_", F.row_number().over(Window.partitionBy("query_id").orderBy("c"))).where("n_ <= 3 AND NOT c.blank").groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     zh = F.coalesce(F.lower("locale").startswith("zh"), F.lit(False))
     none = F.when(zh, "没有找到相关证据。").otherwise("No evidence was found for this query.")
     intro = F.when(zh, "根据资料：").otherwise("From your library: ")

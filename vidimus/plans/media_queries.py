@@ -369,14 +369,15 @@ def _hits(spark, sf_dir):
     text, vector = n % 3 != 0, (n % 2 == 0) | (n % 3 == 0)
     start = F.when(n % 11 != 0, (n % 200) * 3.0)
     name = lambda p, k: F.concat(F.lit(p), (n % k).cast("string"))
-    e = A.table(spark, sf_dir, "events")
+    by_user = Window.partitionBy("user_id").orderBy("event_id")
+    e = A.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").withColumn("rank", F.row_number().over(by_user))  # before the rows get wide
     return e.select(
         F.col("user_id").alias("query_id"), "event_id", F.concat(F.lit("e-"), n.cast("string")).alias("unit_id"), name("i-", 50).alias("item_id"), F.concat(F.lit("Item "), (n % 50).cast("string")).alias("item_title"), name("s-", 7).alias("source_id"), name("p-", 97).alias("playback_chunk_id"),
         F.when(F.col("event_type") == "click", "transcript").when(F.col("event_type") == "view", "moment").when(F.col("event_type") == "purchase", "document").when(F.col("event_type") == "signup", "keyframe").otherwise("understanding").alias("chunk_type"),
         _pick(n % 50, "video", "audio", "image", "document").alias("item_content_type"), _pick(n % 50, "video", "audio", "image", "document").alias("modality"), start.alias("start_sec"), F.when(n % 5 != 0, start + n % 9).alias("end_sec"),
         ((n * 37 % 1000) / 1000).alias("score"), (text & (n % 17 == 0)).alias("exact_match"), text.alias("has_text"), vector.alias("has_vector"), F.when(vector, (n * 53 % 1000) / 1000).alias("similarity"),
         _pick(F.col("user_id"), "smart", "video", "audio", "image", "document").alias("preference"), F.when(n % 13 != 0, name("/m/", 50)).alias("raw_path"), F.when(n % 5 == 0, "c").alias("clip_path"), F.when(n % 4 == 0, "v").alias("preview_path"), (n % 50 + 1_000).alias("indexed_at"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"), F.repeat(F.concat(F.lit("lorem "), n.cast("string"), F.lit("  ")), (n % 70).cast("int")).alias("snippet"), F.when(n % 4 == 0, F.format_string('{"page":%d,"section":" S%d "}', n % 20, n % 3)).alias("unit_metadata"),
+        "rank", F.repeat(F.concat(F.lit("lorem "), n.cast("string"), F.lit("  ")), (n % 70).cast("int")).alias("snippet"), F.when(n % 4 == 0, F.format_string('{"page":%d,"section":" S%d "}', n % 20, n % 3)).alias("unit_metadata"),
     )
 
 
