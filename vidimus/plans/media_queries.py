@@ -472,8 +472,7 @@ def filtered_hits(spark, sf_dir):
 @query(TOKENS_SQL + "x AS (SELECT term, count(*) AS n, count(DISTINCT unit_id) AS units, sum(pos - 1)::BIGINT AS places, sum(dl)::BIGINT AS lengths FROM p GROUP BY term) SELECT * FROM x")
 def postings_by_term(spark, sf_dir):
     """Every term of the index, with its postings summed up."""
-    postings = L.build_postings(_index(spark, sf_dir))
-    return postings.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("units"), F.sum(F.col("position").cast("long")).alias("places"), F.sum(F.col("doc_len").cast("long")).alias("lengths"))
+    return L.term_totals(_index(spark, sf_dir))
 
 
 @query(r"""
