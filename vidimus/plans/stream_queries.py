@@ -21,6 +21,8 @@ from .queries import NOW, query
 
 #: Rows of each text file that stands for a document on disk, at most.
 RECORDS = 50
+#: Rows of a stream for each partition of its state, where that is more than a partition a core.
+STATE_ROWS = 1_000_000
 
 
 def _run(waves: list[Callable[[], None]], start: Callable[[], StreamingQuery]) -> None:
@@ -43,18 +45,19 @@ def usage_of_streamed_days(spark, sf_dir):
     close the last days.
     """
     base, rows = shared_path(spark), A.usage_events(spark, sf_dir).where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
-    first = rows.agg(F.date_trunc("day", F.min("ts")).alias("d")).first().d  # one row
+    first, n = rows.agg(F.date_trunc("day", F.min("ts")), F.count("*")).first()  # one row
+    parts = max(spark.sparkContext.defaultParallelism, n // STATE_ROWS + 1)
     number, place = F.col("id").cast("long"), F.datediff("ts", F.lit(first))
     wave = F.least(F.floor(place / 10), F.lit(2))
     evening = (place % 10 == 9) & (F.hour("ts") >= 12) & (number % 7 == 0)
     wave = F.when((number % 11 == 0) & (place < 5), 2).otherwise(F.least(wave + F.when(evening, 1).otherwise(0), F.lit(2)))
     again = (number % 5 == 0) & (wave == 1)
-    parts = [rows.where(wave == 0), rows.where(wave == 1), rows.where((wave == 2) | again)]
+    came = [rows.where(wave == 0), rows.where(wave == 1), rows.where((wave == 2) | again)]
     ends = [rows.limit(1).withColumns({"ts": F.lit(first) + F.expr("interval 1000 days"), "id": F.lit(f"end-{k}")}) for k in range(2)]
     source = lambda: spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     write = lambda part: lambda: part.write.mode("append").parquet(f"{base}/in")
-    waves = [write(p) for p in (*parts, *ends)]
-    _run(waves, lambda: streams.to_files(streams.usage_stream(source(), "1 day", "1 day", "id"), f"{base}/out", f"{base}/checkpoint"))
+    waves = [write(p) for p in (*came, *ends)]
+    _run(waves, lambda: streams.to_files(streams.usage_stream(source(), "1 day", "1 day", "id"), f"{base}/out", f"{base}/checkpoint", parts))
     days = spark.read.parquet(f"{base}/out")
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "events", "input_tokens", F.round("estimated_usd", 4).alias("estimated_usd"), "unpriced_events")
 

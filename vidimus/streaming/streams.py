@@ -71,9 +71,20 @@ def usage_stream(events: DataFrame, window: str = "1 day", late: str = "1 hour",
     return events.groupBy(F.window("ts", window).alias("w")).agg(*measures()).select(F.col("w.start").alias("day"), "*").drop("w")
 
 
-def to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append mode to Parquet files; what is there is taken and the query ends. Started again, it goes on where it ended."""
-    return df.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_files(df: DataFrame, path: str, checkpoint: str, parts: int | None = None) -> StreamingQuery:
+    """Append mode to Parquet files; what is there is taken and the query ends. Started again, it goes on where it ended.
+
+    parts: partitions of the stream's state, fixed by its first start, as each is read and written in every batch, however few rows
+    come; else as many as the session's shuffles have.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    try:
+        if parts is not None:
+            conf.set(name, str(parts))
+        return df.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
