@@ -7,6 +7,7 @@ a pair is kept only in the first bin that both sides share, so nothing needs to
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,7 @@ def interval_overlap_join(rows: DataFrame, windows: DataFrame, times: tuple[str,
 
     Short rows meet short windows in their bins. Longer ones are laid out in dyadic nodes, a few a level, and meet the others of
     their items there. Only rows and windows without a start meet an item's whole other side, as all of those pairs count.
+    Which of these there are is looked up first, in one pass over both sides: a join of none is left out, as each costs the driver a dozen stages.
     """
     bin_of = lambda t: F.floor(t / width)
     ls, le, rs, re = *(F.col(c) for c in times), *(F.col(c) for c in by)
@@ -111,10 +113,20 @@ def interval_overlap_join(rows: DataFrame, windows: DataFrame, times: tuple[str,
     dealt = cut.where(narrow).withColumn("bin_w_", F.explode(F.sequence("first_", "last_")))
     near = binned.join(dealt, same & (F.col("bin_") == F.col("bin_w_")) & (F.col("bin_") == F.greatest("low_", "first_")) & met).drop("bin_", "bin_w_")
     long, broad = placed.where(~short), cut.where(~narrow)
+    none = F.lit(None).cast("boolean")
+    kinds = rows.select((~short).alias("long"), ls.isNull().alias("open"), none.alias("broad"), none.alias("endless")).unionByName(windows.select(none.alias("long"), none.alias("open"), (~narrow).alias("broad"), rs.isNull().alias("endless")))
+    there = kinds.agg(*(F.bool_or(c).alias(c) for c in kinds.columns)).first()
     among = lambda df, mine, other, theirs: df.join(other.select(F.col(theirs).alias("among_")).distinct(), F.col(mine) == F.col("among_"), "left_semi")
-    far = _far(long, among(cut, "item_", long, "item_id"), same, met).unionByName(_far(among(placed.where(short), "item_id", broad, "item_"), broad, same, met))
-    whole = rows.where(ls.isNull()).join(windows, same & met).unionByName(placed.join(windows.where(rs.isNull()), same & met))
-    return near.unionByName(far).unionByName(whole).drop("item_", "low_", "high_", "first_", "last_")
+    met_by = [near]
+    if there.long:
+        met_by.append(_far(long, among(cut, "item_", long, "item_id"), same, met))
+    if there.broad:
+        met_by.append(_far(among(placed.where(short), "item_id", broad, "item_"), broad, same, met))
+    if there.open:
+        met_by.append(rows.where(ls.isNull()).join(windows, same & met))
+    if there.endless:
+        met_by.append(placed.join(windows.where(rs.isNull()), same & met))
+    return reduce(DataFrame.unionByName, met_by).drop("item_", "low_", "high_", "first_", "last_")
 
 
 def window_grid(chunks: DataFrame) -> DataFrame:

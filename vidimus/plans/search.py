@@ -9,7 +9,7 @@ from ..functions.tables import stored
 from ..functions.text import or_null
 from ..operators import ranking as R
 from ..operators.jobs import items_needing_rebuild
-from ..operators.lexical import bm25_search, hinted, lexical_candidates, literal_search, pool, searchable_units, top
+from ..operators.lexical import LARGEST_POOL, bm25_search, hinted, lexical_candidates, literal_search, pool, searchable_units, top
 from ..operators.vectors import score_lexical_only, vector_topk
 
 
@@ -26,10 +26,8 @@ def hybrid_search(queries: DataFrame, units: DataFrame, items: DataFrame, vector
     queries = asked(queries)
     ready = searchable_units(units, items)
     with_vector = queries.where("query_vector is not null")
-    pools = with_vector.select("query_id", "query_vector")
-    widest = 200  # four times the largest limit
-    near = vector_topk(pools, vectors.join(ready, "unit_id", "left_semi"), widest, metric)
-    near = near.join(vectors.select("point_key", "unit_id"), "point_key").groupBy("query_id", "unit_id").agg(F.max("similarity").alias("similarity"))
+    points = near_points(with_vector, vectors.join(ready, "unit_id", "left_semi"), metric)
+    near = points.groupBy("query_id", "unit_id").agg(F.max("similarity").alias("similarity"))
     near = stored(top(near.join(hinted(queries.select("query_id", pool().alias("pool_"))), "query_id"), F.col("pool_"), F.desc("similarity"), F.asc("unit_id")).drop("pool_", "rank"))
     words = stored(lexical_candidates(queries, units, ready))
     scored = score_lexical_only(words, near, queries, vectors, metric).select("query_id", "unit_id", "exact_match", "score")
@@ -37,6 +35,17 @@ def hybrid_search(queries: DataFrame, units: DataFrame, items: DataFrame, vector
     return ranked(R.fuse_candidates(scored.unionByName(both), near, queries), queries, units, items, ready, chunks)
 
 
+def near_points(queries: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
+    """(query_id, unit_id, similarity) of the points nearest to each query, ties by unit: as many as surely hold the units of its pool, at most LARGEST_POOL.
+
+    Of a pool's last unit the best point comes after points of better units only. Vectors are dealt to a task a core.
+    """
+    held = stored(vectors.select(F.col("unit_id").alias("point_key"), "vector").repartition(vectors.sparkSession.sparkContext.defaultParallelism))
+    deepest = held.groupBy("point_key").count().agg(F.max("count")).first()[0]
+    widest = queries.agg(F.max(pool())).first()[0]
+    return vector_topk(queries.select("query_id", "query_vector"), held, min(LARGEST_POOL, (widest or 1) * (deepest or 1)), metric).select("query_id", F.col("point_key").alias("unit_id"), "similarity")
+
+
 def lexical_fallback_search(queries: DataFrame, units: DataFrame, items: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Without vectors; pending items are searched too."""
     queries = asked(queries)
@@ -51,8 +60,15 @@ def ranked(hits: DataFrame, queries: DataFrame, units: DataFrame, items: DataFra
     if chunks is None:
         return R.finalize(R.with_best_field(found).withColumn("snippet", R.snippet_of_best()).drop("best_"), queries)
     found = R.with_evidence(stored(found), chunks)
-    old = legacy_chunk_search(queries, chunks, items).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
-    return R.finalize(stored(found.unionByName(old, allowMissingColumns=True)), queries)
+    if not old_items(items).isEmpty():
+        old = legacy_chunk_search(queries, chunks, items).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
+        found = found.unionByName(old, allowMissingColumns=True)
+    return R.finalize(stored(found), queries)
+
+
+def old_items(items: DataFrame) -> DataFrame:
+    """Indexed items that still need a rebuild."""
+    return items_needing_rebuild(items).where("status = 'indexed'")
 
 
 def legacy_chunk_search(queries: DataFrame, chunks: DataFrame, items: DataFrame) -> DataFrame:
@@ -60,7 +76,7 @@ def legacy_chunk_search(queries: DataFrame, chunks: DataFrame, items: DataFrame)
 
     A row a chunk, in the form of hydrated hits: flags OR-ed, the higher score, at most the pool of a query, words first.
     """
-    old = items_needing_rebuild(items).where("status = 'indexed'")
+    old = old_items(items)
     rows = chunks.join(old.select(F.col("id").alias("item_id")), "item_id", "left_semi").where("text is not null").withColumn("unit_kind", F.lit(0))  # literal hits go by time alone
     words = bm25_search(queries, rows.where(F.col("chunk_type").isin("transcript", "audio", "ocr", "document")), None, "text").select("query_id", "unit_id", "score", F.lit(False).alias("exact_match"), F.lit(0).alias("arm"), "rank")
     literal = literal_search(queries, rows, None, "text").select("query_id", "unit_id", "score", "exact_match", F.lit(1).alias("arm"), "rank")
