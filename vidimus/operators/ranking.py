@@ -19,6 +19,8 @@ BOOST_FROM, SMART_BOOST, MODALITY_BOOST = 0.25, 0.06, 0.12
 FUSE_EXACT, FUSE_LEXICAL = 0.25, 0.03
 PER_ITEM, SAME_MOMENT = 3, 30.0
 SNIPPET = 320
+#: Columns of a unit that hits need for their snippet and at the end.
+TEXTS = ("content_text", "transcript_text", "ocr_text", "visual_text", "summary_text", "unit_metadata")
 
 
 def fuse_candidates(lexical: DataFrame, vector: DataFrame, queries: DataFrame) -> DataFrame:
@@ -134,12 +136,12 @@ def attach_nearest_frame(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def with_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """D13-D16 for hydrated hits (with q and preference): snippet, the row that plays (its kind and start), and the nearest frame.
+    """D13-D16 for hydrated hits (with q and preference): snippet, the row that plays (its kind and start), and the nearest frame; texts of units are left behind.
 
     A hit whose on-screen or visual text answers plays from its best visual row, one whose transcript answers from its best
     spoken line, others from the unit's representative.
     """
-    found = stored(with_best_field(hits).withColumn("field_", F.col("best_.field")))
+    found = stored(with_best_field(hits).withColumn("field_", F.col("best_.field")).drop(*TEXTS))
     keys, asked = ["query_id", "unit_id"], ("query_id", "unit_id", "q", "item_id", "start_sec", "end_sec")
     seen = best_visual_row(found.where(F.col("field_").isin("ocr", "visual")).select(*asked), chunks).select(*keys, F.col("visual_id").alias("row_id"), F.col("visual_start").alias("row_start"))
     said = best_spoken_line(found.where("field_ = 'transcript'").select(*asked), chunks).select(*keys, F.col("spoken_id").alias("row_id"), F.col("spoken_start").alias("row_start"))
@@ -150,6 +152,13 @@ def with_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.withColumn("snippet", snippet_of_best()).drop("best_")
 
 
+def with_texts(hits: DataFrame, units: DataFrame) -> DataFrame:
+    """Ranked hits with the texts of their units; what has a text keeps it."""
+    told = units.select(F.col("id").alias("unit_id"), *(F.col("metadata" if c == "unit_metadata" else c).alias(f"{c}_") for c in TEXTS))
+    out = hits.join(told, "unit_id", "left")
+    return out.withColumns({c: F.coalesce(c, f"{c}_") if c in hits.columns else F.col(f"{c}_") for c in TEXTS}).drop(*(f"{c}_" for c in TEXTS))
+
+
 def with_match_scores(hits: DataFrame) -> DataFrame:
     """match_score, comparable between lexical and vector hits of a query."""
     lexical_only = F.col("has_text") & ~F.col("has_vector")

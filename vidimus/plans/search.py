@@ -24,7 +24,7 @@ def hybrid_search(queries: DataFrame, units: DataFrame, items: DataFrame, vector
     With chunks, hits play from their best row and carry its frame, and chunks of items whose index is old are searched too.
     """
     queries = asked(queries)
-    ready = searchable_units(units, items)
+    ready = stored(searchable_units(units, items))
     with_vector = queries.where("query_vector is not null")
     points = near_points(with_vector, vectors.join(ready, "unit_id", "left_semi"), metric)
     near = points.groupBy("query_id", "unit_id").agg(F.max("similarity").alias("similarity"))
@@ -49,7 +49,7 @@ def near_points(queries: DataFrame, vectors: DataFrame, metric: str) -> DataFram
 def lexical_fallback_search(queries: DataFrame, units: DataFrame, items: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Without vectors; pending items are searched too."""
     queries = asked(queries)
-    ready = searchable_units(units, items, pending=True)
+    ready = stored(searchable_units(units, items, pending=True))
     hits = lexical_candidates(queries, units, ready).select("query_id", "unit_id", "score", "exact_match", F.lit(True).alias("has_text"), F.lit(False).alias("has_vector"), F.lit(None).cast("double").alias("similarity"), F.col("rank").alias("hit_rank"))
     return ranked(hits, queries, units, items, ready, chunks)
 
@@ -59,11 +59,11 @@ def ranked(hits: DataFrame, queries: DataFrame, units: DataFrame, items: DataFra
     found = R.hydrate(hits, units, items, ready).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
     if chunks is None:
         return R.finalize(R.with_best_field(found).withColumn("snippet", R.snippet_of_best()).drop("best_"), queries)
-    found = R.with_evidence(stored(found), chunks)
+    found = R.with_evidence(found, chunks)
     if not old_items(items).isEmpty():
         old = legacy_chunk_search(queries, chunks, items).join(hinted(queries.select("query_id", "q", "preference")), "query_id")
         found = found.unionByName(old, allowMissingColumns=True)
-    return R.finalize(stored(found), queries)
+    return R.with_texts(R.finalize(stored(found), queries), units)
 
 
 def old_items(items: DataFrame) -> DataFrame:
